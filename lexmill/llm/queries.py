@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100, width=4)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_quality_rules import quality_rules
 
@@ -20,6 +26,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_quality_rules, op8_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}

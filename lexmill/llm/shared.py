@@ -62,3 +62,61 @@ def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, "object"
     if not full.all():
         flat = flat.filter(pa.array(full))
     return flat, before[offsets] - before[offsets[0]]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """``batch`` in runs of rows whose ``column`` holds about ``most`` bytes (a longer text makes a run of its own)."""
+    import numpy as np
+
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    run = (np.cumsum(sizes) - sizes) // most
+    cuts = np.flatnonzero(np.diff(run)) + 1
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(int(a), int(b - a))
+
+
+def mix64(x):
+    """splitmix64 finaliser over a numpy uint64 array."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: pa.Array, width: int):
+    """Yields, for each text, the sorted distinct 64-bit hashes of its ``width``-word shingles.
+
+    A-Z are lower-cased. A text with fewer words gives its whole sequence as one shingle, a text without
+    words none.
+    """
+    import numpy as np
+    from pandas.util import hash_array
+
+    flat, offsets = split_words(text, lower=True)
+    coded = flat.dictionary_encode() if len(flat) else None
+    if coded is None:
+        for _ in range(len(text)):
+            yield np.empty(0, dtype=np.uint64)
+        return
+    own = hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False).astype(np.uint64)
+    w = mix64(own)[coded.indices.to_numpy(zero_copy_only=False)]
+    prime = np.uint64(0x9E3779B97F4A7C15)
+    rolled = w.copy()
+    for j in range(1, min(width, len(w))):
+        rolled[: len(w) - j] = rolled[: len(w) - j] * prime + w[j:]
+    rolled = mix64(rolled + np.uint64(width))
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        n = b - a
+        if n == 0:
+            yield np.empty(0, dtype=np.uint64)
+        elif n < width:
+            acc = np.zeros(1, dtype=np.uint64)
+            for v in w[a:b]:
+                acc = acc * prime + v
+            yield mix64(acc + np.uint64(n))
+        else:
+            h = np.sort(rolled[a : b - width + 1])
+            yield h[np.concatenate(([True], h[1:] != h[:-1]))]
