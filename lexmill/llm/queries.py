@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op2_token_store import stored
+
+    return stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_jaccard_join import near_duplicates
 
@@ -26,6 +34,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_quality_rules, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op4_jaccard_join, op5_quality_rules, op8_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}

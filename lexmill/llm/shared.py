@@ -27,7 +27,7 @@ def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
