@@ -28,12 +28,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_quality_classifier import scores
+
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_mixing import taken
 
     return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op4_jaccard_join, op5_quality_rules, op8_mixing)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op9_token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .op10_sentencepiece import decoder, encoder
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    out = docs.select("doc_id", "text", encoder(path)(F.col("text")).alias("ids"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", decoder(path)(F.col("ids")).eqNullSafe(F.col("text")).alias("restored"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_store, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op8_mixing, op9_token_counts, op10_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}

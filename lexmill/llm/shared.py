@@ -53,14 +53,14 @@ def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, "object"
     import numpy as np
 
     text = pc.fill_null(text.cast(pa.large_string()), "")
-    if lower:
-        text = pc.ascii_lower(text)
     lists = pc.ascii_split_whitespace(text)
     flat, offsets = lists.values, np.asarray(lists.offsets, dtype=np.int64)
     full = np.asarray(pc.binary_length(flat)) > 0
     before = np.concatenate(([0], np.cumsum(full)))
     if not full.all():
         flat = flat.filter(pa.array(full))
+    if lower:  # only now: on a slice of an array ascii_lower gives broken strings
+        flat = pc.ascii_lower(flat)
     return flat, before[offsets] - before[offsets[0]]
 
 
