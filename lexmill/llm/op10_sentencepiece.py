@@ -7,7 +7,7 @@ are no piece become their byte pieces, scored ten below the lowest score. User-d
 spaces here) are scored as the library's unigram encoder scores them, above all others. The scores are
 those of a merge-ranked model, the only one at hand: the library's own merges may cut a word otherwise,
 but pieces, ids, byte fallback, the leading space mark and decoding are the same, and decoding gives back
-the text exactly.
+the text exactly (but for a literal space mark, which is read as a space).
 
 No piece holds a space mark after another character, so texts are cut before each run of spaces, and
 each distinct segment is worked out once; the distinct segments of a batch are read side by side.
@@ -205,7 +205,7 @@ class Model:
         import numpy as np
         import pyarrow.compute as pc
 
-        text = pc.fill_null(text.cast(pa.large_string()), "")
+        text = pc.replace_substring(pc.fill_null(text.cast(pa.large_string()), ""), MARK, " ")
         lists = pc.split_pattern(text, " ")
         words, at = lists.values, np.asarray(lists.offsets, dtype=np.int64)
         at = at - at[0]
