@@ -47,7 +47,7 @@ def best_path(text, pieces, byte_ids, unknown):
     """Brute-force dynamic program over characters, the longest piece first, strictly better wins."""
     best, back = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1)
     for e in range(1, len(text) + 1):
-        for s in range(0, e):
+        for s in range(max(0, e - 40), e):  # no piece is longer
             p = text[s:e]
             if p in pieces and best[s] + pieces[p][0] > best[e]:
                 best[e], back[e] = best[s] + pieces[p][0], (s, [pieces[p][1]])
