@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +40,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_mixing import taken
 
@@ -61,6 +73,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", decoder(path)(F.col("ids")).eqNullSafe(F.col("text")).alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op8_mixing, op9_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_nearest, op8_mixing, op9_token_counts, op10_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}
