@@ -21,6 +21,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_revisits import revisits
+
+    return revisits(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_jaccard_join import near_duplicates
 
@@ -73,6 +79,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", decoder(path)(F.col("ids")).eqNullSafe(F.col("text")).alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_nearest, op8_mixing, op9_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_revisits, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_nearest, op8_mixing, op9_token_counts, op10_sentencepiece)}
+
+def _oracles() -> dict[str, str]:
+    from . import op3_revisits as revisits
+
+    return {"op3_revisits": revisits.SQL}
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = _oracles()
