@@ -76,7 +76,10 @@ def indexed(vectors: DataFrame, dimension: int, projections: int, block: int, se
 
 
 def _search(block, queries, k: int, share: float, start: float, grow: float, reach: float):
-    """(query row, candidate row, distance) of the best k + 1 verified candidates of each query in one block."""
+    """(query row, candidate rows, distances) of the best k + 1 verified candidates of each query in one block.
+
+    The window ends of all queries of a batch are looked up together, line by line.
+    """
     import numpy as np
 
     names, x, lines, rows, where = block
@@ -84,35 +87,38 @@ def _search(block, queries, k: int, share: float, start: float, grow: float, rea
     need = max(1, int(np.ceil(share * m)))
     first = float(np.quantile(np.abs(lines[:, None, :: max(1, n // 64)] - lines[:, :: max(1, n // 64), None]), start)) if n > 1 else 1.0
     first = first or 1e-12
-    for q, (v, spots) in enumerate(zip(queries, where)):
-        low = np.array([np.searchsorted(s, p) for s, p in zip(lines, spots)])
-        high, half = low.copy(), first
-        seen = np.zeros(n, np.int32)
-        checked = np.zeros(n, bool)
-        found, far = np.empty(0, np.int64), np.empty(0)
-        while True:
-            fresh = []
-            for j in range(m):
-                a = int(np.searchsorted(lines[j], spots[j] - half, side="left"))
-                b = int(np.searchsorted(lines[j], spots[j] + half, side="right"))
-                a, b = min(a, int(low[j])), max(b, int(high[j]))
-                fresh += [rows[j, a : low[j]], rows[j, high[j] : b]]
-                low[j], high[j] = a, b
-            seen += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            new = np.flatnonzero((seen >= need) & ~checked)
-            if len(new):
-                checked[new] = True
-                d = np.sqrt(((x[new] - v) ** 2).sum(axis=1))
-                found, far = np.concatenate((found, new)), np.concatenate((far, d))
-                best = np.lexsort((names[found], far))[: k + 1]
-                found, far = found[best], far[best]
-            if len(found) > k and far[k] <= reach * half or (high - low).min() == n:
-                break
-            half *= grow
-        yield q, found, far
-
-
-def nearest(vectors: DataFrame, queries_where: str = "vec_id % 100 = 0", k: int = 10, projections: int = 96, share: float = 0.74, start: float = 0.2, grow: float = 1.1, reach: float = 0.78, block: int = 16_384, group: int = 4_096, seed: int = 11) -> DataFrame:
+    for begin in range(0, len(queries), 128):
+        batch = np.arange(begin, min(begin + 128, len(queries)))
+        seen, checked = np.zeros((len(batch), n), np.int16), np.zeros((len(batch), n), bool)
+        low = np.stack([np.searchsorted(lines[j], where[batch, j]) for j in range(m)], axis=1)
+        high, half, live = low.copy(), first, np.arange(len(batch))
+        best = [(np.empty(0, np.int64), np.empty(0)) for _ in batch]
+        while len(live):
+            spots = where[batch[live]]
+            left = np.minimum(low[live], np.stack([np.searchsorted(lines[j], spots[:, j] - half, side="left") for j in range(m)], axis=1))
+            right = np.maximum(high[live], np.stack([np.searchsorted(lines[j], spots[:, j] + half, side="right") for j in range(m)], axis=1))
+            open_ = np.ones(len(live), bool)
+            for i, q in enumerate(live):
+                fresh = [rows[j, a:b] for j, (a, b) in enumerate(zip(left[i].tolist(), low[q].tolist())) if a < b]
+                fresh += [rows[j, a:b] for j, (a, b) in enumerate(zip(high[q].tolist(), right[i].tolist())) if a < b]
+                if fresh:
+                    seen[q] += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+                new = np.flatnonzero((seen[q] >= need) & ~checked[q])
+                found, far = best[q]
+                if len(new):
+                    checked[q, new] = True
+                    d = np.sqrt(((x[new] - queries[batch[q]]) ** 2).sum(axis=1))
+                    found, far = np.concatenate((found, new)), np.concatenate((far, d))
+                    top = np.lexsort((names[found], far))[: k + 1]
+                    best[q] = found, far = found[top], far[top]
+                open_[i] = not (len(found) > k and far[k] <= reach * half) and (right[i] - left[i]).min() < n
+            low[live], high[live] = left, right
+            live, half = live[open_], half * grow
+        for i, q in enumerate(batch):
+            yield int(q), *best[i]
+
+
+def nearest(vectors: DataFrame, queries_where: str = "vec_id % 100 = 0", k: int = 10, projections: int = 96, share: float = 0.74, start: float = 0.35, grow: float = 1.12, reach: float = 0.82, block: int = 16_384, group: int = 4_096, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest candidates."""
     spark: SparkSession = vectors.sparkSession
     good = usable(vectors)
