@@ -83,8 +83,9 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_revisits
 
 def _oracles() -> dict[str, str]:
     from . import op3_revisits as revisits
+    from . import sql
 
-    return {"op3_revisits": revisits.SQL}
+    return {"op3_revisits": revisits.SQL, **sql.ORACLES}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
