@@ -18,10 +18,12 @@ Sizes fall into geometric bands with a number of parts each; a document whose la
 the next band emits keys there too. Candidates first pass a dense parity bit sketch (Hamming distance at
 most d), then the exact sets of 64-bit shingle hashes are compared.
 
-No group is expanded into pairs. Equal sets collapse to one representative first. In the group of a key
-every document is compared with the group's smallest; once those links are joined into components, only
-documents outside a group's main component are compared with the others of the group. Documents in one
-component need no further comparison, so components are exact.
+No group is expanded into rows of pairs. Equal sets collapse to one representative first. In the group of
+a key every document is compared with the group's smallest, and those links are joined into components.
+Groups that still hold several components (each set of documents once, however many keys it shares) are
+dealt in blocks of about ``BLOCK`` documents; a task compares the bit sketches of two blocks at a time and
+gives out only the pairs of different components that may be linked, which the exact comparison then
+decides. Documents in one component need no further comparison, so components are exact.
 
 Defined cases: a null or blank text has no shingles, n_shingles 0, and is linked with nothing; a text
 with fewer words than the shingle has one shingle; rows with a null doc_id get their n_shingles and a
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from .components import components
 from .shared import mix64, row_count_broadcast, shingle_hashes, slices, staged
 
-BAND = 1.6
+BAND, BLOCK = 1.6, 1024
 
 
 @dataclass(frozen=True)
@@ -134,7 +136,7 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
                         own, own_spare = _keys(join, top, parts, h, band)
                         if join.band(join.partner(n)) > band:
                             up, up_spare = _keys(join, top, parts, h, band + 1)
-                        size = 1 << max(6, (2 * n - 1).bit_length())
+                        size = 1 << max(6, (4 * n - 1).bit_length())
                         bits = np.packbits(np.bincount((z & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
                     row = (doc, n, int(z.sum(dtype=np.uint64).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(mix64(z)).view(np.int64)) if n else 0, own, own_spare, up, up_spare, bits)
                     for c, v in zip(cols, row):
@@ -192,16 +194,20 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hashes binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, join: Join, name: str, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) that are linked: first by the dense sketches, then by the exact sets.
+def close(pairs: DataFrame, sketch: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose dense sketches allow a link."""
+    bits = sketch.select(F.col("doc_id").alias("id"), "n", "bits")
+    x = pairs.join(bits.withColumnsRenamed({"n": "na", "bits": "xa"}), F.col("a") == F.col("id")).drop("id")
+    x = x.join(bits.withColumnsRenamed({"n": "nb", "bits": "xb"}), F.col("b") == F.col("id")).drop("id")
+    return x.where(_hamming_ok(join)("xa", "xb", "na", "nb")).select("a", "b")
+
+
+def verified(near: DataFrame, docs: DataFrame, join: Join, name: str, broadcast_ids: int) -> DataFrame:
+    """The pairs (a, b) of the table ``near`` that are linked, by their exact sets.
 
     Texts of candidates are picked by a broadcast of their ids while those are at most ``broadcast_ids``,
     beyond that by a shuffle.
     """
-    bits = sketch.select(F.col("doc_id").alias("id"), "n", "bits")
-    x = pairs.join(bits.withColumnsRenamed({"n": "na", "bits": "xa"}), F.col("a") == F.col("id")).drop("id")
-    x = x.join(bits.withColumnsRenamed({"n": "nb", "bits": "xb"}), F.col("b") == F.col("id")).drop("id")
-    near = staged(x.where(_hamming_ok(join)("xa", "xb", "na", "nb")).select("a", "b"), f"{name}_near")
     ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(row_count_broadcast(staged(ids, f"{name}_ids"), broadcast_ids), "doc_id", "left_semi")
@@ -211,6 +217,52 @@ def verified(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, join: Join, n
     return staged(y.where(_linked(join)("ha", "hb")).select("a", "b").distinct(), f"{name}_links")
 
 
+def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and whose dense sketches allow a link."""
+    held = group.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    tally = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
+    mixed = tally.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
+    mixed = mixed.groupBy("members", "x", "y").agg(F.min("key").alias("k")).select("k", "members")
+    held = held.join(mixed, F.col("key") == F.col("k")).drop("k")
+    held = held.join(sketch.select(F.col("doc_id").alias("id"), "n", "bits"), F.col("doc_id") == F.col("id")).drop("id")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    held = held.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    held = held.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "root", "n", "bits")
+
+    def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        import numpy as np
+
+        size = min(len(r[7]) for r in rows)  # powers of two: folding keeps parity
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[7], np.uint8).reshape(-1, size), axis=0) for r in rows]).view(np.uint64)
+        n, root = np.array([r[6] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        side = np.array([r[3] for r in rows])
+        for i in range(len(rows)):
+            rest = np.arange(i + 1, len(rows))
+            rest = rest[(root[rest] != root[i]) & ((side[rest] != side[i]) | (rows[i][1] == rows[i][2]))]
+            most = (n[rest] + n[i]) * (join.den - join.num) // (join.den + join.num)
+            far = np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            for j in rest[far <= most]:
+                a, b = sorted((rows[i][4], rows[j][4]))
+                if a != b:
+                    yield a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:3] != rows[0][:3]:
+                    out += compared(rows)
+                    rows = []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = list(compared(rows)) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return held.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_ids: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; links at Jaccard >= num / den."""
     join = Join(num, den, width)
@@ -234,18 +286,10 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     star = group.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("a"), F.count("*").alias("times")).where("times > 1")
     first = group.join(star, F.col("key") == F.col("k")).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     first = staged(first, "star_pairs")
-    links = verified(first, docs, sketch, join, "star", broadcast_ids)
+    links = verified(staged(close(first, sketch, join), "star_near"), docs, join, "star", broadcast_ids)
     roots = staged(components(links), "star_roots")
-
-    # what one comparison with the smallest of each group left open
-    held = group.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    tally = held.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = tally.groupBy(F.col("key").alias("k")).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    held = staged(held.join(mixed, F.col("key") == F.col("k")).select("key", "doc_id", "root", "main"), "open_groups")
-    odd = held.where("root <> main").select(F.col("key").alias("ok"), F.col("doc_id").alias("x"), F.col("root").alias("xr"))
-    open_pairs = odd.join(held, F.col("ok") == F.col("key")).where("xr <> root")
-    open_pairs = open_pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    more = verified(staged(open_pairs.join(first, ["a", "b"], "left_anti"), "open_pairs"), docs, sketch, join, "open", broadcast_ids)
+    rest = open_pairs(group, roots, sketch, join).join(first, ["a", "b"], "left_anti")
+    more = verified(staged(rest, "open_near"), docs, join, "open", broadcast_ids)
     roots = staged(components(links.unionByName(more)), "roots")
 
     own = member.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
