@@ -23,43 +23,49 @@ SLACK = {"word_length": (1000, True), "symbols": (100, False), "dup_lines": (300
 STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(words: Column) -> Column:
+    """How many words lie in three-word windows that occur twice or more."""
+    windows = F.when(F.size(words) >= 3, F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
+    )).otherwise(F.array().cast("array<bigint>"))
+    equal = lambda ordered, x, i: F.coalesce(F.get(ordered, i)["h"] == x["h"], F.lit(False))
+    again = lambda ordered: F.sort_array(F.transform(F.filter(ordered, lambda x, i: equal(ordered, x, i - 1) | equal(ordered, x, i + 1)), lambda x: x["i"]))
+    covered = lambda at: F.aggregate(F.transform(at, lambda v, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - v, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    ordered = lambda w: F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _let(ordered(w), lambda o: _let(again(o), covered))).otherwise(F.lit(0)))
+
+
 def with_stats(docs: DataFrame, prefix: str = "") -> DataFrame:
     """``docs`` with the base statistics as long columns, named with ``prefix``, and base_failed.
 
     A three-word window counts as repeated when its hash (64 bits over the three words) occurs twice in
-    the text; hashes are sorted within the row, so a text of n words costs n log n and no shuffle.
+    the text; hashes are sorted within the row, so a text of n words costs n log n and no shuffle. The
+    statistics of a row are generated as one struct: filters on them stay above, and nothing is evaluated
+    again for each place that names it.
     """
-    p = lambda name: prefix + name
-    tmp = lambda name: f"__{prefix}{name}"
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn(tmp("words"), F.array_remove(F.split(text, GAP), ""))
-    words = F.col(tmp("words"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumns({
-        p("n_words"): F.size(words).cast("long"),
-        p("word_chars"): F.length(F.array_join(words, "")).cast("long"),
-        p("n_symbols"): (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long"),
-        tmp("lines"): lines,
-        tmp("windows"): F.when(F.size(words) >= 3, F.transform(
-            F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
-        )).otherwise(F.array().cast("array<bigint>")),
-    })
-    windows, kept_lines = F.col(tmp("windows")), F.col(tmp("lines"))
-    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
-    out = out.withColumns({
-        p("n_lines"): F.size(kept_lines).cast("long"),
-        p("n_dup_lines"): (F.size(kept_lines) - F.size(F.array_distinct(kept_lines))).cast("long"),
-        tmp("sorted"): F.when(repeats, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
-    })
-    ordered = F.col(tmp("sorted"))
-    again = F.filter(ordered, lambda x, i: ((i > 0) & (F.get(ordered, i - 1)["h"] == x["h"])) | F.coalesce(F.get(ordered, i + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn(tmp("at"), F.sort_array(F.transform(again, lambda x: x["i"])))
-    at = F.col(tmp("at"))
-    covered = F.aggregate(F.transform(at, lambda v, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - v, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    out = out.withColumn(p("n_repeat_words"), F.coalesce(covered, F.lit(0)).cast("long"))
-    n, rep = F.col(p("n_words")), F.col(p("n_repeat_words"))
-    out = out.withColumn(p("base_failed"), (n < 50) | (100 * rep > 50 * n))
-    return out.drop(*[tmp(x) for x in ("words", "lines", "windows", "sorted", "at")])
+
+    def stats(words: Column, kept: Column) -> Column:
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", "")),
+            "n_lines": F.size(kept),
+            "n_dup_lines": F.size(kept) - F.size(F.array_distinct(kept)),
+            "n_repeat_words": _repeated(words),
+        }
+        return F.struct(*[v.cast("long").alias(prefix + k) for k, v in values.items()])
+
+    both = _let(F.array_remove(F.split(text, GAP), ""), lambda words: _let(lines, lambda kept: stats(words, kept)))
+    out = docs.select("*", F.inline(F.array(both)))
+    n, rep = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return out.withColumn(f"{prefix}base_failed", (n < 50) | (100 * rep > 50 * n))
 
 
 def _ratios(prefix: str = "") -> dict[str, Column]:
