@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     join = Join(num, den, width)
     sketch = staged(sketches(docs, join), "sketches")
     named = sketch.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = staged(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "firsts")  # staged, so that the join's hot classes can be split
     member = named.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"])
     member = staged(member, "classes")
     copies = row_count_broadcast(member.where("doc_id <> rep").drop("rep"), broadcast_ids)
