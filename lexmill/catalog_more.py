@@ -56,9 +56,9 @@ star("related_ego_graph", ego, DOC + f""", f as (select b as node, score from (s
 ), o as (select b, score from (select *, row_number() over (partition by a order by score desc, b) as r from edge where a in (select node from f) and b <> {CENTER} and b not in (select node from f)) where r <= 3
 ), ring as (select node, 1 as ring, score from f union all select b, 2, max(score) from o group by b
 ) select node, ring, score from (select *, row_number() over (order by ring, score desc, node) as r from ring) where r < 25""")
-star("relatedness_global", lambda c: relate.relatedness(edges(c), c.books.where("id % 3 = 0").select(F.col("id").alias("node")), 3), DOC + """, inside as (select a, b, score, row_number() over (partition by a order by score desc, b) as r from edge where a % 3 = 0 and b % 3 = 0
+star("relatedness_global", lambda c: relate.relatedness(edges(c), c.books.select(F.col("id").alias("node")), 3), DOC + """, inside as (select a, b, score, row_number() over (partition by a order by score desc, b) as r from edge
 ) select least(a, b) as source, greatest(a, b) as target, max(score) as score from inside where r <= 3 group by 1, 2""")
-star("ring2_lateral", lambda c: relate.best(edges(c).where("a < 500"), "a", 2).select("a", "b", "score"), DOC + " select a, b, score from (select *, row_number() over (partition by a order by score desc, b) as r from edge where a < 500) where r <= 2")
+star("ring2_lateral", lambda c: relate.best(edges(c), "a", 2).select("a", "b", "score"), DOC + " select a, b, score from (select *, row_number() over (partition by a order by score desc, b) as r from edge) where r <= 2")
 
 
 def cluster_map(c):
@@ -108,7 +108,7 @@ def both(name: str, query, oracle: str) -> None:
 both("personal_difficulty", lambda a, c: progress.personal_difficulty(progress.first_exposure(a), c.words), f""", one as ({FIRST}), b as (select o.*, (w.difficulty - 50) / 16 as b from one o join word w on w.id = o.word_id where w.difficulty is not null)
 select user_id, word_id, round(least(greatest(50 + 16 * (b - (correct::int - (floor + (1 - floor) / (1 + exp(b))))), 0.0), 100.0), 6) as personal_difficulty from b""")
 both("accuracy_by_field", lambda a, c: progress.accuracy_through(a, c.codes.select("word_id", F.left("code", F.lit(1)).alias("letter")).distinct(), "letter"), f"select letter, {HIT} from ans a join (select distinct word_id, left(code, 1) as letter from code) c on c.word_id = a.word_id group by 1")
-both("accuracy_by_book", lambda a, c: progress.accuracy_through(a, c.links.where("book_id < 1000"), "book_id"), f"select book_id, {HIT} from ans a join link l on l.word_id = a.word_id where book_id < 1000 group by 1")
+both("accuracy_by_book", lambda a, c: progress.accuracy_through(a, c.links, "book_id"), f"select book_id, {HIT} from ans a join link l on l.word_id = a.word_id group by 1")
 on("daily_events", "events", lambda e: e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,4)")).cast("double"), 4).alias("total")), "select cast(ts as date) as day, event_type, count(*) as n, round(cast(sum(cast(value as decimal(18,4))) as double), 4) as total from events group by 1, 2")
 
 # --- vectors: exact searches from one seed
@@ -168,8 +168,17 @@ def common(d: DataFrame) -> DataFrame:
 
 on("misspelling_neighbours", "documents", lambda d: ingest.neighbours(common(d), gap=1.5), f"{T3}, w as (select lemma, zipf from z where n >= 5 and length(lemma) >= 4), p as (select x.lemma, y.lemma as neighbour, round(y.zipf - x.zipf, 4) as gap, row_number() over (partition by x.lemma order by y.zipf desc, y.lemma) as r from w x join w y on y.zipf >= x.zipf + 1.5 and abs(length(x.lemma) - length(y.lemma)) <= 1 and levenshtein(x.lemma, y.lemma) <= 1) select lemma, neighbour, gap from p where r = 1")
 on("misspelling_neighbours_osa", "documents", lambda d: ingest.neighbours(common(d), transpositions=True, gap=1.5))
-on("mention_links", "documents", lambda d: ingest.mentions(d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("id"), F.concat(F.lit("th"), F.element_at(F.array(*map(F.lit, ("e", "at", "is"))), (F.col("doc_id") % 3 + 1).cast("int"))).alias("lemma")).where("id < 30")), """with occ as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as s, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), 1) as i from documents
-), w as (select doc_id as target, list_value('the', 'that', 'this')[doc_id % 3 + 1] as lemma from documents where doc_id < 30)
+MENTIONED = ("the", "that", "this", "of", "and")
+
+
+def mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of five words, one for each region, in all texts."""
+    words = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.get(F.array(*map(F.lit, MENTIONED)), F.col("r_regionkey")).alias("lemma"))
+    return ingest.mentions(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), words)
+
+
+add("mention_links", mentioned, f"""with occ as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as s, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), 1) as i from documents
+), w as (select cast(r_regionkey as bigint) as target, list_value{MENTIONED!r}[r_regionkey + 1] as lemma from region)
 select doc_id as source, target, arg_min(s, i) as surface from occ join w on w.lemma = lower(s) where doc_id <> target group by 1, 2""")
 
 # --- scores and scalar columns
@@ -226,7 +235,7 @@ on("functional_upsert", "part", upserted, """with o as (select p_partkey as id,
 ), n as (select p_partkey * 2 as id, case when p_size % 5 = 0 then '' else p_brand end as name, p_size - 3 as rank, p_size % 7 = 0 as flag from part where p_partkey % 3 = 0)
 select coalesce(o.id, n.id) as id, coalesce(nullif(n.name, ''), o.name) as name, least(o.rank, n.rank) as rank, coalesce(o.flag, false) or coalesce(n.flag, false) as flag from o full join n on n.id = o.id""")
 on("category_closure", "part", lambda p: relate.closure(p.where("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent")), "child", "parent"), "with recursive up(node, ancestor, depth) as (select p_partkey, p_partkey // 3, 1 from part where p_partkey > 0 union all select node, ancestor // 3, depth + 1 from up where ancestor > 0) select node, ancestor, depth from up")
-on("order_outliers", "lineitem", lambda t: ingest.out_of_order(t.where("l_orderkey < 2000"), "l_orderkey", "l_linenumber", "l_partkey"))
+on("order_outliers", "lineitem", lambda t: ingest.out_of_order(t, "l_orderkey", "l_linenumber", "l_partkey"))
 add("tiered_resolution", lambda spark, d: ingest.resolved(read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("lemma")), [
     ("local", read(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("lemma"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("value"))),
     ("other", read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("lemma"), F.col("l_returnflag").alias("value"))),

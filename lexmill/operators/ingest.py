@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -165,30 +166,31 @@ def repoint(links: DataFrame, survivor: int, others: tuple[int, ...]) -> DataFra
 def out_of_order(entries: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """(group, order) of entries outside a longest non-decreasing subsequence of ``value`` in each group.
 
-    The choice depends on the whole order of a group (a volume, bounded by its pages), so a group is one
-    pandas frame.
+    The choice depends on the whole order of a group (a volume, bounded by its pages), so a group becomes
+    one array; groups pass to Python many at a time. Entries with a null value are left out.
     """
-    def run(pdf):
+    @F.pandas_udf("array<int>")
+    def outside(values: pd.Series) -> pd.Series:
         import bisect
 
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        tops, at, back = [], [], []
-        for i, v in enumerate(pdf[value]):
-            k = bisect.bisect_right(tops, v)
-            back.append(at[k - 1] if k else -1)
-            if k == len(tops):
-                tops.append(v)
-                at.append(i)
-            else:
-                tops[k], at[k] = v, i
-        keep, i = set(), at[-1] if at else -1
-        while i >= 0:
-            keep.add(i)
-            i = back[i]
-        return pdf.loc[[i for i in range(len(pdf)) if i not in keep], [group, order]]
-
-    kinds = dict(entries.dtypes)
-    return entries.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}")
+        def of(xs) -> list[int]:
+            tops, ends, back = [], [], []  # the least last value of a run of each length, where it stands, and what came before each
+            for i, v in enumerate(xs):
+                k = bisect.bisect_right(tops, v)
+                back.append(ends[k - 1] if k else -1)
+                tops[k : k + 1], ends[k : k + 1] = [v], [i]
+            kept, i = set(), ends[-1] if ends else -1
+            while i >= 0:
+                kept.add(i)
+                i = back[i]
+            return [i for i in range(len(xs)) if i not in kept]
+
+        return values.map(of)
+
+    pairs = entries.where(F.col(value).isNotNull()).select(F.col(group), F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("e"))
+    held = pairs.groupBy(group).agg(F.sort_array(F.collect_list("e")).alias("e"))
+    found = held.select(group, "e", F.explode(outside(F.col("e.v"))).alias("i"))
+    return found.select(group, F.get("e", F.col("i"))["o"].alias(order))
 
 
 def mentions(texts: DataFrame, words: DataFrame) -> DataFrame:

@@ -160,3 +160,20 @@ def test_readers(spark, tmp_path):
     sinks.replace_table(spark.range(3), str(tmp_path / "t"))
     sinks.replace_table(spark.read.parquet(str(tmp_path / "t")).where("id > 0"), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_out_of_order_leaves_a_longest_run(spark):
+    import random
+
+    from lexmill.operators.ingest import out_of_order
+
+    r = random.Random(5)
+    rows = [(g, n, r.randrange(9)) for g in range(40) for n in range(r.randrange(0, 14))] + [(0, 99, None)]
+    gone = {(x.g, x.n) for x in out_of_order(spark.createDataFrame(rows, "g int, n int, v int"), "g", "n", "v").collect()}
+    for g in range(40):
+        v = [x[2] for x in rows if x[0] == g and x[2] is not None]
+        most = []
+        for i, x in enumerate(v):
+            most.append(1 + max((most[k] for k in range(i) if v[k] <= x), default=0))
+        left = [x[2] for x in rows if x[0] == g and x[2] is not None and x[:2] not in gone]
+        assert left == sorted(left) and len(left) == max(most, default=0)
