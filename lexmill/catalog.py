@@ -52,7 +52,7 @@ BOOKS = f""", alone as (select word_id, min(book_id) as book_id from active_link
 AUTHORS = f"""{BOOKS}, aalone as (select word_id, min(author) as author from author_link group by 1 having count(*) = 1
 ), auniq as (select author, count(*) as n from aalone group by 1
 ), astats as (select l.author, {STATS} from author_link l join word w on w.id = l.word_id group by 1
-), dens as (select author, count(*) as book_count, round(cast(sum(cast(density as decimal(18,6))) as double) / count(density), 6) as density from books where author is not null group by 1
+), dens as (select author, count(*) as book_count, (2 * cast(sum(cast(round(density * 1000000) as bigint)) as bigint) + count(density)) // nullif(2 * count(density), 0) / 1e6 as density from books where author is not null group by 1
 ), alisted as (select s.*, d.book_count, d.density, coalesce(u.n, 0) as unique_word_count from astats s join dens d on d.author = s.author left join auniq u on u.author = s.author
 ), apm as (select author, percent_rank() over (order by mean_difficulty) as m from alisted where mean_difficulty is not null
 ), apd as (select author, percent_rank() over (order by density) as d from alisted where density is not null

@@ -143,7 +143,9 @@ def authors(c: Corpus) -> DataFrame:
     """Listing of named authors; a word in several of their books counts once, densities are averaged over books."""
     stats = _scored(c, c.author_links, "author")
     per_book = books(c).select("id", "author", "density").where("author is not null")
-    density = per_book.groupBy("author").agg(F.count("*").alias("book_count"), F.round(F.sum(F.col("density").cast("decimal(18,6)")).cast("double") / F.count("density"), 6).alias("density"))
+    density = per_book.groupBy("author").agg(F.count("*").alias("book_count"), F.sum((F.col("density") * 1000000).cast("decimal(18,0)")).cast("long").alias("micro"), F.count("density").alias("known"))
+    half_up = F.expr("(2 * micro + known) div nullif(2 * known, 0) / 1e6d")  # in whole numbers, so that a mean halfway between two has one result
+    density = density.select("author", "book_count", half_up.alias("density"))
     out = _overall(stats.join(density, "author").join(exclusive_by_author(c), "author", "left"))
     return out.select("author", "book_count", "word_count", "scored_word_count", "mean_difficulty", "stddev_difficulty", "density", "overall_difficulty", F.coalesce("unique_word_count", F.lit(0)).alias("unique_word_count"))
 
