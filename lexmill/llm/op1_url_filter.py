@@ -1,19 +1,23 @@
 """URL filter: rules, and for the rest a character language-model ratio.
 
 Every url that a rule decides is an example of its verdict. Two smoothed variable-order Markov models are
-counted from all of them, one for accepted and one for rejected urls: a context of up to ``order``
-characters counts only if it makes up at least one in ``rare`` of its class's positions, so each order
-holds at most ``rare`` n-grams whatever the input, and shorter contexts take over (Witten-Bell weights,
-down to a uniform guess). A url's score is the difference of the two log-likelihoods over its length; it
-is accepted at or above the cut that best separates a held-out fold of the examples (the fold's scores
-are gathered as counts over a fixed grid, and the cut is read from those).
+counted from all of them, one for accepted and one for rejected urls: every n-gram of up to ``order`` + 1
+characters counts, however rare (Witten-Bell weights, down to a uniform guess). A url's score is the
+difference of the two log-likelihoods over its length; it is accepted at or above the cut that best
+separates a held-out fold of the examples, scored by the counts of the others (the fold's scores are
+gathered as counts over a fixed grid, and the cut is read from those). The scores given are by the counts
+of all examples.
+
+The counts are a table and never leave it: urls are dealt into chunks of bounded size, the distinct
+n-grams of each chunk are joined to the counts, and a chunk is scored beside what it found.
 
 The url is read in ASCII (any other byte is one symbol), from after ``://``, lower-cased.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, and scores 0
 if it is null or empty; while either class has no example every score and the cut are 0, so such urls are
-allowed; repeated rows are judged alike and count as often as they occur; an empty table gives an empty
-result; columns other than page_id and url are not read.
+allowed; where a class has examples only inside or only outside of the fold the cut is 0; repeated rows
+are judged alike and count as often as they occur; an empty table gives an empty result; columns other
+than page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import staged
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 SYMBOLS = 97  # printable ASCII, everything else, and the end
 LEAST, GRID = -8.0, 1024
+COUNTS = ("allow_most", "block_most", "allow_all", "block_all")  # outside of the fold, and of all examples
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -78,19 +84,19 @@ def grams(codes, offsets, width: int):
 
 
 class Markov:
-    """Counts of one class: for each width the sorted n-grams with their counts, kept if frequent enough."""
+    """What a chunk found in the counts: for each width the sorted n-grams and contexts with one class's counts."""
 
-    def __init__(self, rows: list[tuple[int, int, int]], order: int):
+    def __init__(self, found: pa.Table, name: str, order: int):
         import numpy as np
 
+        slot, gram, n, kinds = (found.column(c).to_numpy() for c in ("slot", "gram", name, f"{name}_kinds"))
         self.order, self.grams, self.contexts = order, [], []
+        by = np.argsort(gram, kind="stable")
         for width in range(1, order + 2):
-            g = np.array(sorted((c, n) for w, c, n in rows if w == width), np.int64).reshape(-1, 2)
-            heads, first = np.unique(g[:, 0] // SYMBOLS, return_index=True)
-            total = np.add.reduceat(g[:, 1], first) if len(g) else np.empty(0, np.int64)
-            kinds = np.diff(np.concatenate((first, [len(g)])))
-            self.grams.append(g)
-            self.contexts.append((heads, total, kinds))
+            own, heads = by[(slot[by] == 2 * width) & (n[by] > 0)], by[(slot[by] == 2 * width + 1) & (n[by] > 0)]
+            self.grams.append((gram[own], n[own]))
+            self.contexts.append((gram[heads], n[heads], kinds[heads]))
+        self.known = len(self.contexts[0][0]) > 0  # whether the class has an example at all
 
     def log_likelihood(self, codes, offsets):
         """Sum of log probabilities of each url."""
@@ -98,78 +104,126 @@ class Markov:
 
         p = np.full(len(codes), 1.0 / SYMBOLS)
         for width in range(1, self.order + 2):
-            gram, (heads, total, kinds) = grams(codes, offsets, width), self.contexts[width - 1]
-            own = self.grams[width - 1]
+            gram, (heads, total, kinds), (own, n) = grams(codes, offsets, width), self.contexts[width - 1], self.grams[width - 1]
             if not len(heads):
                 break
             head = gram // SYMBOLS
             at = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
             known = (heads[at] == head) & (gram >= 0)
-            to = np.minimum(np.searchsorted(own[:, 0], gram), len(own) - 1)
-            count = np.where(own[to, 0] == gram, own[to, 1], 0)
+            to = np.minimum(np.searchsorted(own, gram), max(len(own) - 1, 0))
+            count = np.where(own[to] == gram, n[to], 0) if len(own) else 0
             p = np.where(known, (count + kinds[at] * p) / (total[at] + kinds[at]), p)
-        sums = np.concatenate(([0.0], np.cumsum(np.log(p))))
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        out, full = np.zeros(len(offsets) - 1), np.diff(offsets) > 0
+        if full.any():
+            out[full] = np.add.reduceat(np.log(p), offsets[:-1][full])  # each url by itself, whatever its chunk
+        return out
+
+
+def chunked(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with a chunk number; a chunk holds about ``most`` bytes of urls, a short url counting 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = np.asarray(pc.fill_null(pc.binary_length(batch.column("url")), 0), dtype=np.int64) + 64
+            upto = before + np.cumsum(size)
+            chunk = (part << 40) + (upto - size) // most
+            before = int(upto[-1]) if len(upto) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk, pa.int64())], names=[*batch.schema.names, "chunk"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{schema}, chunk long")
 
 
-def counted(examples: DataFrame, order: int, rare: int) -> DataFrame:
-    """(verdict, width, gram, n) of all examples, without n-grams rarer than one in ``rare`` of their class."""
+def counted(rows: DataFrame, order: int) -> DataFrame:
+    """slot, gram, COUNTS and their kinds: all n-grams (slot 2 * width) and contexts (the next slot) of the examples in ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            which = np.array([v == "allow" for v in batch.column("verdict").to_pylist()], bool)
-            for verdict in (True, False):
-                codes, offsets = symbols(batch.column("url").filter(pa.array(which == verdict)))
+            kind = 2 * np.asarray(pc.equal(batch.column("given"), "block"), dtype=np.int64) + np.asarray(batch.column("fold"), dtype=np.int64)
+            for k in range(4):
+                codes, offsets = symbols(batch.column("url").filter(pa.array(kind == k)))
                 for width in range(1, order + 2):
                     g = grams(codes, offsets, width) if len(codes) else np.empty(0, np.int64)
                     kinds, n = np.unique(g[g >= 0], return_counts=True)
-                    names = ["verdict", "width", "gram", "n"]
-                    made = [pa.array(["allow" if verdict else "block"] * len(kinds), pa.string()), pa.array([width] * len(kinds), pa.int32()), pa.array(kinds, pa.int64()), pa.array(n, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(made, names=names)
+                    made = [pa.array([k] * len(kinds), pa.int32()), pa.array([width] * len(kinds), pa.int32()), pa.array(kinds, pa.int64()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(made, names=["kind", "width", "gram", "n"])
 
-    counts = examples.mapInArrow(run, "verdict string, width int, gram long, n long").groupBy("verdict", "width", "gram").agg(F.sum("n").alias("n"))
+    found = rows.where("given is not null").select("given", "fold", "url").mapInArrow(run, "kind int, width int, gram long, n long")
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+    counts = found.groupBy("width", "gram").agg(*[of(*kinds).alias(c) for c, kinds in zip(COUNTS, ((0,), (2,), (0, 1), (2, 3)))])
     counts = staged(counts, "url_counts")
-    size = counts.groupBy(F.col("verdict").alias("v"), F.col("width").alias("w")).agg(F.sum("n").alias("all"))
-    kept = counts.join(F.broadcast(size), (F.col("verdict") == F.col("v")) & (F.col("width") == F.col("w")))  # two classes, order + 1 widths
-    return kept.where(F.col("n") * rare >= F.col("all")).select("verdict", "width", "gram", "n")
+    own = counts.select((2 * F.col("width")).alias("slot"), "gram", *COUNTS, *[F.lit(0).cast("long").alias(f"{c}_kinds") for c in COUNTS])
+    head = F.floor(F.col("gram") / SYMBOLS).cast("long")  # exact: grams are far below 2 ** 53
+    heads = counts.groupBy((2 * F.col("width") + 1).alias("slot"), head.alias("gram"))
+    return own.unionByName(heads.agg(*[F.sum(c).alias(c) for c in COUNTS], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_kinds") for c in COUNTS]))
 
 
-def scorer(models: dict[str, Markov]):
-    @F.arrow_udf(T.DoubleType())
-    def score(url: pa.Array) -> pa.Array:
+def sought(rows: DataFrame, order: int) -> DataFrame:
+    """chunk, slot and gram: the distinct n-grams and contexts of each chunk (again for each batch that a chunk spans)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        codes, offsets = symbols(url)
-        size = np.diff(offsets)
-        if len(models) < 2 or not len(codes):
-            return pa.array(np.zeros(len(url)))
-        diff = models["allow"].log_likelihood(codes, offsets) - models["block"].log_likelihood(codes, offsets)
-        return pa.array(np.where(size > 0, diff / np.maximum(size, 1), 0.0))
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            cuts = np.flatnonzero(np.diff(chunk)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(chunk)]):
+                codes, offsets = symbols(batch.column("url").slice(int(a), int(b - a)))
+                for width in range(1, order + 2) if len(codes) else ():
+                    g = grams(codes, offsets, width)
+                    own = np.unique(g[g >= 0])
+                    heads = np.unique(own // SYMBOLS)
+                    slot = np.repeat((2 * width, 2 * width + 1), (len(own), len(heads)))
+                    made = [pa.array(np.full(len(slot), chunk[a]), pa.int64()), pa.array(slot, pa.int32()), pa.array(np.concatenate((own, heads)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(made, names=["chunk", "slot", "gram"])
 
-    return score
+    return rows.select("chunk", "url").mapInArrow(run, "chunk long, slot int, gram long")
 
 
-def url_filter(pages: DataFrame, rules=RULES, order: int = 5, rare: int = 20_000) -> DataFrame:
+def scored(rows: DataFrame, order: int) -> DataFrame:
+    """``rows`` with score, by all examples, and held, by those outside of the fold (null while a class has none)."""
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        import numpy as np
+
+        codes, offsets = symbols(own.column("url"))
+        size = np.diff(offsets)
+        for name, which in (("score", "all"), ("held", "most")):
+            allow, block = (Markov(found, f"{verdict}_{which}", order) for verdict in ("allow", "block"))
+            if len(codes) and allow.known and block.known:
+                diff = allow.log_likelihood(codes, offsets) - block.log_likelihood(codes, offsets)
+                value = pa.array(np.where(size > 0, diff / np.maximum(size, 1), 0.0))
+            else:
+                value = pa.array([0.0 if name == "score" else None] * len(size), pa.float64())
+            own = own.append_column(name, value)
+        return own.drop_columns(["url", "chunk"])
+
+    found = sought(rows, order).join(counted(rows, order), ["slot", "gram"]).groupBy("chunk")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c not in ("url", "chunk"))
+    return rows.groupBy("chunk").cogroup(found).applyInArrow(run, f"{schema}, score double, held double")
+
+
+def url_filter(pages: DataFrame, rules=RULES, order: int = 5, chunk_bytes: int = 256 << 10) -> DataFrame:
     """page_id, host, path, rule, verdict, score and the calibrated cut for every row of ``pages``."""
     host, path = parts(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("given", verdict)
-    examples = rows.where("given is not null").select(F.col("given").alias("verdict"), "url")
-    fold = F.crc32("url") % 5 == 0
-    counts = counted(examples.where(~fold), order, rare).collect()  # at most rare rows a class and width
-    found = {v: Markov([(r.width, r.gram, r.n) for r in counts if r.verdict == v], order) for v in ("allow", "block") if any(r.verdict == v for r in counts)}
-    score = scorer(found)
+    rows = rows.withColumn("rule", rule).withColumn("given", verdict).withColumn("fold", F.coalesce(F.crc32("url") % 5 == 0, F.lit(False)))
+    judged = staged(scored(staged(chunked(rows, chunk_bytes), "url_rows"), order), "url_scores")
     step = -2 * LEAST / GRID
-    cell = F.least(F.greatest(F.floor((F.col("score") - LEAST) / step), F.lit(0)), F.lit(GRID - 1)).cast("int")
-    held = examples.where(fold).select("verdict", score("url").alias("score")).groupBy("verdict", cell.alias("cell")).count().collect()  # 2 * GRID rows at most
+    cell = F.least(F.greatest(F.floor((F.col("held") - LEAST) / step), F.lit(0)), F.lit(GRID - 1)).cast("int")
+    held = judged.where("given is not null and fold and held is not null").groupBy(F.col("given").alias("verdict"), cell.alias("cell")).count().collect()  # 2 * GRID rows at most
     tally = {v: [0] * GRID for v in ("allow", "block")}
     for r in held:
         tally[r.verdict][r.cell] += r["count"]
     cut = 0.0
-    if len(found) == 2 and all(map(sum, tally.values())):
+    if all(map(sum, tally.values())):
         # urls in cells below the cut are blocked; the share of both classes judged rightly is greatest, nearest to 0 on ties
         good, lost, best = sum(tally["allow"]), 0, None
         for k in range(GRID + 1):
@@ -179,6 +233,6 @@ def url_filter(pages: DataFrame, rules=RULES, order: int = 5, rare: int = 20_000
                 best = (rank, LEAST + k * step)
             lost += tally["block"][k] if k < GRID else 0
         cut = best[1]
-    judged = rows.withColumn("score", score("url")).withColumn("cut", F.lit(cut))
+    judged = judged.withColumn("cut", F.lit(cut))
     own = F.when(F.col("score") >= F.col("cut"), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("given", own).alias("verdict"), "score", "cut")

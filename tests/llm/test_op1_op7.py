@@ -1,5 +1,7 @@
+import collections
 import math
 import random
+import zlib
 
 import numpy as np
 
@@ -43,6 +45,54 @@ def test_rules_and_model(spark):
     assert url_filter(df.limit(0)).count() == 0
 
 
+def plain_scores(urls, examples, order=5):
+    """Witten-Bell log-likelihood ratios of ``urls`` by every n-gram of ``examples`` (url, verdict), in dictionaries."""
+    text = lambda u: u.partition("://")[2].lower() + "\0"
+    models = []
+    for verdict in ("allow", "block"):
+        after = collections.defaultdict(collections.Counter)
+        for u, v in examples:
+            for i, c in enumerate(text(u)) if v == verdict else ():
+                for k in range(min(i, order) + 1):
+                    after[text(u)[i - k : i]][c] += 1
+        models.append(after)
+
+    def log_likelihood(s, after):
+        out = 0.0
+        for i, c in enumerate(s):
+            p = 1 / 97
+            for k in range(min(i, order) + 1):
+                seen = after.get(s[i - k : i])
+                p = (seen[c] + len(seen) * p) / (sum(seen.values()) + len(seen)) if seen else p
+            out += math.log(p)
+        return out
+
+    return {u: (log_likelihood(text(u), models[0]) - log_likelihood(text(u), models[1])) / len(text(u)) for u in urls}
+
+
+def test_rare_ngrams_and_the_fold_count(spark):
+    r = random.Random(8)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(12))
+    good, bad = ([word(x) for _ in range(1200)] for x in ("aeioulmnrst", "xzqk9aeiou0"))
+    ruled = [(f"https://{w}.com/fr/{w}", "allow") for w in good] + [(f"https://{w}.com/de/{w}", "block") for w in bad]
+    open_ = [f"https://{w}.net/{x}" for w, x in zip(good[::40], bad[::40])] + [f"https://{w[:6]}.net/{w[3:]}" for w in good[:30] + bad[:30]]
+    urls = [u for u, _ in ruled] + open_
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert sum(len(u) - 7 for u, v in ruled if v == "allow") > 20_000  # so that an n-gram seen once is rarer than one in 20,000
+    asked = [u for u, _ in ruled[::100]] + open_
+    want = plain_scores(asked, ruled)
+    held = [x for x in ruled if zlib.crc32(x[0].encode()) % 5 == 0]
+    by = plain_scores([u for u, _ in held], [x for x in ruled if x not in set(held)])
+    rightly = lambda cut: sum(np.mean([(by[u] >= cut) == (v == "allow") for u, v in held if v == which]) for which in ("allow", "block"))
+    for some in (df, df.repartition(7)):
+        for size in (1 << 18, 4000):
+            rows = url_filter(some, chunk_bytes=size).collect()
+            got = {urls[x.page_id]: x for x in rows}
+            assert all(abs(got[u].score - want[u]) < 1e-9 for u in asked)
+            assert len({x.cut for x in rows}) == 1 and abs(rightly(rows[0].cut) - max(rightly(-8 + k / 64) for k in range(1025))) < 1e-9
+            assert all(got[u].verdict == ("allow" if got[u].score >= got[u].cut else "block") for u in open_)
+
+
 def brute(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = []
