@@ -2,13 +2,14 @@
 
 A source's documents fall into ``blocks`` hash blocks (so a hot source is spread over all of them) and
 the blocks are permuted. The mix takes every block once per whole epoch of the source's target, and for
-the rest a prefix of the permuted blocks, mended by single blocks that bring the taken words closest to
-the target. The drawn blocks' counts per source are then divided among the output shards by a
+the rest each of the permuted blocks that still fits, also past those that do not. What is left then is
+less than any block not drawn; if it brings the taken words closer to the target, the smallest of these is
+drawn as well and drawn blocks that fit into the excess are given back, the last first. The drawn blocks' counts per source are then divided among the output shards by a
 multivariate-hypergeometric splitting tree: at each node half of the drawn units, chosen by a seeded
 hash, go left. Each shard draws its quota as the next positions of the source's permutation, so shards
 share no unit, and ``mixed`` orders rows within a shard by a hash.
 
-Only tables of at most ``blocks`` rows a source pass through windows; documents are only hashed,
+Only tables of at most ``blocks`` rows a source pass through windows and arrays; documents are only hashed,
 pre-aggregated and joined on (source, block). Every draw is a hash of the seed, so reruns agree.
 
 Defined cases: null or blank texts have size 0 and are taken with their block; a null source is a source
@@ -53,7 +54,30 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, stop
     return by.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def block_plan(sizes: DataFrame, shards: int = 16, seed: int = 7, mends: int = 3) -> DataFrame:
+def _drawn(blocks: DataFrame) -> DataFrame:
+    """ds and dt: source and turn of the blocks drawn for the part epoch; ``blocks`` has source, turn, words and rest."""
+    none = F.array().cast("array<struct<turn:int,words:bigint>>")
+
+    def fit(left, x):
+        own = F.struct((left["left"] - x["words"]).alias("left"), F.array_append(left["took"], x).alias("took"))
+        return F.when(x["words"] <= left["left"], own).otherwise(left)
+
+    def filled(rows: Column, left: Column) -> Column:
+        """What is left after each of ``rows``, in their order, that fits into it, and those."""
+        return F.aggregate(rows, F.struct(left.cast("double").alias("left"), none.alias("took")), fit)
+
+    by = blocks.where("words > 0").groupBy("source").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("turn", "words"))).alias("all"))
+    by = by.withColumn("fill", filled(F.col("all"), F.col("rest"))).withColumn("took", F.col("fill.took"))
+    missing = F.transform(F.array_except("all", "took"), lambda x: F.struct(x["words"].alias("words"), x["turn"].alias("turn")))
+    by = by.withColumn("next", F.array_min(missing))
+    by = by.withColumn("back", filled(F.reverse("took"), F.col("next.words") - F.col("fill.left")))
+    swapped = F.array_append(F.array_except("took", "back.took"), F.struct(F.col("next.turn").alias("turn"), F.col("next.words").alias("words")))
+    nearer = F.col("next").isNotNull() & (F.col("back.left") < F.col("fill.left"))
+    out = by.select(F.col("source").alias("ds"), F.explode(F.when(nearer, swapped).otherwise(F.col("took"))).alias("x"))
+    return out.select("ds", F.col("x.turn").alias("dt"))
+
+
+def block_plan(sizes: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """source, block, source_size, target, copies and the output shards of each copy."""
     goal = targets(sizes)
     sums = sizes.groupBy("source", "block").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s")
@@ -63,12 +87,11 @@ def block_plan(sizes: DataFrame, shards: int = 16, seed: int = 7, mends: int = 3
     of = Window.partitionBy("source")
     b = b.withColumn("turn", F.row_number().over(of.orderBy(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block")), "block")))
     b = b.withColumn("upto", F.sum("words").over(of.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
-    b = staged(b.withColumn("drawn", F.col("upto") <= F.col("rest")), "mix_blocks")
-    for _ in range(mends):
-        b = b.withColumn("gap", F.col("rest") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("words"))).over(of), F.lit(0)))
-        b = b.withColumn("off", F.when(F.col("drawn"), None).otherwise(F.abs(F.col("gap") - F.col("words"))))
-        nth = F.row_number().over(of.orderBy(F.col("off").asc_nulls_last(), "turn"))
-        b = b.withColumn("nth", nth).withColumn("drawn", F.col("drawn") | ((F.col("nth") == 1) & (F.col("off") < F.col("gap"))))
+    b = staged(b, "mix_blocks")
+    fit = _drawn(b)
+    b = b.join(fit, F.col("source").eqNullSafe(F.col("ds")) & (F.col("turn") == F.col("dt")), "left")
+    blank = (F.col("words") == 0) & (F.col("upto") <= F.col("rest"))  # blocks without words go by their turn
+    b = b.withColumn("drawn", F.col("dt").isNotNull() | blank)
     b = staged(b.withColumn("copies", F.col("epochs") + F.col("drawn").cast("int")).select("source", "block", "source_size", "target", "copies"), "mix_drawn")
 
     units = b.where("copies > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

@@ -1,5 +1,6 @@
 import collections
 import re
+import zlib
 
 import duckdb
 
@@ -91,3 +92,22 @@ def test_mix_odd_rows(spark):
     assert set(order) == {"s", "t", "é", "Z", None}
     assert mixed(df).columns == df.columns
     assert taken(df.limit(0)).count() == 0 and mixed(df.limit(0)).count() == 0
+
+
+def test_mix_is_near_with_one_dominant_document(spark):
+    rows = [(f"{k}-{i}", f"s{k:02}", 6000 if i == 0 else 40 + i % 21) for k in range(60) for i in range(400)]  # 23 % of its source, or else 50 words
+    sizes = spark.createDataFrame([(d, s, n, zlib.crc32(d.encode()) % 1024) for d, s, n in rows], "doc_id string, source string, size long, block long")
+    for seed in (7, 8):
+        got = collections.defaultdict(list)
+        for r in block_plan(sizes, seed=seed).collect():
+            got[r.source].append(r)
+        words = collections.Counter()
+        for _, s, n in rows:
+            words[s] += n
+        own = collections.Counter()
+        for d, s, n in rows:
+            own[s, zlib.crc32(d.encode()) % 1024] += n
+        assert len(got) == 60
+        for s, plan in got.items():
+            assert {r.copies - min(x.copies for x in plan) for r in plan} <= {0, 1}
+            assert abs(sum(r.copies * own[s, r.block] for r in plan) - plan[0].target) <= 100, s
