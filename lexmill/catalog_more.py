@@ -130,6 +130,18 @@ vec("knn_two_ring", lambda v: vectors.two_rings(v, 5), f"""{FROM_SEED}, f as (se
 ), r as (select *, row_number() over (partition by source order by distance, id) as n from o)
 select cast(5 as bigint) as source, id, cast(1 as int) as ring, distance from f union all select source, id, 2, distance from r where n <= 3""")
 
+# the same for every row whose id is divisible by 20
+FROM_ALL = f", q as (select id as query_id, label as own, vector as s from v where id % 20 = 0), d as (select query_id, own, id, label, {ROUND.format('vector', 's')} as distance from v join q on id <> query_id)"
+RANKED = "select query_id, id, label, distance from (select *, row_number() over (partition by query_id order by distance, id) as n from d{0}) where n <= {1}"
+asked = lambda v: v.where("id % 20 = 0")
+vec("knn_all", lambda v: vectors.compared(v, asked(v), 10), f"{FROM_ALL} {RANKED.format('', 10)}")
+vec("knn_same_label_all", lambda v: vectors.compared(v, asked(v), 5, same_label=True), f"{FROM_ALL} {RANKED.format(' where label = own', 5)}")
+vec("semantic_band_all", lambda v: vectors.compared(v, asked(v), low=0.75, high=0.9), f"{FROM_ALL} select query_id, id, label, distance from d where distance between 0.75 and 0.9")
+vec("knn_two_ring_all", lambda v: vectors.all_two_rings(v, asked(v)), f"""{FROM_ALL}, f as (select query_id, id, distance from ({RANKED.format('', 8)})
+), o as (select f.query_id, a.id as source, b.id, {ROUND.format('b.vector', 'a.vector')} as distance from f join v a on f.id = a.id join v b on b.id <> a.id and b.id <> f.query_id
+), r as (select *, row_number() over (partition by query_id, source order by distance, id) as n from o)
+select query_id, query_id as source, id, cast(1 as int) as ring, distance from f union all select query_id, source, id, 2, distance from r where n <= 3""")
+
 # --- texts
 on("word_stats", "documents", lambda d: ingest.word_stats(d, STOP), f"select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as bigint) as word_count, cast(len(list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda x: lower(x))), lambda x: x not in ({', '.join(map(repr, STOP))}))) as bigint) as distinct_words from documents")
 TOKENS = """with occ as (select doc_id, s, lower(s) as lemma from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as s from documents) where length(s) >= {least}

@@ -1,8 +1,10 @@
-"""Exact vector search for single queries: nearest rows, distance bands, offsets, two rings."""
+"""Exact vector search: nearest rows, distance bands and two rings, of single seeds or of whole tables of queries; offsets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import cosine_distance
 
@@ -44,3 +46,54 @@ def two_rings(vectors: DataFrame, seed: int, k: int = 8, second: int = 3) -> Dat
     scored = pairs.select("a", F.col("id").alias("b"), F.round(cosine_distance(F.col("vector"), F.col("va")), 6).alias("distance")).withColumn("score", -F.col("distance"))
     outer = best(scored, "a", second).select(F.col("a").alias("source"), F.col("b").alias("id"), F.lit(2).alias("ring"), "distance")
     return first.select(F.lit(seed).cast("long").alias("source"), "id", F.lit(1).alias("ring"), "distance").unionByName(outer)
+
+
+def compared(vectors: DataFrame, queries: DataFrame, k: int | None = None, same_label: bool = False, low: float = -1.0, high: float = 3.0, block: int = 2048) -> DataFrame:
+    """(query_id, id, label, distance) of every row of ``queries`` to all other ``vectors`` (both id, label, vector), within a band; only the ``k`` nearest if given.
+
+    Blocks of queries meet blocks of vectors; each pair of blocks keeps the best ``k`` of each query, so a
+    task holds two blocks, and what meets again is k rows a query and block. Null vectors are left out.
+    """
+
+    def dealt(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        rows = rows.where("vector is not null").select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "label", "vector")])  # new names: both sides may come from one table
+        n = max(1, -(-rows.count() // block))
+        return rows.withColumn(name, F.pmod(F.xxhash64(f"{name}_id"), F.lit(n)).cast("int")), n
+
+    def run(v: pa.Table, q: pa.Table) -> pa.Table:
+        import numpy as np
+
+        found = []
+        if v.num_rows and q.num_rows:
+            ids, labels, own = v["vb_id"].to_numpy(), v["vb_label"].to_numpy(), np.array(v["vb_vector"].to_pylist(), float)
+            size = (own * own).sum(axis=1)
+            for i, label, one in zip(q["qb_id"].to_pylist(), q["qb_label"].to_pylist(), np.array(q["qb_vector"].to_pylist(), float)):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = np.round(1 - np.clip(own @ one / np.sqrt(size * (one @ one)), -1, 1), 6)
+                at = np.flatnonzero((ids != i) & (d >= low) & (d <= high) & ((labels == label) | (not same_label)))
+                at = at if k is None else at[np.lexsort((ids[at], d[at]))[:k]]
+                found.append((np.full(len(at), i), ids[at], labels[at], d[at]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0)] * 4
+        kinds = (pa.int64(), pa.int64(), label_type, pa.float64())
+        return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=["query_id", "id", "label", "distance"])
+
+    label_type = to_arrow_type(vectors.schema["label"].dataType)
+    (v, nv), (q, nq) = dealt(vectors, "vb"), dealt(queries, "qb")
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).groupBy("qb", "vb")
+    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).groupBy("qb", "vb")
+    out = v.cogroup(q).applyInArrow(run, f"query_id long, id long, label {dict(vectors.dtypes)['label']}, distance double")
+    if k is None:
+        return out
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+
+
+def all_two_rings(vectors: DataFrame, queries: DataFrame, k: int = 8, second: int = 3) -> DataFrame:
+    """(query_id, source, id, ring, distance): ``two_rings`` of every row of ``queries``."""
+    first = compared(vectors, queries, k).select("query_id", "id", "distance")
+    members = vectors.join(first.select("id").distinct(), "id", "left_semi")
+    near = compared(vectors, members, second + 1).select(F.col("query_id").alias("source"), "id", "distance")  # one more, as the query is left out
+    outer = first.select("query_id", F.col("id").alias("source")).join(near, "source").where(F.col("id") != F.col("query_id"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("distance", "id"))
+    outer = outer.withColumn("nth", nth).where(F.col("nth") <= second)
+    return first.select("query_id", F.col("query_id").alias("source"), "id", F.lit(1).alias("ring"), "distance").unionByName(outer.select("query_id", "source", "id", F.lit(2).alias("ring"), "distance"))

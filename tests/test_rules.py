@@ -177,3 +177,17 @@ def test_out_of_order_leaves_a_longest_run(spark):
             most.append(1 + max((most[k] for k in range(i) if v[k] <= x), default=0))
         left = [x[2] for x in rows if x[0] == g and x[2] is not None and x[:2] not in gone]
         assert left == sorted(left) and len(left) == max(most, default=0)
+
+
+def test_every_query_is_compared_whatever_the_blocks(spark):
+    import numpy as np
+
+    from lexmill.operators import vectors
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(90, 4))
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, label int, vector array<double>")
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    want = {(q, i) for q in range(0, 90, 20) for i in sorted(set(range(90)) - {q}, key=lambda i: 1 - unit[q] @ unit[i])[:4]}
+    for block in (2048, 7):
+        assert {(y.query_id, y.id) for y in vectors.compared(df, df.where("id % 20 = 0"), 4, block=block).collect()} == want
