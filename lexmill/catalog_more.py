@@ -62,9 +62,10 @@ star("ring2_lateral", lambda c: relate.best(edges(c), "a", 2).select("a", "b", "
 
 
 def cluster_map(c):
-    """The forty authors with most words, ties to the name."""
-    top = c.author_links.groupBy("author").count().orderBy(F.desc("count"), "author").limit(40).select(F.col("author").alias("node"))
-    return relate.cluster(c.author_links, "author", "word_id", top, 6).select("node", "cluster", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    """The 200 authors with most books, of those with words, ties to the name, in at most 12 clusters."""
+    books = c.books.join(c.author_links.select("author").distinct(), "author", "left_semi").groupBy("author").count()
+    top = books.orderBy(F.desc("count"), "author").limit(200).select(F.col("author").alias("node"))
+    return relate.cluster(c.author_links, "author", "word_id", top, 12).select("node", "cluster", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 star("cluster_map", cluster_map)

@@ -191,3 +191,15 @@ def test_every_query_is_compared_whatever_the_blocks(spark):
     want = {(q, i) for q in range(0, 90, 20) for i in sorted(set(range(90)) - {q}, key=lambda i: 1 - unit[q] @ unit[i])[:4]}
     for block in (2048, 7):
         assert {(y.query_id, y.id) for y in vectors.compared(df, df.where("id % 20 = 0"), 4, block=block).collect()} == want
+
+
+def test_cluster_map_takes_the_200_authors_with_most_books(spark):
+    from lexmill.catalog_more import cluster_map
+    from lexmill.plans.star import load
+
+    c = load(spark, "/root/testdata/sf0.001")
+    named = {r.author for r in c.author_links.select("author").distinct().collect()}
+    count = {r.author: r["count"] for r in c.books.groupBy("author").count().collect() if r.author in named}
+    got = cluster_map(c).collect()
+    assert len(count) > 40 and {r.node for r in got} == set(sorted(count, key=lambda a: (-count[a], a))[:200])
+    assert {r.cluster for r in got} == set(range(1, 13))
