@@ -4,23 +4,28 @@ Each document's ids (with the end id) are cut where a rolling hash of the last 1
 passages give equal chunks wherever they stand. A chunk's address is the BLAKE2b hash of its ids; the
 store keeps each address once. A document's recipe lists its chunks' addresses and sizes and the Merkle
 root over them; recipes lie in ascending doc_id order with the global position of the first id. Each
-range of recipes has a manifest row with the Merkle root over its documents.
+range of recipes has a manifest row with the Merkle root over its documents, and one row for the whole
+store holds the width of an id, the totals and the root over the manifest.
 
 Texts are not shuffled. One shuffle by address deals chunks to their files and drops repeats; each task
 has already dropped the ones it saw itself, so a chunk that many documents share stays small. Reading
-back checks every chunk against its address and every recipe against its root, and takes each document's
+back first works out the manifest and its root from the recipes, so a lost or changed file of either
+raises; it checks every chunk against its address and every recipe against its root, and takes each document's
 checksum from the chunks' checksums (CRC-32 of a sequence is a linear function of those of its parts), so
 ids are not moved again; ``documents_of`` puts the ids themselves together.
 
 Words are encoded by the tokenizers library once each: its pre-tokenizer never joins across ASCII white
-space, nor a run of letters with punctuation that follows.
+space, nor a run of letters with punctuation that follows. That split is made for ASCII letters and the
+Latin letters up to U+017E only, whose normal form and lower case are one letter; of these U+0130 is left
+out, as its lower case ends in a combining mark. Any other word goes to the library whole.
 
 Defined cases: a null text is an empty one and has the end id only; null doc_ids come first; rows that
 repeat a doc_id are documents of their own, ordered by their roots; an empty table gives an empty store;
 other columns are not read.
 
 Tables under ``path``: objects (kind 1: address, data), recipes (doc_id, start, n_tokens, root,
-addresses, sizes), manifest (part, n_docs, n_tokens, start, root). data is zstandard-compressed 16-bit
+addresses, sizes, part), manifest (part, n_docs, n_tokens, start, root), store (width, n_docs, n_tokens,
+root). data is zstandard-compressed 16-bit
 little-endian ids (32-bit for vocabularies over 65,536).
 """
 
@@ -36,10 +41,16 @@ from .shared import shared_dir, slices, split_words, staged
 from .wordcache import WordCache, gather
 
 WINDOW, LEAST, MOST, MASK = 16, 64, 8192, 511
+LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ž]"
 PUNCTUATION = r"[!-&(-/:;=?@\[-`{-~]"
 _ENCODERS: dict = {}
 
 
+def width_of(vocab: dict[str, int]) -> int:
+    """Bytes of an id of ``vocab`` in the store."""
+    return 2 if max(vocab.values()) < 1 << 16 else 4
+
+
 class WordEncoder:
     """ids of whole texts, by a tokenizer file whose pieces end words with </w>."""
 
@@ -53,7 +64,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
-        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.width = width_of(vocab)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             self.ends[i] = piece.endswith("</w>")
@@ -70,7 +81,7 @@ class WordEncoder:
         import numpy as np
         import pyarrow.compute as pc
 
-        plain = np.asarray(pc.match_substring_regex(words, r"^\pL+$"))
+        plain = np.asarray(pc.match_substring_regex(words, rf"^{LETTERS}+$"))
         sizes, values = np.zeros(len(words), np.int64), [None, None]
         for side in (True, False):
             rows = np.flatnonzero(plain == side)
@@ -102,11 +113,11 @@ class WordEncoder:
         else:
             words, codes = pa.array([], pa.large_string()), np.empty(0, np.int64)
         # a word is a run of letters, letters with punctuation after them, or else itself
-        two = np.asarray(pc.match_substring_regex(words, rf"^\pL+{PUNCTUATION}+$"))
-        one = np.asarray(pc.match_substring_regex(words, r"^\pL+$"))
+        two = np.asarray(pc.match_substring_regex(words, rf"^{LETTERS}+{PUNCTUATION}+$"))
+        one = np.asarray(pc.match_substring_regex(words, rf"^{LETTERS}+$"))
         pairs, letters = words.filter(pa.array(two)), words.filter(pa.array(one))
         heads = pc.ascii_lower(pc.replace_substring_regex(pairs, rf"{PUNCTUATION}+$", ""))
-        tails = pc.replace_substring_regex(pairs, r"^\pL+", "")
+        tails = pc.replace_substring_regex(pairs, f"^{LETTERS}+", "")
         rest = words.filter(pa.array(~two & ~one))
         parts = pa.concat_arrays([x.cast(pa.large_string()) for x in (heads, pc.ascii_lower(letters), rest, tails)]).dictionary_encode()
         values, start, size = self.parts.runs(parts.dictionary)
@@ -217,15 +228,17 @@ def objects(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OBJECT_DDL)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
-    """Encode ``docs`` into a store at ``path`` (a folder all executors share)."""
-    spark = docs.sparkSession
-    dealt = objects(docs, tokenizer, end).repartition("key").groupBy("key", "kind")
-    names = ["doc_id", "n_tokens", "root", "addresses", "sizes", "data"]
-    dealt.agg(*[F.first(c).alias(c) for c in names]).write.parquet(f"{path}/objects")
-    made = spark.read.schema(OBJECT_DDL).parquet(f"{path}/objects").where("kind = 0").select("doc_id", "n_tokens", "root", "addresses", "sizes")
-    ranged = made.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
-    ranged = staged(ranged, "ranged", f"{path}/work")
+RECIPE_DDL = "doc_id long, start long, n_tokens long, root binary, addresses binary, sizes array<int>, part int"
+MANIFEST_DDL = "part int, n_docs long, n_tokens long, root binary, start long"
+STORE_DDL = "width int, n_docs long, n_tokens long, root binary"
+
+
+def in_order() -> list:
+    return [F.col("doc_id").asc_nulls_first(), F.col("root")]
+
+
+def part_roots(rows: DataFrame) -> DataFrame:
+    """(part, n_docs, n_tokens, root): the Merkle root over each part's documents, in order."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, tokens, stack = None, 0, 0, []  # stack: (height, node) of the finished subtrees
@@ -249,16 +262,49 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
         if part is not None:
             yield done()
 
-    order = ["part", F.col("doc_id").asc_nulls_first(), "root"]
-    parts = ranged.select("part", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions(*order)
-    parts = staged(parts.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary"), "parts", f"{path}/work")
+    parts = rows.select("part", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", *in_order())
+    return parts.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
+
+
+def manifest_root(parts: DataFrame) -> tuple[int, int, bytes]:
+    """Documents, tokens and the Merkle root of a manifest: a row for each task of a range shuffle."""
+    rows = parts.select("part", "n_docs", "n_tokens", "root").orderBy("part").collect()
+    return sum(r.n_docs for r in rows), sum(r.n_tokens for r in rows), merkle([bytes(r.root) for r in rows])
+
+
+def checked_width(spark: SparkSession, path: str) -> int:
+    """Bytes of an id in the store at ``path``, after its recipes were held against the manifest and that against the store's row."""
+    whole = spark.read.schema(STORE_DDL).parquet(f"{path}/store").collect()
+    recipes = spark.read.schema(RECIPE_DDL).parquet(f"{path}/recipes")
+    if len(whole) != 1 or (whole[0].n_docs, whole[0].n_tokens, bytes(whole[0].root)) != manifest_root(part_roots(recipes)):
+        raise ValueError("the recipes do not match the store's root")
+    if (whole[0].n_docs, whole[0].n_tokens, bytes(whole[0].root)) != manifest_root(spark.read.schema(MANIFEST_DDL).parquet(f"{path}/manifest")):
+        raise ValueError("the manifest does not match the store's root")
+    return whole[0].width
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
+    """Encode ``docs`` into a store at ``path`` (a folder all executors share)."""
+    spark = docs.sparkSession
+    dealt = objects(docs, tokenizer, end).repartition("key").groupBy("key", "kind")
+    names = ["doc_id", "n_tokens", "root", "addresses", "sizes", "data"]
+    dealt.agg(*[F.first(c).alias(c) for c in names]).write.parquet(f"{path}/objects")
+    made = spark.read.schema(OBJECT_DDL).parquet(f"{path}/objects").where("kind = 0").select("doc_id", "n_tokens", "root", "addresses", "sizes")
+    ranged = made.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
+    ranged = staged(ranged, "ranged", f"{path}/work")
+
+    parts = staged(part_roots(ranged), "parts", f"{path}/work")
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # a row for each task of the range shuffle
     parts.withColumn("start", F.sum("n_tokens").over(upto) - F.col("n_tokens")).write.parquet(f"{path}/manifest")
     begin = spark.read.parquet(f"{path}/manifest").select(F.col("part").alias("p"), F.col("start").alias("begin"))
-    inside = Window.partitionBy("part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy(*in_order()).rowsBetween(Window.unboundedPreceding, 0)
     placed = ranged.join(begin, F.col("part") == F.col("p")).withColumn("start", F.col("begin") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     placed = placed.select("doc_id", "start", "n_tokens", "root", "addresses", "sizes", "part")
     placed.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
+    from tokenizers import Tokenizer
+
+    top = manifest_root(spark.read.parquet(f"{path}/manifest"))
+    spark.createDataFrame([(width_of(Tokenizer.from_file(tokenizer).get_vocab()), *top)], STORE_DDL).write.parquet(f"{path}/store")
 
 
 def _unpacked(data: bytes, address_of: bytes, unpack) -> bytes:
@@ -268,7 +314,7 @@ def _unpacked(data: bytes, address_of: bytes, unpack) -> bytes:
     return raw
 
 
-def chunk_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def chunk_digests(spark: SparkSession, path: str, width: int) -> DataFrame:
     """(address, n, crc) of every stored chunk, read from its bytes and checked against its address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +352,7 @@ def recipe_rows(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["start", "doc_id", "n_tokens", "at", "address", "size"])
 
-    return spark.read.parquet(f"{path}/recipes").mapInArrow(run, "start long, doc_id long, n_tokens long, at long, address binary, size int")
+    return spark.read.schema(RECIPE_DDL).parquet(f"{path}/recipes").mapInArrow(run, "start long, doc_id long, n_tokens long, at long, address binary, size int")
 
 
 def _crc_tables() -> list:
@@ -342,8 +388,9 @@ def _carried(crc, after):
     return pd.Series(v.astype(np.int64))
 
 
-def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the store's files."""
+    width = checked_width(spark, path)
     rows = recipe_rows(spark, path)
     read = chunk_digests(spark, path, width).withColumnsRenamed({"address": "have", "n": "have_n"})
     joined = rows.join(read, F.col("address") == F.col("have"), "left")
@@ -352,8 +399,9 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return joined.groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def documents_of(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def documents_of(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): every document's ids, put together from its chunks."""
+    width = checked_width(spark, path)
 
     @F.pandas_udf("array<long>")
     def ids(chunks):

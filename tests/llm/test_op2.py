@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -5,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexmill.llm.op2_token_store import OBJECT_DDL, digests, documents_of, merkle, write_store
+from lexmill.llm.op2_token_store import OBJECT_DDL, WordEncoder, digests, documents_of, merkle, write_store
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SHARED = "The quick brown fox, jumps over it's 12 lazy dogs!! "
@@ -63,3 +64,40 @@ def test_repeats_empty_and_damage(spark, tmp_path):
     shutil.copytree(tmp_path / "e/objects", tmp_path / "d/objects")
     with pytest.raises(Exception, match="missing"):
         digests(spark, str(tmp_path / "d")).collect()
+
+
+def test_any_text_is_encoded_as_by_the_library():
+    """Words of odd letters, combining marks and punctuation, side by side."""
+    import pyarrow as pa
+
+    r = random.Random(7)
+    signs = "aAbZéÉİıŁßſKÅσςΣДд日ﬁ" + "\u0301\u0307\u0327\u200d\u00ad" + ".,'!?-_;:()\"`~1२½#" + "  \u00a0\u2003\n\x1c"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 14))) for _ in range(30_000)] + ["TARİHİ, son", "İ.", "abİ!'s", "it's, don'T'"]
+    t, own = Tokenizer.from_file(PATH), WordEncoder(PATH)
+    ids, offsets = own.encode(pa.array(texts))
+    for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == e.ids, repr(texts[k])
+
+
+def test_lost_files_raise(spark, tmp_path):
+    import shutil
+
+    df = spark.createDataFrame([(i, f"text number {i} " * 9) for i in range(50)], "doc_id long, text string").repartition(4)
+    write_store(df, str(tmp_path / "s"), PATH, 2)
+    assert digests(spark, str(tmp_path / "s")).count() == 50
+    for table in ("recipes", "manifest"):
+        shutil.copytree(tmp_path / "s", tmp_path / table)
+        next(p for p in sorted((tmp_path / table / table).glob("part-*.parquet"), key=lambda p: -p.stat().st_size)).unlink()
+        with pytest.raises(ValueError, match="root"):
+            digests(spark, str(tmp_path / table))
+
+
+def test_wide_vocabularies_are_read_back(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    wide = Tokenizer(models.WordLevel({"a": 0, "b": 70_000, "[UNK]": 1}, unk_token="[UNK]"))
+    wide.pre_tokenizer = pre_tokenizers.Whitespace()
+    wide.save(str(tmp_path / "wide.json"))
+    write_store(spark.createDataFrame([(1, "a b c b")], "doc_id long, text string"), str(tmp_path / "s"), str(tmp_path / "wide.json"), 2)
+    assert spark.read.parquet(str(tmp_path / "s/store")).first().width == 4
+    assert documents_of(spark, str(tmp_path / "s")).first().ids == [0, 70_000, 1, 70_000, 2]
