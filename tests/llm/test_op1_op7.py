@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from lexmill.llm.op1_url_filter import RULES, url_filter
-from lexmill.llm.op7_nearest import nearest
+from lexmill.llm.op7_nearest import _search, nearest
 
 
 def split(url):
@@ -115,17 +115,41 @@ def test_small_and_odd_tables_are_exact(spark):
     assert nearest(df.limit(0)).count() == 0 and nearest(df.where("vec_id > 150")).count() == 0
 
 
-def test_recall_on_the_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    table = df.toPandas()
-    x = np.stack(table.embedding.to_numpy()).astype(float)
-    ids = table.vec_id.to_numpy()
-    got = nearest(df, block=500, group=8).toPandas()
-    hits = 0
-    for q in np.flatnonzero(ids % 100 == 0):
+def recall(got, ids, x):
+    hits, asked = 0, np.flatnonzero(ids % 100 == 0)
+    for q in asked:
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         order = [i for i in np.lexsort((ids, d)) if i != q][:10]
         mine = got[got.query_id == ids[q]].sort_values("rank")
         assert len(mine) == 10 and mine.score.is_monotonic_increasing
         hits += len(set(mine.vec_id) & set(ids[order]))
-    assert hits >= 0.93 * 10 * (ids % 100 == 0).sum()
+    return hits / (10 * len(asked))
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = df.toPandas()
+    x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
+    assert recall(nearest(df).toPandas(), ids, x) >= 0.92
+    assert recall(nearest(df, block=500, group_bytes=8000).toPandas(), ids, x) >= 0.92
+
+
+def test_recall_and_work_on_a_whole_block(spark):
+    """Vectors of no structure, and clusters: fewer operations than comparing all, at the registered parameters."""
+    r = np.random.default_rng(2)
+    plain = r.normal(size=(16_384, 64))
+    middles = r.normal(size=(200, 64))
+    near = middles[r.integers(0, 200, 16_384)] + 0.3 * r.normal(size=(16_384, 64))
+    for x, most in ((plain / np.linalg.norm(plain, axis=1)[:, None], 0.87), (near, 0.2)):
+        lines = np.random.default_rng(11).normal(size=(64, 32))
+        p = x @ lines
+        rows = np.argsort(p, axis=0, kind="stable")
+        work, hits = [], 0
+        how = [nearest.__defaults__[nearest.__code__.co_varnames.index(n) - 1] for n in ("share", "start", "grow", "reach")]
+        asked = np.arange(0, 16_384, 300)
+        for q, found, _ in _search((np.arange(len(x)), x, np.take_along_axis(p, rows, axis=0).T.copy(), rows.T.astype(np.int32).copy(), p[asked]), x[asked], 10, *how, work):
+            d = ((x - x[asked[q]]) ** 2).sum(axis=1)
+            hits += len(set(found.tolist()) & set(np.argsort(d, kind="stable")[:11].tolist())) - 1
+        counted, verified = np.array(work).sum(axis=0)
+        assert hits >= 0.92 * 10 * len(asked)
+        assert counted + 64 * verified <= most * 64 * len(x) * len(asked)
