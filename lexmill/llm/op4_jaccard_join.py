@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from .components import components
-from .shared import mix64, row_count_broadcast, shingle_hashes, slices, staged
+from .shared import mix64, bounded_broadcast, shingle_hashes, slices, staged
 
 BAND, BLOCK = 1.6, 1024
 
@@ -202,15 +202,15 @@ def close(pairs: DataFrame, sketch: DataFrame, join: Join) -> DataFrame:
     return x.where(_hamming_ok(join)("xa", "xb", "na", "nb")).select("a", "b")
 
 
-def verified(near: DataFrame, docs: DataFrame, join: Join, name: str, broadcast_ids: int) -> DataFrame:
+def verified(near: DataFrame, docs: DataFrame, join: Join, name: str, broadcast_bytes: int) -> DataFrame:
     """The pairs (a, b) of the table ``near`` that are linked, by their exact sets.
 
-    Texts of candidates are picked by a broadcast of their ids while those are at most ``broadcast_ids``,
+    Texts of candidates are picked by a broadcast of their ids while those are at most ``broadcast_bytes``,
     beyond that by a shuffle.
     """
     ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(row_count_broadcast(staged(ids, f"{name}_ids"), broadcast_ids), "doc_id", "left_semi")
+    texts = texts.join(bounded_broadcast(staged(ids, f"{name}_ids"), broadcast_bytes), "doc_id", "left_semi")
     whole = sets(texts, join)
     y = near.join(whole.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
     y = y.join(whole.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
@@ -263,7 +263,7 @@ def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join
     return held.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_ids: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; links at Jaccard >= num / den."""
     join = Join(num, den, width)
     sketch = staged(sketches(docs, join), "sketches")
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     classes = staged(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "firsts")  # staged, so that the join's hot classes can be split
     member = named.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"])
     member = staged(member, "classes")
-    copies = row_count_broadcast(member.where("doc_id <> rep").drop("rep"), broadcast_ids)
+    copies = bounded_broadcast(member.where("doc_id <> rep").drop("rep"), broadcast_bytes)
     firsts = named.join(copies, ["doc_id", "f1", "f2", "n"], "left_anti")
 
     def rows(keys: str, up: bool) -> DataFrame:
@@ -286,10 +286,10 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     star = group.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("a"), F.count("*").alias("times")).where("times > 1")
     first = group.join(star, F.col("key") == F.col("k")).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     first = staged(first, "star_pairs")
-    links = verified(staged(close(first, sketch, join), "star_near"), docs, join, "star", broadcast_ids)
+    links = verified(staged(close(first, sketch, join), "star_near"), docs, join, "star", broadcast_bytes)
     roots = staged(components(links), "star_roots")
     rest = open_pairs(group, roots, sketch, join).join(first, ["a", "b"], "left_anti")
-    more = verified(staged(rest, "open_near"), docs, join, "open", broadcast_ids)
+    more = verified(staged(rest, "open_near"), docs, join, "open", broadcast_bytes)
     roots = staged(components(links.unionByName(more)), "roots")
 
     own = member.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
@@ -298,13 +298,13 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_ids: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` without documents whose component has a smaller doc_id; rows that repeat a doc_id become one row.
 
     Rows without a doc_id stay.
     """
-    found = staged(near_duplicates(docs, num, den, width, broadcast_ids), "components")
-    gone = row_count_broadcast(found.where("component_id < doc_id").select("doc_id").distinct(), broadcast_ids)
+    found = staged(near_duplicates(docs, num, den, width, broadcast_bytes), "components")
+    gone = bounded_broadcast(found.where("component_id < doc_id").select("doc_id").distinct(), broadcast_bytes)
     left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.limit(1).count():

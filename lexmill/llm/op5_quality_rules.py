@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import GAP, row_count_broadcast, staged
+from .shared import GAP, bounded_broadcast, staged
 
 #: statistic -> (per-mille slack added to the fences, whether there is a lower fence too)
 SLACK = {"word_length": (1000, True), "symbols": (100, False), "dup_lines": (300, False), "repeats": (200, False)}
@@ -135,13 +135,13 @@ def quality_rules(docs: DataFrame, min_docs: int = 100, reach: int = 3) -> DataF
     return judged(stats, limits)
 
 
-def keep_good(docs: DataFrame, min_docs: int = 100, reach: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
+def keep_good(docs: DataFrame, min_docs: int = 100, reach: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; the text is never shuffled.
 
     Statistics are computed again for the verdict rather than joined back. The fences are broadcast when
-    there are at most ``broadcast_rows`` groups, else joined by shuffle.
+    there are at most ``broadcast_bytes`` groups, else joined by shuffle.
     """
     stats = staged(with_stats(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality_stats")
     limits = staged(fences(sketches(stats), min_docs, reach), "quality_fences")
-    limits = row_count_broadcast(limits, broadcast_rows)
+    limits = bounded_broadcast(limits, broadcast_bytes)
     return judged(with_stats(docs, "__q_"), limits, "__q_").where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

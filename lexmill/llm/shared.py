@@ -13,11 +13,14 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a temporary one of our own."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one of our own in a local session; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
         base = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
@@ -35,14 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def at_most(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has at most ``bound`` rows; the check that precedes every broadcast."""
-    return df.limit(bound + 1).count() <= bound
+def small(df: DataFrame, most_bytes: int) -> bool:
+    """Whether the rows of ``df`` take at most ``most_bytes``: 16 for each value and row, and what strings, binaries and arrays hold."""
+    size = F.lit(16 * (1 + len(df.columns)))
+    for c, t in df.dtypes:
+        if t in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
+        elif t.startswith("array"):
+            size = size + 16 * F.greatest(F.coalesce(F.size(f"`{c}`"), F.lit(0)), F.lit(0))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most_bytes
 
 
-def row_count_broadcast(df: DataFrame, bound: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``bound`` (narrow) rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if at_most(df, bound) else df
+def bounded_broadcast(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """The written table ``df`` marked for broadcast if its rows take at most ``most_bytes``; else Spark shuffles both sides."""
+    return F.broadcast(df) if small(df, most_bytes) else df
 
 
 def split_words(text: pa.Array, lower: bool = False) -> tuple[pa.Array, "object"]:

@@ -3,10 +3,11 @@ import re
 import zlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lexmill.llm import sql
 from lexmill.llm.op5_quality_rules import keep_good, quality_rules
-from lexmill.llm.op8_mixing import block_plan, mixed, sized, taken, targets
+from lexmill.llm.op8_mixing import _hypergeometric, block_plan, mixed, sized, splitting_tree, taken, targets
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,6 +84,37 @@ def test_tree_deals_equal_shards_and_disjoint_units(spark):
     assert all(count[d] == n for d, n in copies)
 
 
+def test_any_number_of_shards(spark):
+    for shards in (1, 3, 10):
+        load = collections.Counter(s for r in block_plan(sized(docs(spark), 64, 7), shards=shards).collect() for s in r.shards)
+        assert set(load) == set(range(shards)) and max(load.values()) - min(load.values()) <= 1
+
+
+def test_draws_follow_the_hypergeometric_law(spark):
+    import math
+
+    def law(n, k, d):
+        return [math.comb(k, x) * math.comb(n - k, d - x) / math.comb(n, d) if x <= d else 0.0 for x in range(k + 1)]
+
+    cases = [(10, 4, 5), (50, 50, 20), (40, 3, 39), (7, 5, 0), (1000, 300, 400)]
+    chances = [(i + 0.5) / 400 for i in range(400)]
+    df = spark.createDataFrame([(*c, u) for c in cases for u in chances], "n long, k long, d long, u double")
+    got = collections.Counter((r.n, r.k, r.d, r.x) for r in df.withColumn("x", _hypergeometric(F.col("n"), F.col("k"), F.col("d"), F.col("u"))).collect())
+    for n, k, d in cases:
+        for x, p in enumerate(law(n, k, d) if d else [1.0] + [0.0] * k):
+            assert abs(got[n, k, d, x] / 400 - p) <= 1.01 / 400
+
+
+def test_tree_with_many_sources_keeps_all_counts(spark):
+    own = {i: 1 + i * 7 % 11 for i in range(1, 701)}  # three groups of sources
+    rows = splitting_tree(spark.createDataFrame(list(own.items()), "rank long, own long"), 6, 3, 700).collect()
+    by, load = collections.Counter(), collections.Counter()
+    for r in rows:
+        by[r["rank"]] += r.quota
+        load[r.shard] += r.quota
+    assert by == own and set(load) == set(range(6)) and max(load.values()) - min(load.values()) <= 1
+
+
 def test_mix_odd_rows(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (None, "x y", None), (4, "", "t"), (5, "w " * 50_000, "é"), (6, "one", "Z")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, block int")
