@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm import op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op8_mixing, op10_sentencepiece
 from lexmill.llm.shared import shared_dir, table
 
-#: The classifier and the sampled hashes have no counterpart in SQL; tests compare run() with a plain version.
+#: The classifier and the draws have no counterpart in SQL; tests/llm/test_pipeline.py compares run() with a plain version of each stage.
 ORACLE_SQL = None
 
 

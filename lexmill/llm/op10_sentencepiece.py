@@ -10,11 +10,13 @@ but pieces, ids, byte fallback, the leading space mark and decoding are the same
 the text exactly (but for a literal space mark, which is read as a space).
 
 No piece holds a space mark after another character, so texts are cut before each run of spaces, and
-each distinct segment is worked out once; the distinct segments of a batch are read side by side.
+each distinct segment is worked out once; the distinct segments of a batch are read side by side, those
+over ``LONG`` bytes one after the other in a plain loop, whose time is linear in their length.
 
 Defined cases: a null text is encoded as null, an empty text as no ids; NUL and control characters go
 through byte pieces; invalid ids decode to nothing; texts and segments of any length are read whole;
-an empty table gives an empty result; other columns are carried along by ``encoded``.
+an empty table gives an empty result; other columns are carried along by ``encoded`` and ``decoded``, and
+one that has the new column's name keeps it: the new one is then named with _2, _3 and so on.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .shared import slices
 from .wordcache import WordCache, gather
 
 MARK = "▁"
+LONG = 512
 _MODELS: dict = {}
 
 
@@ -69,6 +72,7 @@ class Viterbi:
         self.id = np.array([i for _, _, i in pieces], np.int64)
         self.bytes, self.unknown = np.array(byte_ids, np.int64), unknown
         chars = [p for p, _, _ in pieces if len(p.decode("utf-8", "replace")) == 1]
+        self.chars, self.plain = set(chars), None  # plain: the automaton in dictionaries and lists, made for the first long run
         self.single = {len_: np.array(sorted(int.from_bytes(p, "big") for p in chars if len(p) == len_), np.int64) for len_ in (1, 2, 3, 4)}
 
     def _goto(self, state, byte):
@@ -90,9 +94,13 @@ class Viterbi:
         """(counts, ids) of the byte runs, each worked out on its own; runs of like length share a grid."""
         import numpy as np
 
-        order, n = np.argsort(size, kind="stable"), len(start)
-        counts, a = np.zeros(n, np.int64), 0
+        order, n = np.argsort(size, kind="stable"), int((size <= LONG).sum())
+        counts, a = np.zeros(len(start), np.int64), 0
         pieces: list = []
+        for i in order[n:]:
+            ids = np.array(self.walked(data[start[i] : start[i] + size[i]].tobytes()), np.int64)
+            counts[i] = len(ids)
+            pieces.append((np.array([i]), counts[i : i + 1].copy(), ids))
         while a < n:
             many = max(1, (1 << 21) // (2 * int(size[order[a]]) + 2))  # cells of a grid if lengths no more than double
             b = min(n, a + many, a + int(np.searchsorted(size[order[a:]], 2 * size[order[a]] + 1, side="right")))
@@ -107,6 +115,44 @@ class Viterbi:
             flat[gather(np.arange(len(flat)), at[rows], c)] = ids
         return counts, flat
 
+    def walked(self, data: bytes) -> list[int]:
+        """ids of one run, byte by byte."""
+        from array import array
+
+        if self.plain is None:
+            self.plain = (dict(zip(self.keys.tolist(), self.goal.tolist())), *[x.tolist() for x in (self.fail, self.out, self.ends, self.length, self.score)])
+        go, fail, out, ends, length, score = self.plain
+        n, state, since = len(data), 0, 0
+        best, took = array("d", [0.0]) * (n + 1), array("l", [-1]) * (n + 1)
+        for i, b in enumerate(data):
+            if b & 0xC0 != 0x80:
+                since = i
+            to = go.get(state << 8 | b)
+            while to is None and state:
+                state = fail[state]
+                to = go.get(state << 8 | b)
+            state = to or 0
+            top, piece, node = float("-inf"), -1, out[state]
+            while node >= 0:
+                k = ends[node]
+                value = best[i + 1 - length[k]] + score[k]
+                if value > top:
+                    top, piece = value, k
+                node = out[fail[node]]
+            if (i + 1 == n or data[i + 1] & 0xC0 != 0x80) and data[since : i + 1] not in self.chars and best[since] + self.unknown > top:
+                top, piece = best[since] + self.unknown, -2 - (i + 1 - since)
+            best[i + 1], took[i + 1] = top, piece
+        found: list[int] = []
+        while n:
+            k = took[n]
+            if k >= 0:
+                found.append(int(self.id[k]))
+                n -= length[k]
+            else:
+                found += [int(self.bytes[x]) for x in reversed(data[n + 2 + k : n])]
+                n += 2 + k
+        return found[::-1]
+
     def _grid(self, data, start, size):
         import numpy as np
 
@@ -287,11 +333,19 @@ def decoder(path: str):
     return decode
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, or the first of name_2, name_3, ... that no column of ``rows`` has."""
+    taken, k, out = {c.lower() for c in rows.columns}, 2, name
+    while out.lower() in taken:
+        out, k = f"{name}_{k}", k + 1
+    return out
+
+
 def encoded(docs: DataFrame, path: str, name: str = "ids") -> DataFrame:
     """``docs`` with the ids of the text as column ``name`` in place of the text."""
-    return docs.withColumn(name, encoder(path)(F.col("text").cast("string"))).drop("text")
+    return docs.withColumn(free_name(docs, name), encoder(path)(F.col("text").cast("string"))).drop("text")
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", name: str = "text") -> DataFrame:
     """``rows`` with the texts of column ``ids`` as column ``name`` in place of the ids."""
-    return rows.withColumn(name, decoder(path)(F.col(ids))).drop(ids)
+    return rows.withColumn(free_name(rows, name), decoder(path)(F.col(ids))).drop(ids)

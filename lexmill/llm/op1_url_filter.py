@@ -16,7 +16,8 @@ The url is read in ASCII (any other byte is one symbol), from after ``://``, low
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, and scores 0
 if it is null or empty; while either class has no example every score and the cut are 0, so such urls are
 allowed; where a class has examples only inside or only outside of the fold the cut is 0; repeated rows
-are judged alike and count as often as they occur; an empty table gives an empty result; columns other
+are judged alike and count as often as they occur; long urls are read whole, a megabyte of urls (or one
+longer url) at a time; an empty table gives an empty result; columns other
 than page_id and url are not read.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import staged
+from .shared import slices, staged
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 SYMBOLS = 97  # printable ASCII, everything else, and the end
@@ -144,7 +145,7 @@ def counted(rows: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "url", 1 << 20)):
             kind = 2 * np.asarray(pc.equal(batch.column("given"), "block"), dtype=np.int64) + np.asarray(batch.column("fold"), dtype=np.int64)
             for k in range(4):
                 codes, offsets = symbols(batch.column("url").filter(pa.array(kind == k)))
@@ -170,7 +171,7 @@ def sought(rows: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "url", 1 << 20)):
             chunk = batch.column("chunk").to_numpy()
             cuts = np.flatnonzero(np.diff(chunk)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(chunk)]):

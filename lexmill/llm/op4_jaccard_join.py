@@ -21,7 +21,9 @@ most d), then the exact sets of 64-bit shingle hashes are compared.
 No group is expanded into rows of pairs. Equal sets collapse to one representative first. In the group of
 a key every document is compared with the group's smallest, and those links are joined into components.
 Groups that still hold several components (each set of documents once, however many keys it shares) are
-dealt in blocks of about ``BLOCK`` documents; a task compares the bit sketches of two blocks at a time and
+dealt in blocks of about ``BLOCK`` documents: a component of that size or more has blocks of its own, which
+never meet each other, the rest are pooled, and blocks hold one class of set sizes, so that only blocks of
+the same or the next class meet. A task compares the bit sketches of two blocks at a time and
 gives out only the pairs of different components that may be linked, which the exact comparison then
 decides. Documents in one component need no further comparison, so components are exact.
 
@@ -223,11 +225,23 @@ def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join
     one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
     tally = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
     mixed = tally.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
-    mixed = mixed.groupBy("members", "x", "y").agg(F.min("key").alias("k")).select("k", "members")
-    held = held.join(mixed, F.col("key") == F.col("k")).drop("k")
+    mixed = mixed.groupBy("members", "x", "y").agg(F.min("key").alias("k"))
+    held = held.join(mixed.select("k"), F.col("key") == F.col("k")).drop("k")
     held = held.join(sketch.select(F.col("doc_id").alias("id"), "n", "bits"), F.col("doc_id") == F.col("id")).drop("id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    held = held.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    step = math.log(join.den / join.num) + 1e-9  # sizes of linked sets are at most one class apart
+    big = tally.where(F.col("n") >= BLOCK).select(F.col("key").alias("k"), F.col("root").alias("r"), F.lit(True).alias("big"))
+    held = held.join(big, (F.col("key") == F.col("k")) & (F.col("root") == F.col("r")), "left").drop("k", "r")
+    held = staged(held.withColumn("class", F.floor(F.log("n") / step).cast("int")).withColumn("own_root", F.when(F.col("big"), F.col("root"))).drop("big"), "open_members")
+    cells = held.groupBy("key", "own_root", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of = Window.partitionBy("key").orderBy("class", F.col("own_root").asc_nulls_first())  # a row for each block at most
+    cells = cells.withColumn("begin", (F.sum("blocks").over(of.rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks")).cast("int"))
+    whole = cells.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("own_root", "class", "blocks", "begin")).alias("cells"))
+    held = held.join(whole, F.col("key") == F.col("k")).drop("k")
+    same = lambda c: c["own_root"].eqNullSafe(F.col("own_root")) & (c["class"] == F.col("class"))
+    mine = F.get(F.filter("cells", same), F.lit(0))
+    meets = F.filter("cells", lambda c: (F.abs(c["class"] - F.col("class")) <= 1) & (c["own_root"].isNull() | F.col("own_root").isNull() | (c["own_root"] != F.col("own_root"))))
+    others = F.flatten(F.transform(meets, lambda c: F.sequence(c["begin"], c["begin"] + c["blocks"] - 1)))
+    held = held.withColumn("own", (mine["begin"] + F.pmod(F.xxhash64("doc_id", F.lit(2)), mine["blocks"])).cast("int")).withColumn("other", F.explode(others))
     held = held.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "root", "n", "bits")
 
     def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -298,15 +312,37 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _named_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``__id``: the doc_id, or, where rows with different texts share one, a number of its own for each text.
+
+    Rows that agree in doc_id and text become one, the smallest as JSON. Null doc_ids stay null.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where("doc_id is not null")
+    again = staged(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated_ids")
+    if not again.limit(1).count():
+        return docs.withColumn("__id", F.col("doc_id").cast("long"))
+    again = bounded_broadcast(again)
+    on = F.col("doc_id") == F.col("__again")
+    once = docs.join(again, on, "left_anti").select(*columns, F.col("doc_id").cast("long").alias("__id"))
+    rows = named.join(again, on, "left_semi").groupBy("doc_id", F.sha2(F.col("text"), 256).alias("__sha"))
+    rows = staged(rows.agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("__row")).select("__sha", "__row.*"), "repeated_rows")
+    for seed in range(100):
+        apart = rows.select(*columns, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__sha")).alias("__id"))
+        out = once.unionByName(apart)
+        ids = out.where("__id is not null").select("__id")
+        if ids.groupBy("__id").count().where("count > 1").limit(1).count() == 0:
+            return out
+    raise ValueError("no numbers apart were found")
+
+
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` without documents whose component has a smaller doc_id; rows that repeat a doc_id become one row.
+    """``docs`` with one document of each component; the one with the smallest doc_id where ids do not repeat.
 
-    Rows without a doc_id stay.
+    Rows that agree in doc_id and text become one. Rows that share a doc_id but not the text are documents
+    of their own: they stay unless they are linked. Rows without a doc_id stay, and so do those without words.
     """
-    found = staged(near_duplicates(docs, num, den, width, broadcast_bytes), "components")
-    gone = bounded_broadcast(found.where("component_id < doc_id").select("doc_id").distinct(), broadcast_bytes)
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    rows = _named_apart(docs)
+    found = near_duplicates(rows.select(F.col("__id").alias("doc_id"), "text"), num, den, width, broadcast_bytes)
+    gone = bounded_broadcast(staged(found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")), "gone"), broadcast_bytes)
+    return rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

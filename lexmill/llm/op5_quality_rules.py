@@ -75,10 +75,10 @@ def _ratios(prefix: str = "") -> dict[str, Column]:
     return {"word_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")}
 
 
-def sketches(stats: DataFrame) -> DataFrame:
+def sketches(stats: DataFrame, prefix: str = "") -> DataFrame:
     """(lang, source, stat, bucket, n): the quantile sketches of documents that pass the base rules."""
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.alias("v")) for k, v in _ratios().items()]))
-    rows = stats.where(~F.col("base_failed")).select("lang", "source", values.alias("x")).select("lang", "source", "x.stat", "x.v")
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.alias("v")) for k, v in _ratios(prefix).items()]))
+    rows = stats.where(~F.col(f"{prefix}base_failed")).select("lang", "source", values.alias("x")).select("lang", "source", "x.stat", "x.v")
     bucket = F.expr("v - v % shiftleft(1L, greatest(length(bin(v)) - 7, 0))")
     return rows.withColumn("bucket", bucket).groupBy("lang", "source", "stat", "bucket").agg(F.count("*").alias("n"))
 
@@ -138,10 +138,9 @@ def quality_rules(docs: DataFrame, min_docs: int = 100, reach: int = 3) -> DataF
 def keep_good(docs: DataFrame, min_docs: int = 100, reach: int = 3, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; the text is never shuffled.
 
-    Statistics are computed again for the verdict rather than joined back. The fences are broadcast when
-    there are at most ``broadcast_bytes`` groups, else joined by shuffle.
+    Rows are written once with their statistics, which the sketches and then the verdict read. The fences
+    are broadcast when they take at most ``broadcast_bytes``, else joined by shuffle.
     """
-    stats = staged(with_stats(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality_stats")
-    limits = staged(fences(sketches(stats), min_docs, reach), "quality_fences")
-    limits = bounded_broadcast(limits, broadcast_bytes)
-    return judged(with_stats(docs, "__q_"), limits, "__q_").where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = staged(with_stats(docs, "__q_"), "quality_rows")
+    limits = bounded_broadcast(staged(fences(sketches(rows, "__q_"), min_docs, reach), "quality_fences"), broadcast_bytes)
+    return judged(rows, limits, "__q_").where("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,8 @@ doc_id), so what is fitted and sent is bounded; every document is scored. A tree
 tree in two flat arrays, feature and threshold, walked level by level for a whole batch at once.
 
 Defined cases: a null text is scored as an empty one, whose statistics are zero; rows with null quality
-or doc_id are no training rows; repeated label rows count as often as they occur; with no training rows
+or doc_id are no training rows; repeated label rows, and labelled rows of documents that repeat a doc_id,
+count as often as they occur up to ``most_rows`` in all; with no training rows
 every score is 1.0, so nothing is rejected; an empty table gives an empty result; other columns are
 carried along by ``keep_good`` and never read.
 """
@@ -170,8 +171,8 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000) -> Tree
                 kept = [batch.column("id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(kept, names=["id", "y", "x"])
 
-    got = rows.select("id", "y", "text").mapInArrow(run, "id long, y double, x array<double>").orderBy("id", "y").toPandas()
-    got = got.sort_values(["id", "y"], kind="stable")
+    got = rows.select("id", "y", "text").mapInArrow(run, "id long, y double, x array<double>")
+    got = got.orderBy(F.xxhash64("id"), "id", "y", "x").limit(most_rows).toPandas()  # in an order that does not depend on the tasks
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy(dtype=float))
 

@@ -4,7 +4,8 @@ The vocabulary's pieces form a byte trie. Where a node has no child for the next
 matched so far are given up: a failure link leads to the node that holds what is left of the text read,
 and ``popped`` is the number of pieces that go. A word thus takes at most two steps a byte, however the
 pieces overlap, and no piece is built. Distinct words of a batch are walked together, one step of all
-words at a time; each word is counted once and texts only sum.
+words at a time, words over ``LONG`` bytes one after the other in a plain loop, which takes no longer a
+byte; each word is counted once and texts only sum.
 
 Words are runs without ASCII white space; each is read with a leading space, as the vocabulary's
 word-initial pieces are. A word that the pieces cannot spell counts as one unknown piece.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .shared import slices, split_words
 from .wordcache import WordCache
 
+LONG = 256
 _COUNTERS: dict = {}
 
 
@@ -71,12 +73,42 @@ class LongestMatch:
         goal = np.array([x for c in children for x in c.values()], np.int64)
         by = np.argsort(keys)
         self.keys, self.goal = keys[by], goal[by]
+        self.steps = None  # the same edges as a dictionary, made for the first long word
         self.fail, self.popped, self.rest = np.array(fail), np.array(popped), np.array(rest)
 
     def counts(self, data, start, size):
         """Pieces of the byte runs data[start[i] : start[i] + size[i]]; 1 for runs that cannot be spelled."""
         import numpy as np
 
+        out = np.zeros(len(start), np.int64)
+        long = np.flatnonzero(size > LONG)
+        for i in long.tolist():
+            out[i] = self.walked(data[start[i] : start[i] + size[i]].tobytes())
+        short = np.flatnonzero(size <= LONG)
+        out[short] = self._together(data, start[short], size[short])
+        return out
+
+    def walked(self, word: bytes) -> int:
+        """Pieces of one word, step by step."""
+        if self.steps is None:
+            self.steps = dict(zip(self.keys.tolist(), self.goal.tolist()))
+            self.plain = (self.fail.tolist(), self.popped.tolist())
+        (fail, popped), at, total = self.plain, 0, 0
+        for b in word:
+            to = self.steps.get(at << 8 | b)
+            while to is None:
+                total += popped[at]
+                at = fail[at]
+                if at < 0:
+                    return 1
+                to = self.steps.get(at << 8 | b)
+            at = to
+        left = int(self.rest[at])
+        return total + left if left >= 0 else 1
+
+    def _together(self, data, start, size):
+        import numpy as np
+
         n = len(start)
         total, state, at = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         live = np.flatnonzero(size > 0)

@@ -81,3 +81,27 @@ def test_parts_always_outnumber_the_allowed_difference():
         for n in (*range(1, 400), 5000, 20000):
             band = j.band(n)
             assert j.parts(band) > j.allowed(n) and j.band(j.partner(n)) <= band + max(1, round(j.partner(n) / n))
+
+
+def test_hot_groups_in_many_blocks(spark, monkeypatch):
+    """Components larger than a block, and many small ones, that share keys."""
+    from lexmill.llm import op4_jaccard_join as op4
+
+    monkeypatch.setattr(op4, "BLOCK", 4)
+    r = random.Random(9)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        w = shared + [f"c{i % 3}_{j}" for j in range(10)] if i < 60 else shared + [f"u{i}_{j}" for j in range(r.randint(3, 30))]
+        w[r.randrange(len(w))] = "odd"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(spark.createDataFrame(rows, DOCS), 80, 100, 5).collect()}
+    assert got == brute(rows, 80, 100, 5)
+
+
+def test_keep_one_loses_no_text(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, texts[0], "x"), (1, texts[1], "x"), (1, texts[1], "y"), (2, texts[1] + " end", "x"), (3, texts[2], "x"), (3, texts[2], "x"), (None, texts[2], "x")]
+    kept = [tuple(x) for x in keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(t for _, t, _ in kept if t[0] != "b") == [texts[0], texts[2], texts[2]]
+    assert len([t for _, t, _ in kept if t[0] == "b"]) == 1 and (None, texts[2], "x") in kept

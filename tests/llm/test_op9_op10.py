@@ -93,3 +93,29 @@ def test_encode_whole_texts_and_back(spark):
     back = {r.doc_id: r.text for r in decoded(enc, PIECES).collect()}
     assert back == {d: t.replace(MARK, " ") if t else t for d, t in rows}
     assert encoded(df.limit(0), PIECES).count() == 0
+
+
+def test_long_words_take_linear_time_and_give_the_same():
+    import time
+
+    from lexmill.llm import op9_token_counts, op10_sentencepiece
+
+    r = random.Random(3)
+    words = [bytes(r.choice(b"abcdefgh") for _ in range(r.randint(200, 900))) for _ in range(20)]
+    match, viterbi = LongestMatch(read_ranks(RANKS)), Model(PIECES).viterbi
+    size = np.array([len(w) for w in words])
+    at = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(words), np.uint8)
+    assert match.counts(data, at, size).tolist() == match._together(data, at, size).tolist()
+    counts, ids = viterbi.encode(data, at, size)
+    each = [viterbi._grid(data, at[i : i + 1], size[i : i + 1])[1].tolist() for i in range(len(words))]
+    assert counts.tolist() == [len(x) for x in each] and ids.tolist() == [i for x in each for i in x]
+    began = time.time()
+    assert len(viterbi.walked(b"abcd" * 100_000)) > 0 and match.walked(b"abcd" * 100_000) > 0
+    assert time.time() - began < 30 and max(op9_token_counts.LONG, op10_sentencepiece.LONG) < 1000
+
+
+def test_a_column_named_ids_stays(spark):
+    df = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, IDS string")
+    row = encoded(df, PIECES).first().asDict()
+    assert row["IDS"] == "mine" and len(row["ids_2"]) == 2
