@@ -227,7 +227,7 @@ def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join
     mixed = tally.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("members"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("roots > 1")
     mixed = mixed.groupBy("members", "x", "y").agg(F.min("key").alias("k"))
     held = held.join(mixed.select("k"), F.col("key") == F.col("k")).drop("k")
-    held = held.join(sketch.select(F.col("doc_id").alias("id"), "n", "bits"), F.col("doc_id") == F.col("id")).drop("id")
+    held = held.join(sketch.select(F.col("doc_id").alias("id"), "n"), F.col("doc_id") == F.col("id")).drop("id")
     step = math.log(join.den / join.num) + 1e-9  # sizes of linked sets are at most one class apart
     big = tally.where(F.col("n") >= BLOCK).select(F.col("key").alias("k"), F.col("root").alias("r"), F.lit(True).alias("big"))
     held = held.join(big, (F.col("key") == F.col("k")) & (F.col("root") == F.col("r")), "left").drop("k", "r")
@@ -242,7 +242,8 @@ def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join
     meets = F.filter("cells", lambda c: (F.abs(c["class"] - F.col("class")) <= 1) & (c["own_root"].isNull() | F.col("own_root").isNull() | (c["own_root"] != F.col("own_root"))))
     others = F.flatten(F.transform(meets, lambda c: F.sequence(c["begin"], c["begin"] + c["blocks"] - 1)))
     held = held.withColumn("own", (mine["begin"] + F.pmod(F.xxhash64("doc_id", F.lit(2)), mine["blocks"])).cast("int")).withColumn("other", F.explode(others))
-    held = held.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "root", "n", "bits")
+    held = held.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "root", "n")
+    held = held.join(sketch.select(F.col("doc_id").alias("id"), "bits"), F.col("doc_id") == F.col("id")).drop("id")
 
     def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         import numpy as np

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -23,7 +24,31 @@ def shared_dir(spark: SparkSession) -> str:
 
         base = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lexmill-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """The folders that ``shared_dir`` gives out inside, for ``discard`` once what reads them has been written."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [x for x in _MADE if x is not made]
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete ``folders``; ones that were never written are passed over."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
