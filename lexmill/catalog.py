@@ -76,8 +76,9 @@ star("words_by_book", lambda c: facets.words(c, WordFilter(books=(7, 8, 9))), WO
 AUTHOR = "Customer#000000042"
 BY = f"exists (select 1 from link l join book b on b.id = l.book_id where l.word_id = w.id and b.author = '{AUTHOR}')"
 star("words_by_author", lambda c: facets.words(c, WordFilter(author=AUTHOR)), WORDS + BY)
-MANY = tuple(range(0, 12000))
-star("words_exclusive_book", lambda c: facets.words(c, WordFilter(books=MANY[:3000], exclusive=True)), WORDS + LINKED.format("l.book_id < 3000") + " and not " + LINKED.format("l.book_id >= 3000"))
+star("words_exclusive_book", lambda c: facets.words(c, WordFilter(shelf=c.books.where("id % 20 <> 7"), exclusive=True)), WORDS + LINKED.format("l.book_id % 20 <> 7") + " and not " + LINKED.format("l.book_id % 20 = 7"))
+SPARSE = SQL.replace("from lineitem\n", "from lineitem where l_quantity >= 49\n")
+add("exclusive_words_all_authors", lambda spark, sf_dir: facets.exclusive_words(load(spark, sf_dir, 49)), f"{SPARSE} select word_id as id, min(b.author) as author from active_link l join book b on b.id = l.book_id group by 1 having count(distinct b.author) = 1 and count(*) = count(b.author)")
 star("words_exclusive_author", lambda c: facets.words(c, WordFilter(author=AUTHOR, exclusive=True)), WORDS + BY + f" and not exists (select 1 from link l join book b on b.id = l.book_id where l.word_id = w.id and b.author is distinct from '{AUTHOR}')")
 star("words_uncategorised", lambda c: facets.words(c, WordFilter(uncategorised=True)), WORDS + "not exists (select 1 from code c where c.word_id = w.id)")
 star("words_unscored", lambda c: facets.words(c, WordFilter(unscored=True)), WORDS + "w.difficulty is null")

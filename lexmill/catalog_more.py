@@ -22,7 +22,7 @@ def on(name: str, table: str, query, oracle: str | None = None) -> None:
 
 
 # --- similarity: books through their words; authors likewise
-MOST, SHARED, TOP = 0.05, 2, 20
+MOST, SHARED, TOP = 0.5, 3, 20
 PAIRS = {"doc": ("book_id", "active_link"), "author": ("author", "author_link")}
 
 
@@ -37,12 +37,13 @@ def similar_sql(entity: str, source: str, most: float, shared: int) -> str:
 ), edge as (select a, b, score, shared from top where rn <= {TOP})"""
 
 
-DOC, AUT = similar_sql("book_id", "active_link", MOST, SHARED), similar_sql("author", "author_link", 0.3, SHARED)
+DOC, AUT = similar_sql("book_id", "active_link", MOST, SHARED), similar_sql("author", "author_link", MOST, SHARED)
 star("doc_idf", lambda c: relate.idf(c.active_links, "book_id", "word_id", MOST), DOC + " select m as word_id, df, idf from idf")
 edges = lambda c: relate.similar(c.active_links, "book_id", "word_id", MOST, SHARED, TOP)
 star("doc_similarity_topk", edges, DOC + " select a, b, score, shared from edge")
-star("author_similarity_topk", lambda c: relate.similar(c.author_links, "author", "word_id", 0.3, SHARED, TOP), AUT + " select a, b, score, shared from edge")
+star("author_similarity_topk", lambda c: relate.similar(c.author_links, "author", "word_id", MOST, SHARED, TOP), AUT + " select a, b, score, shared from edge")
 star("shared_words", lambda c: relate.shared_words(c.author_links, "author", "word_id", "Customer#000000042", "Customer#000000043", 0.9), similar_sql("author", "author_link", 0.9, SHARED) + " select m as word_id, idf from idf where m in (select m from pr where e = 'Customer#000000042') and m in (select m from pr where e = 'Customer#000000043')")
+star("shelf_similarity_topk", lambda c: relate.similar(c.shelves, "shelf", "word_id", MOST, SHARED, TOP), similar_sql("shelf", "(select distinct l_suppkey as shelf, l_partkey as word_id from lineitem)", MOST, SHARED) + " select a, b, score, shared from edge")
 CENTER = "(select min(a) from edge)"
 
 
@@ -181,18 +182,18 @@ def common(d: DataFrame) -> DataFrame:
 
 on("misspelling_neighbours", "documents", lambda d: ingest.neighbours(common(d), gap=1.5), f"{T3}, w as (select lemma, zipf from z where n >= 5 and length(lemma) >= 4), p as (select x.lemma, y.lemma as neighbour, round(y.zipf - x.zipf, 4) as gap, row_number() over (partition by x.lemma order by y.zipf desc, y.lemma) as r from w x join w y on y.zipf >= x.zipf + 1.5 and abs(length(x.lemma) - length(y.lemma)) <= 1 and levenshtein(x.lemma, y.lemma) <= 1) select lemma, neighbour, gap from p where r = 1")
 on("misspelling_neighbours_osa", "documents", lambda d: ingest.neighbours(common(d), transpositions=True, gap=1.5))
-MENTIONED = ("the", "that", "this", "of", "and")
 
 
-def mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of five words, one for each region, in all texts."""
-    words = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.get(F.array(*map(F.lit, MENTIONED)), F.col("r_regionkey")).alias("lemma"))
-    return ingest.mentions(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), words)
+def mentioned(d: DataFrame) -> DataFrame:
+    """Mentions of every kept lemma of the corpus in other texts than the first that has it."""
+    rows = judged(d).where("verdict = 'keep'")
+    return ingest.mentions(d.select(F.col("doc_id").alias("id"), "text"), rows.groupBy("lemma").agg(F.min("doc_id").alias("id")))
 
 
-add("mention_links", mentioned, f"""with occ as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as s, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), 1) as i from documents
-), w as (select cast(r_regionkey as bigint) as target, list_value{MENTIONED!r}[r_regionkey + 1] as lemma from region)
-select doc_id as source, target, arg_min(s, i) as surface from occ join w on w.lemma = lower(s) where doc_id <> target group by 1, 2""")
+on("mention_links", "documents", mentioned, f"""{T3}{JUDGED}, w as (select lemma, min(doc_id) as target from v where reason is null group by 1
+), o as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as s, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), 1) as i from documents
+), f as (select doc_id as source, lower(s) as lemma, arg_min(s, i) as surface from o where length(s) >= 3 group by 1, 2)
+select source, target, surface from f join w using (lemma) where source <> target""")
 
 # --- scores and scalar columns
 ERA = "case when {p} <= 33 then 'early' when {p} <= 66 then 'mid' else 'late' end || ' ' || cast({c} as varchar) || case when {c} % 100 between 11 and 13 then 'th' when {c} % 10 = 1 then 'st' when {c} % 10 = 2 then 'nd' when {c} % 10 = 3 then 'rd' else 'th' end || ' century'".format(p="((publication_year - 1) % 100 + 1)", c="((publication_year - 1) // 100 + 1)")

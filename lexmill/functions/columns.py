@@ -4,28 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.staging import settled
+
 BUCKET_LABELS = ("0", "1", "2", "3-5", "6-10", "11-25", "26-50", "51-100", "101+")
 BUCKET_TOPS = (0, 1, 2, 5, 10, 25, 50, 100)
 
 
-def percent_rank(df: DataFrame, column: str, out: str, pieces: int = 256) -> DataFrame:
-    """``df`` with the percent_rank of ``column`` as ``out``, null where the column is.
+def percent_ranks(df: DataFrame, columns: dict[str, str], pieces: int = 128) -> DataFrame:
+    """``df`` with the percent_rank of each column under its new name, null where the column is.
 
-    Values are cut into ``pieces`` ranges at approximate quantiles; ranks run within a range and start at
-    the number of smaller ranges' rows, so no task sorts the whole column. The result is exact.
+    ``df`` is written once. Values are cut into ``pieces`` ranges at approximate quantiles; ranks run within a
+    range and start at the number of smaller ranges' rows, so no task sorts a whole column. Only the cuts and
+    the ranges' counts, ``pieces`` numbers a column, reach the driver. The result is exact.
     """
+    rows = settled(df)
     spots = [i / pieces for i in range(1, pieces)]
-    cuts = df.agg(F.percentile_approx(column, spots, 10 * pieces).alias("__cuts"))
-    has = df.join(F.broadcast(cuts)).withColumn("__piece", F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < F.col(column))))
-    counts = has.where(F.col(column).isNotNull()).groupBy(F.col("__piece").alias("__p")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)  # one row a piece
-    counts = counts.withColumn("__before", F.sum("__n").over(before) - F.col("__n")).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
-    has = has.join(F.broadcast(counts), F.col("__piece") == F.col("__p"), "left")
-    rank = F.rank().over(Window.partitionBy("__piece").orderBy(F.col(column).asc_nulls_first()))
-    # nulls share piece 0 of an empty comparison and come first there: they are not counted
-    nulls = F.sum(F.col(column).isNull().cast("long")).over(Window.partitionBy("__piece"))
-    value = F.when(F.col("__all") > 1, (F.col("__before") + rank - nulls - 1) / (F.col("__all") - 1)).otherwise(F.lit(0.0))
-    return has.withColumn(out, F.when(F.col(column).isNotNull(), value)).drop("__cuts", "__piece", "__p", "__n", "__before", "__all")
+    cuts = rows.agg(*[F.percentile_approx(c, spots, 10 * pieces).alias(c) for c in columns]).first()
+    ends = {c: sorted(set(cuts[c] or [])) for c in columns}
+    for c in columns:
+        below = F.filter(F.lit(ends[c]).cast("array<double>"), lambda x: x < F.col(c))
+        rows = rows.withColumn(f"__{c}", F.when(F.col(c).isNotNull(), F.size(below)))
+    found = rows.groupBy(*[f"__{c}" for c in columns]).count().collect() if len(columns) == 1 else None
+    for c, out in columns.items():
+        tally = found or rows.groupBy(f"__{c}").count().collect()
+        n, before, upto = {r[0]: r["count"] for r in tally if r[0] is not None}, [], 0
+        for k in range(len(ends[c]) + 1):
+            before.append(upto)
+            upto += n.get(k, 0)
+        rank = F.rank().over(Window.partitionBy(f"__{c}").orderBy(c)) - 1
+        value = (F.get(F.lit(before).cast("array<long>"), F.col(f"__{c}")) + rank) / max(upto - 1, 1)
+        rows = rows.withColumn(out, F.when(F.col(c).isNotNull(), value))
+    return rows.drop(*[f"__{c}" for c in columns])
+
+
+def percent_rank(df: DataFrame, column: str, out: str, pieces: int = 128) -> DataFrame:
+    return percent_ranks(df, {column: out}, pieces)
 
 
 def unique_bucket(n: Column) -> Column:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import BUCKET_LABELS, band, percent_rank, sort_title, subtree, unique_bucket
+from ..functions.columns import BUCKET_LABELS, band, percent_ranks, sort_title, subtree, unique_bucket
 from ..plans.star import BUCKETS, LETTERS, Corpus
 
 
@@ -19,6 +19,7 @@ class WordFilter:
     """Facets of the word listing; lists are OR-ed unless named ``all_``."""
 
     books: tuple[int, ...] = ()
+    shelf: DataFrame | None = None  # (id) of books, where they are too many to name
     author: str | None = None
     exclusive: bool = False
     buckets: tuple[str, ...] = ()
@@ -50,6 +51,11 @@ class WordFilter:
             within(c.links.where(F.col("book_id").isin(*self.books)))
             if self.exclusive:
                 within(c.links.where(~F.col("book_id").isin(*self.books)), "left_anti")
+        if self.shelf is not None:
+            inside = self.shelf.select(F.col("id").alias("book_id"))
+            within(c.links.join(inside, "book_id", "left_semi"))
+            if self.exclusive:
+                within(c.links.join(inside, "book_id", "left_anti"), "left_anti")
         if self.author is not None:
             within(by_author.where(F.col("author") == self.author))
             if self.exclusive:
@@ -112,6 +118,13 @@ def exclusive_by_author(c: Corpus) -> DataFrame:
     return alone.groupBy("author").agg(F.count("*").alias("unique_word_count"))
 
 
+def exclusive_words(c: Corpus) -> DataFrame:
+    """(id, author) of words that one named author alone has; a book without an author counts as another's."""
+    rows = c.active_links.join(c.books.select(F.col("id").alias("book_id"), "author"), "book_id")
+    held = rows.groupBy(F.col("word_id").alias("id")).agg(F.min("author").alias("author"), F.max("author").alias("last"), F.count(F.when(F.col("author").isNull(), 1)).alias("nameless"))
+    return held.where("author = last and nameless = 0").select("id", "author")
+
+
 def _scored(c: Corpus, links: DataFrame, key: str) -> DataFrame:
     score = c.words.select(F.col("id").alias("word_id"), F.col("difficulty").cast("decimal(18,4)").alias("difficulty"))
     d = F.col("difficulty")
@@ -122,17 +135,20 @@ def _scored(c: Corpus, links: DataFrame, key: str) -> DataFrame:
 
 
 def _overall(df: DataFrame) -> DataFrame:
-    out = percent_rank(percent_rank(df, "mean_difficulty", "__m"), "density", "__d")
+    out = percent_ranks(df, {"mean_difficulty": "__m", "density": "__d"})
     return out.withColumn("overall_difficulty", F.round(F.round(100 * (F.col("__m") + F.col("__d")) / 2, 6), 1)).drop("__m", "__d")
 
 
+def _density(words: Column, known: Column) -> Column:
+    return F.when(known > 0, F.round(words / known, 6))
+
+
 def books(c: Corpus) -> DataFrame:
     """Listing of books that hold an active word."""
     stats = _scored(c, c.active_links, "book_id")
     genres = c.genres.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_set("genre")), "|").alias("genres"))
     out = stats.join(c.books.withColumnRenamed("id", "book_id"), "book_id").join(c.fame, "book_id", "left").join(exclusive_by_book(c), "book_id", "left").join(genres, "book_id", "left")
-    out = out.withColumn("density", F.when(F.col("distinct_words") > 0, F.round(F.col("word_count") / F.col("distinct_words"), 6)))
-    out = _overall(out)
+    out = _overall(out.withColumn("density", _density(F.col("word_count"), F.col("distinct_words"))))
     return out.select(
         F.col("book_id").alias("id"), "title", "author", "word_count", "scored_word_count", "mean_difficulty", "stddev_difficulty", "density", "overall_difficulty",
         "fame_score", F.coalesce("unique_word_count", F.lit(0)).alias("unique_word_count"), "genres",
@@ -142,7 +158,8 @@ def books(c: Corpus) -> DataFrame:
 def authors(c: Corpus) -> DataFrame:
     """Listing of named authors; a word in several of their books counts once, densities are averaged over books."""
     stats = _scored(c, c.author_links, "author")
-    per_book = books(c).select("id", "author", "density").where("author is not null")
+    counts = c.active_links.groupBy("book_id").agg(F.countDistinct("word_id").alias("word_count"))
+    per_book = c.books.where("author is not null").join(counts, F.col("id") == F.col("book_id")).select("author", _density(F.col("word_count"), F.col("distinct_words")).alias("density"))
     density = per_book.groupBy("author").agg(F.count("*").alias("book_count"), F.sum((F.col("density") * 1000000).cast("decimal(18,0)")).cast("long").alias("micro"), F.count("density").alias("known"))
     half_up = F.expr("(2 * micro + known) div nullif(2 * known, 0) / 1e6d")  # in whole numbers, so that a mean halfway between two has one result
     density = density.select("author", "book_count", half_up.alias("density"))
@@ -296,13 +313,3 @@ def headline(c: Corpus) -> DataFrame:
     a = c.words.agg(F.count("*").alias("words"), F.count("difficulty").alias("scored_words"), F.countDistinct("part_of_speech").alias("parts_of_speech"), F.count(F.when(F.col("quizzable"), 1)).alias("quizzable_words"))
     b = c.books.agg(F.count("*").alias("books"), F.countDistinct("author").alias("authors"), F.sum("token_count").alias("tokens"))
     return a.join(F.broadcast(b))
-
-
-def mean_by_window(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the overall mean of ``column``, from one aggregated row rather than a global window."""
-    return df.join(F.broadcast(df.agg(F.avg(column).alias(out))))
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by the whole ``order``."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -193,11 +193,15 @@ def out_of_order(entries: DataFrame, group: str, order: str, value: str) -> Data
     return found.select(group, F.get("e", F.col("i"))["o"].alias(order))
 
 
-def mentions(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(source, target, surface): words of ``words`` (id, lemma) met in a text of another id; the first surface counts."""
-    found = occurrences(texts.withColumnRenamed("id", "doc_id"), 1).join(words.select(F.col("id").alias("target"), F.lower("lemma").alias("lemma")), "lemma")
-    found = found.where(F.col("doc_id") != F.col("target"))
-    return found.groupBy(F.col("doc_id").alias("source"), "target").agg(F.min_by("surface", "position").alias("surface"))
+def mentions(texts: DataFrame, words: DataFrame, least: int = 3) -> DataFrame:
+    """(source, target, surface): words of ``words`` (id, lemma) met in a text of another id; the first surface counts.
+
+    A text's occurrences become one row a word before the join, so a word that every text holds is as many
+    rows as there are texts and no more.
+    """
+    found = occurrences(texts.withColumnRenamed("id", "doc_id"), least).groupBy(F.col("doc_id").alias("source"), "lemma").agg(F.min_by("surface", "position").alias("surface"))
+    out = found.join(words.select(F.col("id").alias("target"), F.lower("lemma").alias("lemma")), "lemma").where(F.col("source") != F.col("target"))
+    return out.select("source", "target", "surface")
 
 
 def resolved(lemmas: DataFrame, tiers: list[tuple[str, DataFrame]], most_tier: int | None = None) -> DataFrame:

@@ -1,13 +1,17 @@
 """Similarity of entities through shared words, and the graphs drawn from it.
 
-Words held by more than ``most`` of all entities carry no weight and are dropped before the self-join,
-which bounds the pairs a word can make. Edges are kept in both directions; ties go to the smaller id.
+Words held by more than ``most`` of all entities carry no weight by the measure's definition. The entities
+that hold a common word are dealt in blocks, and a task of the self-join pairs one block with all holders,
+so a hot word spreads over as many tasks as it has blocks; pairs are summed on the way to the shuffle.
+Edges are kept in both directions; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.staging import settled
+
 
 def idf(pairs: DataFrame, entity: str, member: str, most: float = 0.5) -> DataFrame:
     """(member, df, idf) of members held by at most ``most`` of the entities; empty below two entities."""
@@ -17,13 +21,15 @@ def idf(pairs: DataFrame, entity: str, member: str, most: float = 0.5) -> DataFr
     return held.select(member, "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
 
 
-def similar(pairs: DataFrame, entity: str, member: str, most: float = 0.5, least_shared: int = 3, top: int = 20) -> DataFrame:
+def similar(pairs: DataFrame, entity: str, member: str, most: float = 0.5, least_shared: int = 3, top: int = 20, block: int = 1024) -> DataFrame:
     """(a, b, score, shared): the ``top`` neighbours of each entity by idf-weighted cosine."""
     weights = idf(pairs, entity, member, most)
-    held = pairs.select(entity, member).distinct().join(weights, member).select(F.col(entity).alias("e"), F.col(member).alias("m"), F.col("idf").cast("decimal(18,6)").alias("w"))
+    held = pairs.select(entity, member).distinct().join(weights, member).select(F.col(entity).alias("e"), F.col(member).alias("m"), F.col("idf").cast("decimal(18,6)").alias("w"), F.ceil(F.col("df") / block).cast("int").alias("blocks"))
     held = held.withColumn("w2", (F.col("w") * F.col("w")).cast("decimal(20,12)"))
     norms = held.groupBy("e").agg(F.sqrt(F.sum("w2").cast("double")).alias("norm"))
-    both = held.alias("x").join(held.select("e", "m").alias("y"), (F.col("x.m") == F.col("y.m")) & (F.col("x.e") != F.col("y.e")))
+    own = held.select("e", "m", "w2", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int").alias("part")).alias("x")
+    other = held.select("e", "m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).alias("y")
+    both = own.join(other, (F.col("x.m") == F.col("y.m")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.e") != F.col("y.e")))
     shared = both.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(F.sum("w2").cast("double").alias("s"), F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
     scored = shared.join(norms.withColumnsRenamed({"e": "a", "norm": "na"}), "a").join(norms.withColumnsRenamed({"e": "b", "norm": "nb"}), "b")
     scored = scored.select("a", "b", F.round(F.least(F.col("s") / (F.col("na") * F.col("nb")), F.lit(1.0)), 6).alias("score"), "shared")
@@ -64,18 +70,22 @@ def relatedness(edges: DataFrame, nodes: DataFrame, top: int = 3) -> DataFrame:
     return undirected(best(inside, "a", top))
 
 
-def closure(edges: DataFrame, child: str, parent: str, most_steps: int = 50) -> DataFrame:
-    """(node, ancestor, depth): the transitive closure, the shortest depth of each pair; cycles end."""
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth): the transitive closure, the shortest depth of each pair; cycles end.
+
+    A step is one join, until it finds no new pair; what was found is written at each step.
+    """
     step = edges.select(F.col(child).alias("x"), F.col(parent).alias("up")).distinct()
     found = step.select(F.col("x").alias("node"), F.col("up").alias("ancestor"), F.lit(1).alias("depth"))
-    front = found
-    for depth in range(2, most_steps + 1):
+    front, depth = found, 1
+    while True:
+        depth += 1
         front = front.join(step, F.col("ancestor") == F.col("x")).select("node", F.col("up").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = front.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").checkpoint()
+        front = front.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        front = settled(front)
         if not front.limit(1).count():
-            break
-        found = found.unionByName(front)
-    return found
+            return found
+        found = settled(found.unionByName(front)) if depth % 8 == 0 else found.unionByName(front)
 
 
 def cluster(pairs: DataFrame, entity: str, member: str, nodes: DataFrame, clusters: int = 12, most: float = 0.5) -> DataFrame:

@@ -30,6 +30,7 @@ class Corpus:
     codes: DataFrame
     genres: DataFrame
     fame: DataFrame
+    shelves: DataFrame | None = None  # (shelf, word_id): a coarser grouping than books, a supplier's parts
 
     @property
     def words(self) -> DataFrame:
@@ -46,7 +47,8 @@ class Corpus:
         return self.active_links.join(named.select(F.col("id").alias("book_id"), "author"), "book_id").select("author", "word_id").distinct()
 
 
-def load(spark: SparkSession, sf_dir: str) -> Corpus:
+def load(spark: SparkSession, sf_dir: str, least_quantity: float = 0.0) -> Corpus:
+    """The corpus of the tables in ``sf_dir``; lines of a smaller quantity than ``least_quantity`` make no link."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     part, orders, customer, lineitem = read("part"), read("orders"), read("customer"), read("lineitem")
     key, size = F.col("p_partkey"), F.col("p_size")
@@ -66,14 +68,15 @@ def load(spark: SparkSession, sf_dir: str) -> Corpus:
         F.to_date("o_orderdate").alias("created_on"), (order % 320 + 1700).cast("int").alias("publication_year"),
         F.when(order % 17 == 0, 0).otherwise(order % 30 + 20).cast("long").alias("distinct_words"), (order * 37 % 90000).alias("token_count"),
     )
-    links = lineitem.select(F.col("l_partkey").alias("word_id"), F.col("l_orderkey").alias("book_id")).distinct()
+    links = lineitem.where(F.col("l_quantity") >= least_quantity).select(F.col("l_partkey").alias("word_id"), F.col("l_orderkey").alias("book_id")).distinct()
     letter = lambda n: F.substring(F.lit(LETTERS), (n % 21 + 1).cast("int"), F.lit(1))
     one = F.concat(letter(key), (key % 12 + 1).cast("string"), F.lit("."), (size % 4).cast("string"))
     two = F.concat(letter(F.floor(key / 7)), (key % 3 + 1).cast("string"))
     codes = part.select(key.alias("word_id"), F.explode(F.array_distinct(F.filter(F.array(F.when(key % 11 != 0, one), F.when(key % 2 == 0, two)), lambda c: c.isNotNull()))).alias("code"))
     genres = orders.select(order.alias("book_id"), F.explode(F.array("o_orderpriority", F.concat(F.lit("status "), F.col("o_orderstatus")))).alias("genre"))
     fame = orders.where("o_orderstatus = 'F'").select(order.alias("book_id"), (F.floor("o_totalprice") % 10 + 1).cast("int").alias("fame_score"))
-    return Corpus(words, books, links, codes, genres, fame)
+    shelves = lineitem.select(F.col("l_suppkey").alias("shelf"), F.col("l_partkey").alias("word_id")).distinct()
+    return Corpus(words, books, links, codes, genres, fame, shelves)
 
 
 SQL = f"""

@@ -21,8 +21,9 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """A CSV or TSV file with a given schema; a byte-order mark is dropped and broken rows are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("encoding", "UTF-8").csv(path, sep=sep, header=header, enforceSchema=True)
+    """A CSV or TSV file with a given schema; a byte-order mark is dropped. A row that does not fit stays, as text in column ``broken``."""
+    reader = spark.read.schema(f"{schema}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
+    return reader.option("encoding", "UTF-8").csv(path, sep=sep, header=header, enforceSchema=True)
 
 
 def surnames(spark: SparkSession, path: str) -> DataFrame:
@@ -45,14 +46,19 @@ def gazetteer(**kinds: DataFrame) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, path: str, lemmas: DataFrame, language: str = "en") -> DataFrame:
-    """(word, pos, ipas) of a JSON-lines dictionary dump, for the words of ``lemmas`` (lemma) only."""
+    """(word, pos, ipas) of a JSON-lines dictionary dump, for the words of ``lemmas`` (lemma) only; ``broken_lines`` has the rest."""
     schema = "word string, lang_code string, pos string, sounds array<struct<ipa string>>"
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col("lang_code") == language)
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).where(F.col("lang_code") == language)
     rows = rows.join(lemmas.select(F.col("lemma").alias("word")), "word", "left_semi")
     ipas = F.filter(F.transform(F.coalesce("sounds", F.array().cast("array<struct<ipa string>>")), lambda s: s["ipa"]), lambda x: x.isNotNull())
     return rows.select("word", "pos", F.explode_outer(ipas).alias("ipa")).groupBy("word", "pos").agg(F.sort_array(F.collect_set("ipa")).alias("ipas"))
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a JSON-lines file that are no JSON objects."""
+    return spark.read.text(path).where(F.try_parse_json("value").isNull() & (F.trim("value") != "")).select(F.col("value").alias("line"))
+
+
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one of the same schema where there is none."""
     jvm = spark._jvm

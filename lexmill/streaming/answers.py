@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.progress import review_schedule
-from ..sources.sinks import replace_table
+from ..sources.sinks import read_table, replace_table
 
 
 def read_files(spark: SparkSession, path: str, schema: str, per_batch: int = 100) -> DataFrame:
@@ -28,7 +28,8 @@ def practice_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
 def keep_schedule(answers: DataFrame, log: str, schedule: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch of answers to ``log`` and renew ``schedule`` for the words it touches.
 
-    A batch is written under its number, so a batch that runs again replaces itself.
+    A batch is written under its number, so a batch that runs again replaces itself, and the schedule has
+    versions, so a stop at any moment loses nothing. Read it with ``sources.sinks.read_table``.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -36,12 +37,8 @@ def keep_schedule(answers: DataFrame, log: str, schedule: str, checkpoint: str)
         batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
         touched = batch.select("user_id", "word_id").distinct()
         fresh = review_schedule(spark.read.parquet(log).drop("batch").join(touched, ["user_id", "word_id"], "left_semi"))
-        try:
-            old = spark.read.parquet(schedule).join(touched, ["user_id", "word_id"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = fresh.limit(0)
+        old = read_table(spark, schedule)
+        old = fresh.limit(0) if old is None else old.join(touched, ["user_id", "word_id"], "left_anti")
         replace_table(old.unionByName(fresh), schedule)
 
     return answers.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,6 @@ import pytest
 from lexmill.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-FAST = [n for n in QUERIES if n not in ("words_exclusive_book",)]
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else round(v, 9) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)

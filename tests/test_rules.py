@@ -143,7 +143,7 @@ def test_stream_equals_batch(spark, tmp_path):
         part.write.mode("append").parquet(str(tmp_path / "in"))
         q = stream.keep_schedule(stream.read_files(spark, str(tmp_path / "in"), ANSWER), str(tmp_path / "log"), str(tmp_path / "plan"), str(tmp_path / "check"))
         q.awaitTermination(120)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "plan")).collect())) == sorted(map(tuple, progress.review_schedule(a).collect()))
+    assert sorted(map(tuple, sinks.read_table(spark, str(tmp_path / "plan")).collect())) == sorted(map(tuple, progress.review_schedule(a).collect()))
 
 
 def test_readers(spark, tmp_path):
@@ -158,8 +158,8 @@ def test_readers(spark, tmp_path):
     pages = spark.createDataFrame([(1, "<p>a</p><h1>T</h1>b<script>x</script><h2></h2>c"), (2, None)], "page_id long, html string")
     assert [tuple(r) for r in readers.html_sections(pages).collect()] == [(1, 1, "Section 1", "a"), (1, 2, "T", "b"), (1, 3, "Section 3", "c")]
     sinks.replace_table(spark.range(3), str(tmp_path / "t"))
-    sinks.replace_table(spark.read.parquet(str(tmp_path / "t")).where("id > 0"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    sinks.replace_table(sinks.read_table(spark, str(tmp_path / "t")).where("id > 0"), str(tmp_path / "t"))
+    assert sinks.read_table(spark, str(tmp_path / "t")).count() == 2
 
 
 def test_out_of_order_leaves_a_longest_run(spark):
@@ -203,3 +203,34 @@ def test_cluster_map_takes_the_200_authors_with_most_books(spark):
     got = cluster_map(c).collect()
     assert len(count) > 40 and {r.node for r in got} == set(sorted(count, key=lambda a: (-count[a], a))[:200])
     assert {r.cluster for r in got} == set(range(1, 13))
+
+
+def test_a_stopped_replacement_keeps_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.read_table(spark, path) is None
+    sinks.replace_table(spark.range(3), path)
+    (tmp_path / "t/v-000000000002").mkdir()  # a write that stopped before its _SUCCESS
+    assert sinks.read_table(spark, path).count() == 3
+    sinks.replace_table(spark.range(5), path)
+    assert sinks.read_table(spark, path).count() == 5
+
+
+def test_broken_rows_are_kept(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("name,rank\nSMITH,1\nJONES,x\nLEE,2\n")
+    rows = readers.csv_table(spark, str(tmp_path / "s.csv"), "name string, rank int").collect()
+    assert len(rows) == 3 and [r.broken for r in rows] == [None, "JONES,x", None]
+    (tmp_path / "d.jsonl").write_text('{"word": "a", "lang_code": "en", "pos": "n", "sounds": [{"ipa": "x"}]}\n{broken\n')
+    lemmas = spark.createDataFrame([("a",)], "lemma string")
+    assert [tuple(r) for r in readers.lexicon(spark, str(tmp_path / "d.jsonl"), lemmas).collect()] == [("a", "n", ["x"])]
+    assert [r.line for r in readers.broken_lines(spark, str(tmp_path / "d.jsonl")).collect()] == ["{broken"]
+
+
+def test_closure_of_a_long_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)], "c int, p int")
+    assert relate.closure(df, "c", "p").count() == 60 * 61 // 2
+
+
+def test_hot_words_in_blocks_give_the_same(spark):
+    pairs = spark.createDataFrame([(e, m) for e in range(30) for m in range(40) if (e * 7 + m * 3) % 5 < 2], "e long, m long")
+    one = sorted(map(tuple, relate.similar(pairs, "e", "m").collect()))
+    assert one and one == sorted(map(tuple, relate.similar(pairs, "e", "m", block=3).collect()))
