@@ -76,3 +76,22 @@ def review_schedule(answers: DataFrame, factor: float = 1.0) -> DataFrame:
     hours = F.when(F.col("streak") > 0, F.least(F.pow(F.lit(2.0), F.col("streak")), F.lit(30.0)) * 24).otherwise(8.0) * factor
     seconds = F.round(hours * 3600).cast("long")
     return out.select("user_id", "word_id", "streak", "correct", "wrong", (F.unix_timestamp(F.col("last_at").cast("timestamp")) + seconds).alias("next_at"))
+
+
+def word_sets(answers: DataFrame) -> DataFrame:
+    """(user_id, words, mastered, flashcards) of the set of words a user has met; a word once answered rightly is mastered."""
+    items = answers.groupBy("user_id", "word_id").agg(F.bool_or("correct").alias("mastered"))
+    return items.groupBy("user_id").agg(F.count("*").alias("words"), F.count(F.when(F.col("mastered"), 1)).alias("mastered"), F.count(F.when(~F.col("mastered"), 1)).alias("flashcards"))
+
+
+def answered(answers: DataFrame, each: int) -> DataFrame:
+    """(session, expected, answered, complete): ``each`` answers are expected of every word of a session."""
+    out = answers.groupBy("session").agg((each * F.countDistinct("word_id")).alias("expected"), F.count("*").alias("answered"))
+    return out.withColumn("complete", F.col("answered") >= F.col("expected"))
+
+
+def history(answers: DataFrame) -> DataFrame:
+    """(user_id, word_id, question, nth, correct, right_so_far): each word's answers in order."""
+    w = Window.partitionBy("user_id", "word_id").orderBy("answered_at", "question")
+    right = F.sum(F.col("correct").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return answers.select("user_id", "word_id", "question", F.row_number().over(w).alias("nth"), "correct", right.alias("right_so_far"))

@@ -1,6 +1,6 @@
 """All named queries of the library: importing the catalogs fills the tables."""
 
-from . import catalog_more  # noqa: F401
+from . import catalog_more, catalog_rules  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
