@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .catalog import BOOKS, WORDS, add, star
-from .catalog_more import ANSWERS, GRAM, JUDGED, T3, answers, judged, on, read
+from .catalog_more import ANSWERS, GRAM, JUDGED, T3, answers, judged, on
 from .operators import facets, listing, progress, rules
 from .operators.listing import EntityFilter
 from .plans.star import SQL, load
@@ -53,7 +53,7 @@ def three_sources(d: DataFrame) -> DataFrame:
 on("three_source_match", "documents", three_sources, f"{T3}{JUDGED}, k as (select lemma, sum(n_tokens) % 2 = 0 as active from v where reason is null group by 1), r as (select distinct lemma from v where reason is not null), e as (select distinct unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) as lemma from documents) select e.lemma, case when k.active then 'accepted' when not k.active then 'pruned' when r.lemma is not null then 'rejected' else 'unique' end as match from e left join k on k.lemma = e.lemma left join r on r.lemma = e.lemma where e.lemma <> ''")
 
 # --- practice
-on("due_for_recheck", "events", lambda e: listing.due(e.groupBy("user_id").agg(F.max("ts").alias("checked_at"), F.sum("value").alias("total")), "checked_at", F.lit("2024-02-01").cast("timestamp_ntz"), 10, F.col("user_id") % 3 == 0).select("user_id", "checked_at"), "select user_id, checked_at from (select user_id, max(ts) as checked_at from events group by 1) where user_id % 3 = 0 and checked_at < timestamp '2024-02-01' - interval 10 day")
+on("due_for_recheck", "events", lambda e: listing.due(e.groupBy("user_id").agg(F.max("ts").alias("checked_at"), F.sum("value").alias("total")), "checked_at", F.lit("2024-02-10").cast("timestamp_ntz"), 10, F.col("user_id") % 3 == 0).select("user_id", "checked_at"), "select user_id, checked_at from (select user_id, max(ts) as checked_at from events group by 1) where user_id % 3 = 0 and checked_at < timestamp '2024-02-10' - interval 10 day")
 on("word_sets", "events", lambda e: progress.word_sets(answers(e)), f"{ANSWERS}, i as (select user_id, word_id, bool_or(correct) as mastered from ans group by 1, 2) select user_id, count(*) as words, count(*) filter (where mastered) as mastered, count(*) filter (where not mastered) as flashcards from i group by 1")
 on("answered_of_expected", "events", lambda e: progress.answered(answers(e), 3), f"{ANSWERS} select session, cast(3 * count(distinct word_id) as bigint) as expected, count(*) as answered, count(*) >= 3 * count(distinct word_id) as complete from ans group by 1")
 on("word_history", "events", lambda e: progress.history(answers(e)), f"{ANSWERS}, h as (select *, row_number() over (partition by user_id, word_id order by answered_at, question) as nth from ans) select user_id, word_id, question, nth, correct, cast(sum(correct::int) over (partition by user_id, word_id order by nth) as bigint) as right_so_far from h")
@@ -64,7 +64,6 @@ PICK = "list_value(" + ", ".join(f"'{x}'" for x in RAW) + f")[p_partkey % {len(R
 PLAIN = "case " + PICK + " " + " ".join(f"when '{r}' then '{rules.POS.get(r.strip().lower(), r.strip().lower())}'" for r in RAW) + " end"
 pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
 on("part_of_speech_labels", "part", lambda p: p.select("p_partkey", rules.normal_pos(pick(RAW, F.col("p_partkey"))).alias("pos"), rules.junk_reason(pick(RAW, F.col("p_partkey"))).alias("reason")), f"select p_partkey, {PLAIN} as pos, case when {PLAIN} in ('proper noun', 'trademark', 'geographical name') then 'proper_noun' end as reason from part")
-GLOSS = "case p_size % 4 when 0 then 'plural of ' || p_name || '.' when 1 then 'Synonym of ' || p_name || ' (\"a kind\").' when 2 then 'plural of ' || p_name || ': the kind' else p_name end"
 
 
 def gloss(p: DataFrame):
@@ -119,4 +118,3 @@ on("foreign_hint", "part", lambda p: flags(p).select("id", rules.foreign_hint({x
 on("quizzable_reason", "part", lambda p: flags(p).select("id", rules.quizzable(pick(("plural of x", "a plain thing", "third-person singular"), F.col("id")), F.when(F.col("rooted"), F.lit("root")), F.col("zipf"), pick(("a — in —", "one who sells old books in — shops", "of —"), F.col("n")), F.when(F.col("listed"), "redacted").otherwise("clean"), F.col("neighbour")).alias("q")).select("id", "q.quizzable", "q.reason"), f"""{FLAGS}, r as (select id, case when id % 3 <> 1 then 'variant form' when rooted and zipf >= 3.0 then 'transparent derivative' when listed and n % 3 <> 1 then 'redacted too far' when neighbour then 'leaks' end as reason from f) select id, reason is null as quizzable, reason from r""")
 
 add("word_details", lambda spark, d: rules.word_details(load(spark, d)), f"{SQL}, c as (select word_id, array_to_string(list_sort(list(code)), ' ') as codes from code group by 1), b as (select word_id, count(*) as books, min(book_id) as first_book from link group by 1) select w.id, lemma, difficulty, c.codes, coalesce(b.books, 0) as books, b.first_book from word w left join c on c.word_id = w.id left join b on b.word_id = w.id")
-__all__ = ["read"]

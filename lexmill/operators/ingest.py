@@ -119,19 +119,23 @@ def _osa():
     return distance
 
 
-def neighbours(words: DataFrame, transpositions: bool = False, gap: float = 2.0) -> DataFrame:
-    """(lemma, neighbour, gap): the commonest word one edit away that is at least ``gap`` zipf more frequent.
+def neighbours(words: DataFrame, transpositions: bool = False, gap: float = 2.0, edits: int = 1) -> DataFrame:
+    """(lemma, neighbour, gap): the commonest word at most ``edits`` away that is at least ``gap`` zipf more frequent.
 
-    Both sides are blocked by the word and by each of its one-letter deletions, then verified.
+    Both sides are blocked by what is left after up to ``edits`` deletions: words within that distance, a
+    swap of neighbours counting as one edit or as two, share such a key. Then they are verified.
     """
     text = F.col("lemma")
-    holes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-    keyed = words.where(F.length(text) >= 4).select("lemma", "zipf", F.explode(F.array_distinct(F.concat(F.array(text), holes))).alias("key"))
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    keys = F.array(text)
+    for _ in range(edits):
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, without))))
+    keyed = words.where(F.length(text) >= 4).select("lemma", "zipf", F.explode(keys).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("y.zipf") >= F.col("x.zipf") + gap))
     pairs = pairs.select(F.col("x.lemma").alias("lemma"), F.col("x.zipf").alias("z"), F.col("y.lemma").alias("neighbour"), F.col("y.zipf").alias("nz")).distinct()
     near = osa(F.col("lemma"), F.col("neighbour")) if transpositions else F.levenshtein("lemma", "neighbour")
-    pairs = pairs.where(near <= 1)
+    pairs = pairs.where(near <= edits)
     nth = F.row_number().over(Window.partitionBy("lemma").orderBy(F.desc("nz"), "neighbour"))
     return pairs.withColumn("nth", nth).where("nth = 1").select("lemma", "neighbour", F.round(F.col("nz") - F.col("z"), 4).alias("gap"))
 

@@ -124,7 +124,7 @@ def matched(entries: DataFrame, words: DataFrame, rejected: DataFrame) -> DataFr
 def flagged(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, archaic, obsolete): whether any entry of the word's lower-case form in ``dictionary`` (term, archaic, obsolete) says so."""
     d = dictionary.groupBy(F.lower("term").alias("t")).agg(F.bool_or("archaic").alias("archaic"), F.bool_or("obsolete").alias("obsolete"))
-    return words.join(d, F.lower("lemma") == F.col("t"), "left").select("id", F.coalesce("archaic", F.lit(False)).alias("archaic"), F.coalesce("obsolete", F.lit(False)).alias("obsolete"))
+    return words.select("id", "lemma").join(d, F.lower("lemma") == F.col("t"), "left").select("id", F.coalesce("archaic", F.lit(False)).alias("archaic"), F.coalesce("obsolete", F.lit(False)).alias("obsolete"))
 
 
 def ordered_verdicts(rows: DataFrame) -> DataFrame:

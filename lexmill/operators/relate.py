@@ -94,13 +94,26 @@ def cluster(pairs: DataFrame, entity: str, member: str, nodes: DataFrame, cluste
     Spark computes the similarity of the nodes with corpus-wide weights; the driver holds only the square
     of the node set, which the caller bounds (top-N by design).
     """
+    names, d = distances(pairs, entity, member, nodes, most)
+    schema = f"node {dict(nodes.dtypes)['node']}, cluster int, x double, y double"
+    if len(names) < 3:
+        return nodes.sparkSession.createDataFrame([], schema)
+    label, place = ward(d, clusters), scaled(d)
+    return nodes.sparkSession.createDataFrame([(name, int(label[i]), float(place[i, 0]), float(place[i, 1])) for i, name in enumerate(names)], schema)
+
+
+def cluster_tree(pairs: DataFrame, entity: str, member: str, nodes: DataFrame, most: float = 0.5) -> DataFrame:
+    """(tree): the Ward tree of a bounded set of ``nodes`` as one JSON row."""
+    names, d = distances(pairs, entity, member, nodes, most)
+    return nodes.sparkSession.createDataFrame([(dendrogram(d, names),)], "tree string")
+
+
+def distances(pairs: DataFrame, entity: str, member: str, nodes: DataFrame, most: float):
+    """Names in order and the matrix of their distances, sqrt(2 (1 - cosine))."""
     import numpy as np
 
     names = [r.node for r in nodes.select("node").distinct().orderBy("node").collect()]
     n = len(names)
-    schema = f"node {dict(nodes.dtypes)['node']}, cluster int, x double, y double"
-    if n < 3:
-        return nodes.sparkSession.createDataFrame([], schema)
     weights = idf(pairs, entity, member, most)
     held = pairs.select(entity, member).distinct().join(nodes.select(F.col("node").alias(entity)), entity, "left_semi").join(weights, member)
     x, y = (held.select(F.col(entity).alias(k), member, F.col("idf").alias(f"w{k}")) for k in ("a", "b"))
@@ -112,32 +125,60 @@ def cluster(pairs: DataFrame, entity: str, member: str, nodes: DataFrame, cluste
     norm = np.sqrt(np.maximum(np.diag(s), 1e-12))
     d = np.sqrt(np.maximum(2 * (1 - np.clip(s / norm[:, None] / norm, -1, 1)), 0))
     np.fill_diagonal(d, 0)
-    label = ward(d, clusters)
+    return names, d
+
+
+def scaled(d):
+    """Two coordinates of each row of a distance matrix (classical scaling); the largest of each axis is positive."""
+    import numpy as np
+
+    n = len(d)
     center = np.eye(n) - 1 / n
     value, vector = np.linalg.eigh(-0.5 * center @ (d**2) @ center)
     place = vector[:, ::-1][:, :2] * np.sqrt(np.maximum(value[::-1][:2], 0))
     for k in range(2):
         if place[np.abs(place[:, k]).argmax(), k] < 0:
             place[:, k] *= -1
-    return nodes.sparkSession.createDataFrame([(name, int(label[i]), float(place[i, 0]), float(place[i, 1])) for i, name in enumerate(names)], schema)
+    return place
 
 
-def ward(d, clusters: int):
-    """Labels from 1 of at most ``clusters`` Ward clusters of a distance matrix, numbered by first member."""
+def linkage(d) -> list[tuple[int, int, float, int]]:
+    """Ward merges of a distance matrix: (i, j, height, size); i and j are first members of what merges, i < j."""
     import numpy as np
 
     n = len(d)
     gap, size = d.astype(float) ** 2, np.ones(n)
     np.fill_diagonal(gap, np.inf)
-    group = np.arange(n)
-    for _ in range(max(0, n - clusters)):
+    out = []
+    for _ in range(n - 1):
         i, j = sorted(np.unravel_index(gap.argmin(), gap.shape))
+        height = float(np.sqrt(gap[i, j]))
         total = size[i] + size[j] + size
         merged = ((size[i] + size) * gap[i] + (size[j] + size) * gap[j] - size * gap[i, j]) / total
         merged[~np.isfinite(gap[i]) | ~np.isfinite(gap[j])] = np.inf
         gap[i], gap[:, i], gap[j], gap[:, j] = merged, merged, np.inf, np.inf
         gap[i, i] = np.inf
         size[i] += size[j]
+        out.append((int(i), int(j), height, int(size[i])))
+    return out
+
+
+def ward(d, clusters: int):
+    """Labels from 1 of at most ``clusters`` Ward clusters of a distance matrix, numbered by first member."""
+    import numpy as np
+
+    group = np.arange(len(d))
+    for i, j, _, _ in linkage(d)[: max(0, len(d) - clusters)]:
         group[group == j] = i
     first = {g: k + 1 for k, g in enumerate(dict.fromkeys(group.tolist()))}
     return np.array([first[g] for g in group.tolist()])
+
+
+def dendrogram(d, names: list) -> str:
+    """The Ward tree as nested JSON: leaves have a name, inner nodes a height, a size and two children."""
+    import json
+
+    node: dict[int, dict] = {i: {"name": x} for i, x in enumerate(names)}
+    for i, j, height, size in linkage(d):
+        node[i] = {"height": round(height, 6), "size": size, "children": [node[i], node.pop(j)]}
+    return json.dumps(node[0]) if node else "{}"
