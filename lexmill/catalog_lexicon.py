@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .catalog import BOOKS, star
 from .catalog_more import JUDGED, T3, common, judged, on
 from .catalog_quiz import POOL, picked, tree
-from .operators import edges, facets, ingest, lexicon, relate, writes
+from .operators import dictionary, edges, facets, ingest, lexicon, relate, writes
 
 HEAD = " union all ".join(f"select lemma, substr(lemma, {len(h) + 1}) as root from w where starts_with(lemma, '{h}')" for h in lexicon.HEADS)
 TAIL = " union all ".join(f"select lemma, left(lemma, length(lemma) - {len(t)}) || e as root from w, (values (''), ('e')) as x(e) where ends_with(lemma, '{t}')" for t in lexicon.TAILS)
@@ -63,3 +63,30 @@ def ingested(d: DataFrame) -> DataFrame:
 
 
 on("ingest_end_to_end", "documents", ingested, f"{T3}{JUDGED}, w as (select lemma, zipf from z where n >= 5), t as (select distinct * from ({HEAD} union all {TAIL}) where length(root) >= 3), r as (select t.lemma, t.root, row_number() over (partition by t.lemma order by w.zipf desc, length(t.root), t.root) as n from t join w on w.lemma = t.root), k as (select distinct lemma from v where reason is null), x as (select lemma, count(distinct doc_id) as books, cast(sum(n_tokens) as bigint) as n_tokens, min(doc_id) as first_doc from v where lemma in (select lemma from k) group by 1) select x.*, r.root from x left join r on r.lemma = x.lemma and r.n = 1")
+
+
+def cluster_tree(c) -> DataFrame:
+    books = c.books.join(c.author_links.select("author").distinct(), "author", "left_semi").groupBy("author").count()
+    return relate.cluster_tree(c.author_links, "author", "word_id", books.orderBy(F.desc("count"), "author").limit(200).select(F.col("author").alias("node")))
+
+
+star("cluster_tree", cluster_tree)
+
+# --- dictionary volumes: entries made of a part's columns
+RAW_ENTRY = lambda: F.concat("p_name", F.lit(" (x'y), n. and adj. [from "), "p_brand", F.lit("] Lead of it. 1. A thing of "), "p_type", F.lit(". 1601 Smith Jr. of old. c1702 a line "), F.lit("2. Another one."))
+volume = lambda p: dictionary.relations(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), RAW_ENTRY().alias("raw")))
+on("dictionary_entries", "part", lambda p: volume(p)[0], "select p_partkey as id, 'n adj' as pos, 'from ' || p_brand as etymology from part")
+on("dictionary_sense_rows", "part", lambda p: volume(p)[1], "select p_partkey as id, n as nth, label, text from (select p_partkey, 0 as n, null as label, 'Lead of it.' as text from part union all select p_partkey, 1, '1', 'A thing of ' || p_type || '. 1601 Smith Jr. of old. c1702 a line' from part union all select p_partkey, 2, '2', 'Another one.' from part)")
+on("dictionary_quotations", "part", lambda p: volume(p)[2], "select p_partkey as id, 1 as nth, n, year, approx, author, text from part, (values (0, 1601, false, 'Smith Jr.', 'of old.'), (1, 1702, true, null, 'a line')) as q(n, year, approx, author, text)")
+cycle = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+sql_cycle = lambda values: "list_value(" + ", ".join("null" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + f")[p_partkey % {len(values)} + 1]"
+ARPA, ARPA_IPA = ("R EY1 K ER0", "IH0 K S T R AH1", "XX", "B UH2 K K EY1 S", ""), ("ˈɹeɪkɝ", "ɪˈkstɹʌ", None, "ˌbʊˈkkeɪs", None)
+SPELLED, SPELLED_IPA = ("kŏn-kăv′ĭ-tē", "pyo͞o", "bŏg", "q", "kăt, dŏg"), ("kɒnˈkævɪtiː", None, "bɒɡ", None, "kæt")
+on("arpabet_ipa", "part", lambda p: p.select("p_partkey", dictionary.arpabet_ipa(cycle(ARPA, F.col("p_partkey"))).alias("ipa")), f"select p_partkey, {sql_cycle(ARPA_IPA)} as ipa from part")
+on("respelling_ipa", "part", lambda p: p.select("p_partkey", dictionary.respelling_ipa(cycle(SPELLED, F.col("p_partkey"))).alias("ipa")), f"select p_partkey, {sql_cycle(SPELLED_IPA)} as ipa from part")
+READ = (("ˈkæt", "ˈkæt", None), ("(ˈkæt)", "ˈkæt ", "cat (k'aet)"), ("ˈkæt", "ˈkɒt", None), ("əˈbaʊt", "əˈbaʊt", "x (a'baut)"), (None, "x", None))
+on("agreed_reading", "part", lambda p: p.select("p_partkey", dictionary.agreed_reading(*[cycle([r[i] for r in READ], F.col("p_partkey")) for i in range(3)]).alias("r")).select("p_partkey", "r.ipa", "r.needs_review"), f"select p_partkey, {sql_cycle(('ˈkæt', None, None, 'əˈbaʊt', None))} as ipa, p_partkey % 5 in (1, 2, 4) as needs_review from part")
+REPLIES = ('```json\n[{"w": "Cat", "k": false}, {"w": "dog"}]\n```', 'Sure: {"words": [{"word": "x", "keep": true}]} and more]', "no json", '[{"w": "a", "k": true}] ]')
+on("model_verdicts", "part", lambda p: p.select("p_partkey", F.explode(dictionary.verdicts(cycle(REPLIES, F.col("p_partkey")))).alias("v")).select("p_partkey", "v.word", "v.keep"), "select p_partkey, word, keep from part, (values (0, 'cat', false), (0, 'dog', true), (1, 'x', true), (3, 'a', true)) as v(m, word, keep) where p_partkey % 4 = m")
+on("preferred_pronunciation", "lineitem", lambda t: dictionary.preferred(t.select(F.col("l_orderkey").alias("word"), F.col("l_linenumber").alias("nth"), F.when(F.col("l_linestatus") == "O", F.col("l_partkey").cast("string")).alias("ipa"), F.array(F.when(F.col("l_returnflag") == "R", "US").otherwise("UK")).alias("tags"))), "select l_orderkey as word, arg_min(cast(l_partkey as varchar), (case when l_returnflag = 'R' then 0 else 1 end, l_linenumber, cast(l_partkey as varchar))) as ipa from lineitem where l_linestatus = 'O' group by 1")
+on("hashed_vectors", "conversations", lambda c: dictionary.hashed_vectors(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")), "with w as (select conv_id * 1000 + turn as id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z]+')) as w from conversations), n as (select id, cast(cast('0x' || left(md5(w), 6) as bigint) % 64 as int) as place, count(*) as n from w where w <> '' group by 1, 2), m as (select id, sqrt(cast(sum(n * n) as double)) as norm from n group by 1) select n.id, place, round(n / norm, 6) as value from n join m on m.id = n.id")
