@@ -79,13 +79,33 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", decoder(path)(F.col("ids")).eqNullSafe(F.col("text")).alias("restored"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_revisits, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_nearest, op8_mixing, op9_token_counts, op10_sentencepiece)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_conversation_trie import rebuilt, trie
+
+    return trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), num=80, den=100, width=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_revisits, op4_jaccard_join, op5_quality_rules, op6_quality_classifier, op7_nearest, op8_mixing, op9_token_counts, op10_sentencepiece, op11_filter_audit, op12_conversation_trie, op13_minhash_dedup)}
+
 
 def _oracles() -> dict[str, str]:
     from . import op3_revisits as revisits
+    from . import op11_filter_audit as audit
     from . import sql
 
-    return {"op3_revisits": revisits.SQL, **sql.ORACLES}
+    return {"op3_revisits": revisits.SQL, "op11_filter_audit": audit.SQL, **sql.ORACLES}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
