@@ -103,9 +103,10 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_token_store, op3_revisits
 def _oracles() -> dict[str, str]:
     from . import op3_revisits as revisits
     from . import op11_filter_audit as audit
+    from . import op12_conversation_trie as tries
     from . import sql
 
-    return {"op3_revisits": revisits.SQL, "op11_filter_audit": audit.SQL, **sql.ORACLES}
+    return {"op3_revisits": revisits.SQL, "op11_filter_audit": audit.SQL, "op12_conversation_trie": tries.SQL, **sql.ORACLES}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()
