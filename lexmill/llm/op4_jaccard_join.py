@@ -219,8 +219,31 @@ def verified(near: DataFrame, docs: DataFrame, join: Join, name: str, broadcast_
     return staged(y.where(_linked(join)("ha", "hb")).select("a", "b").distinct(), f"{name}_links")
 
 
-def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose dense sketches allow a link."""
+def _parity_near(join: Join):
+    """For ``open_pairs``: rows of a block whose dense parity bits allow a link."""
+
+    def prepared(bits: list[bytes], n):
+        import numpy as np
+
+        size = min(map(len, bits))  # powers of two: folding keeps parity
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, size), axis=0) for b in bits]).view(np.uint64)
+
+        def near(i: int, rest):
+            most = (n[rest] + n[i]) * (join.den - join.num) // (join.den + join.num)
+            return np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1, dtype=np.int64) <= most
+
+        return near
+
+    return prepared
+
+
+def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join, prepared=None) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and whose sketches allow a link.
+
+    ``prepared(bits, n)`` takes the sketches and set sizes of a block and gives near(i, rest), which says of the rows
+    ``rest`` whether they may be linked with row i; the dense parity bits' Hamming distance if it is not given.
+    """
+    prepared = prepared or _parity_near(join)
     held = group.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
     tally = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
@@ -248,16 +271,13 @@ def open_pairs(group: DataFrame, roots: DataFrame, sketch: DataFrame, join: Join
     def compared(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         import numpy as np
 
-        size = min(len(r[7]) for r in rows)  # powers of two: folding keeps parity
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[7], np.uint8).reshape(-1, size), axis=0) for r in rows]).view(np.uint64)
         n, root = np.array([r[6] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        near = prepared([r[7] for r in rows], n)
         side = np.array([r[3] for r in rows])
         for i in range(len(rows)):
             rest = np.arange(i + 1, len(rows))
             rest = rest[(root[rest] != root[i]) & ((side[rest] != side[i]) | (rows[i][1] == rows[i][2]))]
-            most = (n[rest] + n[i]) * (join.den - join.num) // (join.den + join.num)
-            far = np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            for j in rest[far <= most]:
+            for j in rest[near(i, rest)]:
                 a, b = sorted((rows[i][4], rows[j][4]))
                 if a != b:
                     yield a, b

@@ -6,7 +6,10 @@ from .op5_quality_rules import SLACK
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-JACCARD_JOIN = rf"""
+
+def jaccard_classes(num: int, den: int, kept: bool) -> str:
+    """One row a document with its class under 4-word shingles and the threshold num / den."""
+    return rf"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
 ), s as (
@@ -14,10 +17,10 @@ with recursive w as (
     select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' ')) end) as sh from w)
 ), n as (select d.doc_id, count(s.sh) as n from documents d left join s on s.doc_id = d.doc_id group by 1
 ), shared as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2
-), link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)
+), link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where {den} * i >= {num} * (x.n + y.n - i)
 ), arc as (select a, b from link union select b, a from link
 ), reach(a, b) as (select a, b from arc union select r.a, l.b from reach r join arc l on l.a = r.b)
-select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) as component_id from n left join reach r on r.a = n.doc_id group by 1, 2
+select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) as component_id{", n.doc_id <= coalesce(min(r.b), n.doc_id) as kept" if kept else ""} from n left join reach r on r.a = n.doc_id group by 1, 2
 """
 
 
@@ -57,4 +60,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES = {"op4_jaccard_join": JACCARD_JOIN, "op5_quality_rules": quality_rules()}
+ORACLES = {"op4_jaccard_join": jaccard_classes(85, 100, False), "op13_minhash_dedup": jaccard_classes(80, 100, True), "op5_quality_rules": quality_rules()}
