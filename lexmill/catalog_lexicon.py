@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .catalog import BOOKS, star
 from .catalog_more import JUDGED, T3, common, judged, on
-from .catalog_quiz import POOL, picked, tree
+from .catalog_quiz import of_picked, tree
 from .operators import dictionary, edges, facets, ingest, lexicon, relate, writes
 
 HEAD = " union all ".join(f"select lemma, substr(lemma, {len(h) + 1}) as root from w where starts_with(lemma, '{h}')" for h in lexicon.HEADS)
@@ -49,7 +49,7 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
 
 
 on("analogy_distractors", "part", analogy_distractors, "with t as (select p_partkey as term from part where p_partkey % 20 = 0), r as (select term, term + 1 as word, 0 as tier from t union all select a.p_partkey, b.p_partkey, 1 from part a join part b on a.p_partkey // 3 = b.p_partkey // 3 where a.p_partkey % 20 = 0 union all select term, unnest([1, 2, 3, 4, 5]), 2 from t), m as (select term, word, min(tier) as tier from r where word <> term group by 1, 2), p as (select *, row_number() over (partition by term order by tier, word) as place from m) select * from p where place <= 3")
-star("session_questions", lambda c: picked(c).groupBy("target").agg(F.count("*").alias("n")).select("target", F.when(F.col("n") < 3, "true_false").when(F.substring(F.md5(F.col("target").cast("string")), 1, 1) < "8", "choice").otherwise("matching").alias("kind")), POOL + " select target, case when count(*) < 3 then 'true_false' when left(md5(cast(target as varchar)), 1) < '8' then 'choice' else 'matching' end as kind from picked group by 1")
+of_picked("session_questions", lambda d: d.groupBy("target").agg(F.count("*").alias("n")).select("target", F.when(F.col("n") < 3, "true_false").when(F.substring(F.md5(F.col("target").cast("string")), 1, 1) < "8", "choice").otherwise("matching").alias("kind")), " select target, case when count(*) < 3 then 'true_false' when left(md5(cast(target as varchar)), 1) < '8' then 'choice' else 'matching' end as kind from picked group by 1")
 on("published_facts", "orders", lambda o: writes.published(o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.year("o_orderdate")).alias("year"), F.lit(None).cast("string").alias("era")), o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1900).alias("year"), F.lit("late 19th century").alias("era"))), "select o_orderkey as id, coalesce(case when o_orderkey % 2 = 0 then cast(year(o_orderdate) as int) end, case when o_orderkey % 3 = 0 then 1900 end) as year, case when o_orderkey % 3 = 0 then 'late 19th century' end as era from orders")
 on("only_missing", "orders", lambda o: writes.invalidated(o.select("o_custkey").distinct(), o.where("o_orderstatus = 'F'"), "o_custkey"), "select distinct o_custkey from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")
 

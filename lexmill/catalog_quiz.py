@@ -2,31 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .catalog import star
-from .catalog_more import GRAM, T3, common, on
+from .catalog import add
+from .catalog_more import GRAM, T3, common, on, read
 from .operators import edges, ingest, leaks, quiz, writes
+from .operators.distractors import Rule, distractors
+from .plans.star import SQL, load
 
-# --- distractors and questions: every quizzable word whose id is divisible by 20
-POOL = f""", field as (select word_id, min(left(code, 1)) as field from code group by 1
-), w as (select id, part_of_speech, difficulty, field, {GRAM.format('lemma')} as grams from word left join field on word_id = id where quizzable and difficulty is not null
-), p as (select t.id as target, w.id as word, round(len(list_intersect(w.grams, t.grams)) / len(list_distinct(list_concat(w.grams, t.grams))), 6) as alike, w.field = t.field as same from w join w t on t.id % 20 = 0 and w.id <> t.id and w.part_of_speech = t.part_of_speech and abs(w.difficulty - t.difficulty) <= 15
-), s as (select target, word, case when alike > 0.3 then 0 when same then 1 else 2 end as s, case when alike > 0.3 then alike else 0.0 end as alike, md5('1:' || cast(target as varchar) || '-' || cast(word as varchar)) as h from p
-), r as (select *, row_number() over (partition by target, s order by alike desc, h, word) as nth from s
-), q as (select *, row_number() over (partition by target order by case when nth > 1 then 1 else 0 end, s, nth) as place from r where nth <= 3
-), picked as (select target, word, list_value('orthographic', 'domain', 'random')[s + 1] as strategy, place, count(*) over (partition by target) < 3 as degraded from q where place <= 3)"""
+# --- distractors and questions: every quizzable word whose id is divisible by 20. The vectors of the tables have no structure, so
+# the band of meanings and the floor of near-synonyms are set where their distances lie.
+RULE = Rule(near=(0.6, 0.9), floor=0.75)
 
 
-def picked(c) -> DataFrame:
-    field = c.codes.groupBy(F.col("word_id").alias("id")).agg(F.min(F.left("code", F.lit(1))).alias("field"))
-    words = c.words.where("quizzable").join(field, "id", "left")
-    return quiz.distractors(words, words.where("id % 20 = 0"))
+def ring_sql(word: str, target: str) -> str:
+    at = lambda x: f"cast('0x' || left(md5('{RULE.seed}:' || cast({x} as varchar)), 8) as bigint)"
+    return f"(({at(word)} - {at(target)}) % 4294967296 + 4294967296) % 4294967296"
 
 
-star("distractor_batch", picked, POOL + " select * from picked")
-star("choice_questions", lambda c: quiz.choice_questions(picked(c)), POOL + ", o as (select target, word from picked union select target, target from picked), l as (select target, word, row_number() over (partition by target order by md5('1:' || cast(target as varchar) || '-' || cast(word as varchar)), word) as n from o) select target, string_agg(cast(word as varchar), ' ' order by n) as options, cast(max(case when word = target then n end) - 1 as int) as correct, round(1 / count(*), 6) as floor from l group by 1")
-star("truth_questions", lambda c: quiz.truth_questions(picked(c)), POOL + " select target, case when left(md5('1:' || cast(target as varchar)), 1) < '8' then target else word end as shown, left(md5('1:' || cast(target as varchar)), 1) < '8' as is_true, 0.5::double as floor from picked where place = 1")
+QUOTAS = RULE.quotas()
+UPTO = "list_value(" + ", ".join(str(n) for _, n in QUOTAS) + ")"
+DISTANCE = "round(1 - least(greatest(list_dot_product(w.vector, t.vector) / sqrt(list_dot_product(w.vector, w.vector) * list_dot_product(t.vector, t.vector)), -1.0), 1.0), 6)"
+RECURSIVE = SQL.replace("with all_word as", "with recursive all_word as", 1)
+POOL = f"""{RECURSIVE}, field as (select word_id, list(distinct left(code, 1)) as fields from code group by 1
+), vec as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as vector from embeddings
+), w as (select id, part_of_speech, difficulty, coalesce(fields, []) as fields, {GRAM.format('lemma')} as grams, vector from word left join field on word_id = id left join vec on vec_id = id where quizzable and difficulty is not null
+), syn as (select t.p_partkey as target, w.p_partkey as word from part t join part w on t.p_brand = w.p_brand and t.p_type = w.p_type and t.p_size = w.p_size and t.p_partkey <> w.p_partkey where t.p_partkey % 20 = 0
+), e0 as (select t.id as target, w.id as word, round(len(list_intersect(w.grams, t.grams)) / len(list_distinct(list_concat(w.grams, t.grams))), 6) as alike, {DISTANCE} as distance, len(list_intersect(w.fields, t.fields)) > 0 as same,
+    {ring_sql('w.id', 't.id')} as d, w.difficulty between t.difficulty - {RULE.reach} and t.difficulty + {RULE.reach} as inside
+  from w join w t on t.id % 20 = 0 and w.id <> t.id and w.part_of_speech = t.part_of_speech and w.difficulty between t.difficulty - {RULE.reach + RULE.widen} and t.difficulty + {RULE.reach + RULE.widen}
+), e as (select * from e0 where coalesce(distance >= {RULE.floor}, true) and not exists (select 1 from syn where syn.target = e0.target and syn.word = e0.word)
+), c as (
+  select target, word, 0 as s, row_number() over (partition by target order by alike desc, d, word) as nth from e where inside and alike > {RULE.alike}
+  union all select target, word, 1, row_number() over (partition by target order by distance, word) from e where inside and distance between {RULE.near[0]} and {RULE.near[1]}
+  union all select target, word, 2, row_number() over (partition by target order by d, word) from e where inside and same
+  union all select target, word, 3, row_number() over (partition by target order by d, word) from e where inside
+), entry as (select target, word, s, row_number() over (partition by target order by s, nth) as i from c where nth <= {2 * RULE.count}
+), fold as (select id as target, 0::bigint as i, []::struct(word bigint, s int)[] as got from w where id % 20 = 0
+  union all select f.target, f.i + 1, case when len(got) < {UPTO}[n.s + 1] and not list_contains(list_transform(got, lambda x: x.word), n.word) then list_append(got, {{'word': n.word, 's': n.s}}) else got end from fold f join entry n on n.target = f.target and n.i = f.i + 1
+), taken as (select target, arg_max(got, i) as got from fold group by 1
+), wide as (select e.target, e.word, row_number() over (partition by e.target order by d, e.word) as i from e join taken using (target) where len(got) < {RULE.count} and not list_contains(list_transform(got, lambda x: x.word), e.word)
+), grown as (select target, list_concat(got, coalesce((select list({{'word': word, 's': 3}} order by i) from wide where wide.target = taken.target and i <= {RULE.count} - len(got)), [])) as got, len(got) < {RULE.count} as degraded from taken
+), picked as (select target, unnest(got).word as word, list_value({", ".join(repr(n) for n, _ in QUOTAS)})[unnest(got).s + 1] as strategy, generate_subscripts(got, 1) as place, degraded from grown)"""
+
+
+def quiz_words(c) -> DataFrame:
+    """The quizzable words with their fields and vectors."""
+    field = c.codes.groupBy(F.col("word_id").alias("id")).agg(F.collect_set(F.left("code", F.lit(1))).alias("fields"))
+    words = c.words.where("quizzable").join(field, "id", "left").join(c.vectors, "id", "left")
+    return words.withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
+
+
+def synonyms(part: DataFrame) -> DataFrame:
+    """(target, word) of parts alike in brand, type and size, for every target."""
+    keys = ["p_brand", "p_type", "p_size"]
+    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"), *keys)
+    return asked.join(part.select(F.col("p_partkey").alias("word"), *keys), keys).where("target <> word").select("target", "word")
+
+
+def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = quiz_words(load(spark, sf_dir))
+    return distractors(words, words.where("id % 20 = 0"), RULE, [synonyms(read(spark, sf_dir, "part"))])
+
+
+def of_picked(name: str, query, oracle: str) -> None:
+    add(name, lambda spark, sf_dir: query(picked(spark, sf_dir)), POOL + oracle)
+
+
+of_picked("distractor_batch", lambda d: d, " select target, word, strategy, cast(place as int) as place, degraded from picked")
+of_picked("choice_questions", quiz.choice_questions, ", o as (select target, word from picked union select target, target from picked), l as (select target, word, row_number() over (partition by target order by md5('1:' || cast(target as varchar) || '-' || cast(word as varchar)), word) as n from o) select target, string_agg(cast(word as varchar), ' ' order by n) as options, cast(max(case when word = target then n end) - 1 as int) as correct, round(1 / count(*), 6) as floor from l group by 1")
+of_picked("truth_questions", quiz.truth_questions, " select target, case when left(md5('1:' || cast(target as varchar)), 1) < '8' then target else word end as shown, left(md5('1:' || cast(target as varchar)), 1) < '8' as is_true, 0.5::double as floor from picked where place = 1")
 on("graded_matching", "lineitem", lambda t: quiz.graded(t.select(F.col("l_orderkey").alias("question"), (F.col("l_partkey") % 3).alias("expected"), F.when(F.col("l_returnflag") != "N", F.col("l_suppkey") % 3).alias("response"))), "with a as (select l_orderkey as question, l_partkey % 3 as e, case when l_returnflag <> 'N' then l_suppkey % 3 end as r from lineitem), g as (select question, count(*) as pairs, count(r) as submitted, count(*) filter (where r = e) as correct from a group by 1) select *, round(case when submitted > 0 then correct / submitted end, 6) as finish_credit, round(correct / pairs, 6) as review_credit from g")
 on("early_stops", "events", lambda e: quiz.stopping(e, "user_id", "event_id", F.col("event_type") == "error", 5, 0.2), "with r as (select user_id, row_number() over w as n, avg((event_type = 'error')::int) over (partition by user_id order by event_id rows unbounded preceding) as rate from events window w as (partition by user_id order by event_id)) select user_id, min(n) as stop_at, round(arg_min(rate, n), 6) as rate from r where n >= 5 and rate > 0.2 group by 1")
 

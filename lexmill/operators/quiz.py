@@ -1,42 +1,11 @@
-"""Distractors, questions and grading, for whole tables of target words at once."""
+"""Questions and grading, for whole tables of target words at once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import trigrams
 from .listing import hashed
 
-STRATEGIES = ("orthographic", "domain", "random")
-
-
-def distractors(words: DataFrame, targets: DataFrame, count: int = 3, reach: float = 15.0, least: float = 0.3, seed: int = 1, too_close: DataFrame | None = None) -> DataFrame:
-    """(target, word, strategy, place, degraded): ``count`` wrong answers for each word of ``targets``, which is a stated query set.
-
-    ``words`` and ``targets`` have id, lemma, part_of_speech, difficulty and field. Candidates have the
-    target's part of speech and a difficulty within ``reach``; pairs of ``too_close`` (a, b) are left out. Each
-    candidate counts under the first strategy it fits: looks alike, same field, any. The best of each
-    strategy come first, then what is left in the strategies' order; fewer than ``count`` is ``degraded``.
-    """
-    gram = lambda df: df.withColumn("grams", trigrams(F.col("lemma")))
-    t = gram(targets.where("difficulty is not null")).select(F.col("id").alias("target"), F.col("part_of_speech").alias("tp"), F.col("difficulty").alias("td"), F.col("field").alias("tf"), F.col("grams").alias("tg"))
-    w = gram(words.where("difficulty is not null")).select(F.col("id").alias("word"), "part_of_speech", "difficulty", "field", "grams")
-    pairs = w.join(t, (F.col("part_of_speech") == F.col("tp")) & (F.col("word") != F.col("target")) & (F.abs(F.col("difficulty") - F.col("td")) <= reach))
-    if too_close is not None:
-        pairs = pairs.join(too_close.select(F.col("a").alias("target"), F.col("b").alias("word")), ["target", "word"], "left_anti")
-    alike = F.size(F.array_intersect("grams", "tg")) / F.size(F.array_union("grams", "tg"))
-    pairs = pairs.withColumn("alike", F.round(alike, 6))
-    strategy = F.when(F.col("alike") > least, 0).when(F.col("field") == F.col("tf"), 1).otherwise(2)
-    pairs = pairs.select("target", "word", strategy.alias("s"), F.when(strategy == 0, F.col("alike")).otherwise(0.0).alias("alike"))
-    luck = hashed(F.concat_ws("-", "target", "word"), seed)
-    nth = F.row_number().over(Window.partitionBy("target", "s").orderBy(F.desc("alike"), luck, "word"))
-    pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= count)
-    place = F.row_number().over(Window.partitionBy("target").orderBy((F.col("nth") > 1).cast("int"), "s", "nth"))
-    picked = pairs.withColumn("place", place).where(F.col("place") <= count)
-    n = F.count("*").over(Window.partitionBy("target"))
-    return picked.select("target", "word", F.get(F.array(*map(F.lit, STRATEGIES)), F.col("s")).alias("strategy"), "place", (n < count).alias("degraded"))
-
-
 def choice_questions(picked: DataFrame, seed: int = 1, none_of_these: bool = False) -> DataFrame:
     """(target, options, correct, floor): a multiple-choice question for each target of ``picked``, its options in a hashed order.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import cosine_distance
+from ..plans.staging import bounded, settled
 
 
 def distances(vectors: DataFrame, query: DataFrame) -> DataFrame:
@@ -48,18 +49,28 @@ def two_rings(vectors: DataFrame, seed: int, k: int = 8, second: int = 3) -> Dat
     return first.select(F.lit(seed).cast("long").alias("source"), "id", F.lit(1).alias("ring"), "distance").unionByName(outer)
 
 
-def compared(vectors: DataFrame, queries: DataFrame, k: int | None = None, same_label: bool = False, low: float = -1.0, high: float = 3.0, block: int = 2048) -> DataFrame:
+def compared(vectors: DataFrame, queries: DataFrame, k: int | None = None, same_label: bool = False, low: float = -1.0, high: float = 3.0, block: int = 2048, within: bool = False) -> DataFrame:
     """(query_id, id, label, distance) of every row of ``queries`` to all other ``vectors`` (both id, label, vector), within a band; only the ``k`` nearest if given.
 
     Blocks of queries meet blocks of vectors; each pair of blocks keeps the best ``k`` of each query, so a
-    task holds two blocks, and what meets again is k rows a query and block. Null vectors are left out.
+    task holds two blocks, and what meets again is k rows a query and block. Null vectors are left out. With
+    ``within`` a vector counts only if its ``value`` lies between the query's ``low`` and ``high``. With ``same_label``
+    blocks hold one label each, so that other labels never meet.
     """
+    extra = {"vb": ["value"], "qb": ["low", "high"]} if within else {"vb": [], "qb": []}
 
     def dealt(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-        rows = rows.where("vector is not null").select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "label", "vector")])  # new names: both sides may come from one table
+        rows = rows.where("vector is not null").select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "label", "vector", *extra[name])])  # new names: both sides may come from one table
         n = max(1, -(-rows.count() // block))
         return rows.withColumn(name, F.pmod(F.xxhash64(f"{name}_id"), F.lit(n)).cast("int")), n
 
+    def labelled(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """``rows`` with a block of their label, and the number of blocks of each label."""
+        rows = rows.where("vector is not null and label is not null").select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "label", "vector", *extra[name])])
+        blocks = rows.groupBy(F.col(f"{name}_label").alias("of")).agg(F.ceil(F.count("*") / block).cast("int").alias(f"{name}_blocks"))
+        rows = rows.join(bounded(settled(blocks)), F.col(f"{name}_label") == F.col("of"))
+        return rows.withColumn(name, F.pmod(F.xxhash64(f"{name}_id"), F.col(f"{name}_blocks")).cast("int")).drop("of", f"{name}_blocks"), blocks
+
     def run(v: pa.Table, q: pa.Table) -> pa.Table:
         import numpy as np
 
@@ -67,10 +78,13 @@ def compared(vectors: DataFrame, queries: DataFrame, k: int | None = None, same_
         if v.num_rows and q.num_rows:
             ids, labels, own = v["vb_id"].to_numpy(), v["vb_label"].to_numpy(), np.array(v["vb_vector"].to_pylist(), float)
             size = (own * own).sum(axis=1)
-            for i, label, one in zip(q["qb_id"].to_pylist(), q["qb_label"].to_pylist(), np.array(q["qb_vector"].to_pylist(), float)):
+            value = v["vb_value"].to_numpy() if within else None
+            limits = zip(q["qb_low"].to_pylist(), q["qb_high"].to_pylist()) if within else [(None, None)] * q.num_rows
+            for i, label, one, (least, most) in zip(q["qb_id"].to_pylist(), q["qb_label"].to_pylist(), np.array(q["qb_vector"].to_pylist(), float), limits):
                 with np.errstate(invalid="ignore", divide="ignore"):
                     d = np.round(1 - np.clip(own @ one / np.sqrt(size * (one @ one)), -1, 1), 6)
-                at = np.flatnonzero((ids != i) & (d >= low) & (d <= high) & ((labels == label) | (not same_label)))
+                fits = (ids != i) & (d >= low) & (d <= high) & ((labels == label) | (not same_label))
+                at = np.flatnonzero(fits & (value >= least) & (value <= most) if within else fits)
                 at = at if k is None else at[np.lexsort((ids[at], d[at]))[:k]]
                 found.append((np.full(len(at), i), ids[at], labels[at], d[at]))
         columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0)] * 4
@@ -78,9 +92,15 @@ def compared(vectors: DataFrame, queries: DataFrame, k: int | None = None, same_
         return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=["query_id", "id", "label", "distance"])
 
     label_type = to_arrow_type(vectors.schema["label"].dataType)
-    (v, nv), (q, nq) = dealt(vectors, "vb"), dealt(queries, "qb")
-    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).groupBy("qb", "vb")
-    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).groupBy("qb", "vb")
+    if same_label:
+        (v, nv), (q, nq) = labelled(vectors, "vb"), labelled(queries, "qb")
+        v = v.join(bounded(settled(nq)), F.col("vb_label") == F.col("of")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_blocks") - 1))).drop("of", "qb_blocks")
+        q = q.join(bounded(settled(nv)), F.col("qb_label") == F.col("of")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vb_blocks") - 1))).drop("of", "vb_blocks")
+        v, q = v.groupBy("vb_label", "qb", "vb"), q.groupBy("qb_label", "qb", "vb")
+    else:
+        (v, nv), (q, nq) = dealt(vectors, "vb"), dealt(queries, "qb")
+        v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).groupBy("qb", "vb")
+        q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).groupBy("qb", "vb")
     out = v.cogroup(q).applyInArrow(run, f"query_id long, id long, label {dict(vectors.dtypes)['label']}, distance double")
     if k is None:
         return out

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, in one that bears the application's id, so that all its tables can be deleted after it.
+
+    A local session without the setting gets a temporary folder; a cluster must name one that all executors share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         import tempfile
 
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-    return df.checkpoint()
+        base = tempfile.mkdtemp(prefix="lexmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/lexmill-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and scans keep pruning and statistics."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most_rows: int = 1 << 20) -> DataFrame:
+    """The written table ``df`` marked for broadcast if it has at most ``most_rows`` narrow rows; else Spark shuffles both sides."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -31,6 +31,7 @@ class Corpus:
     genres: DataFrame
     fame: DataFrame
     shelves: DataFrame | None = None  # (shelf, word_id): a coarser grouping than books, a supplier's parts
+    vectors: DataFrame | None = None  # (id, vector): meanings of some words
 
     @property
     def words(self) -> DataFrame:
@@ -76,7 +77,8 @@ def load(spark: SparkSession, sf_dir: str, least_quantity: float = 0.0) -> Corpu
     genres = orders.select(order.alias("book_id"), F.explode(F.array("o_orderpriority", F.concat(F.lit("status "), F.col("o_orderstatus")))).alias("genre"))
     fame = orders.where("o_orderstatus = 'F'").select(order.alias("book_id"), (F.floor("o_totalprice") % 10 + 1).cast("int").alias("fame_score"))
     shelves = lineitem.select(F.col("l_suppkey").alias("shelf"), F.col("l_partkey").alias("word_id")).distinct()
-    return Corpus(words, books, links, codes, genres, fame, shelves)
+    vectors = read("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return Corpus(words, books, links, codes, genres, fame, shelves, vectors)
 
 
 SQL = f"""

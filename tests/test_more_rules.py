@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexmill.operators import ingest, leaks, lexicon, listing, quiz, relate, rules, writes
+from lexmill.operators import ingest, leaks, lexicon, listing, relate, rules, writes
 from lexmill.plans import steps
 
 
@@ -119,11 +119,7 @@ def test_changes_of_tables(spark):
     assert sorted(map(tuple, kept.collect())) == [("a", None), ("b", "rare")] and sorted(r.id for r in left.collect()) == [2, 3]
 
 
-def test_samples_and_distractors(spark):
+def test_samples(spark):
     df = spark.range(100).withColumn("due", F.col("id") < 5)
     one = [r.id for r in listing.sample(df, "id", 10, 4, F.col("due")).collect()]
     assert one == [r.id for r in listing.sample(df.repartition(7), "id", 10, 4, F.col("due")).collect()] and set(one[:5]) == set(range(5))
-    words = spark.createDataFrame([(i, f"word{i}", "NOUN", 50.0 + i, "A") for i in range(3)], "id long, lemma string, part_of_speech string, difficulty double, field string")
-    close = spark.createDataFrame([(0, 1)], "a long, b long")
-    rows = quiz.distractors(words, words.where("id = 0"), too_close=close).collect()
-    assert [(r.word, r.degraded) for r in rows] == [(2, True)]
