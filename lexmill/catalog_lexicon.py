@@ -30,25 +30,6 @@ on("definition_search", "conversations", lambda c: c.select("conv_id", "turn", F
 # --- composed
 star("books_page_with_total", lambda c: facets.page(facets.books(c), "mean_difficulty", "id", True, 2, 25).select("id", "mean_difficulty").join(F.broadcast(c.active_links.agg(F.countDistinct("book_id").alias("total")))), BOOKS + " select id, mean_difficulty, (select count(*) from books) as total from books order by mean_difficulty desc nulls last, id limit 25 offset 25")
 on("relation_edges", "part", lambda p: relate.closure(tree(p).where("child > 0"), "child", "parent").select("node", "ancestor", F.when(F.col("depth") == 1, "direct").otherwise("fanout").alias("kind")), "with recursive up(node, ancestor, depth) as (select p_partkey, p_partkey // 3, 1 from part where p_partkey > 0 union all select node, ancestor // 3, depth + 1 from up where ancestor > 0) select node, ancestor, case when depth = 1 then 'direct' else 'fanout' end as kind from up")
-
-
-def analogy_distractors(p: DataFrame) -> DataFrame:
-    """Wrong ends of an analogy for every term divisible by 20: its traps first, then its siblings, then any, three in all."""
-    terms = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("term"))
-    trap = terms.select("term", (F.col("term") + 1).alias("word"), F.lit(0).alias("tier"))
-    near = edges.siblings(tree(p), "child", "parent", terms).select("term", F.col("sibling").alias("word"), F.lit(1).alias("tier"))
-    rest = terms.select("term", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("word"), F.lit(2).alias("tier"))
-    rows = trap.unionByName(near).unionByName(rest).where("word <> term").groupBy("term", "word").agg(F.min("tier").alias("tier"))
-    return writes.latest(rows.withColumn("place", F.struct("tier", "word")), ["term", "word"], [F.col("tier")]).select("term", "word", "tier").transform(lambda d: _first(d, 3))
-
-
-def _first(rows: DataFrame, n: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("tier", "word"))).where(F.col("place") <= n)
-
-
-on("analogy_distractors", "part", analogy_distractors, "with t as (select p_partkey as term from part where p_partkey % 20 = 0), r as (select term, term + 1 as word, 0 as tier from t union all select a.p_partkey, b.p_partkey, 1 from part a join part b on a.p_partkey // 3 = b.p_partkey // 3 where a.p_partkey % 20 = 0 union all select term, unnest([1, 2, 3, 4, 5]), 2 from t), m as (select term, word, min(tier) as tier from r where word <> term group by 1, 2), p as (select *, row_number() over (partition by term order by tier, word) as place from m) select * from p where place <= 3")
 of_picked("session_questions", lambda d: d.groupBy("target").agg(F.count("*").alias("n")).select("target", F.when(F.col("n") < 3, "true_false").when(F.substring(F.md5(F.col("target").cast("string")), 1, 1) < "8", "choice").otherwise("matching").alias("kind")), " select target, case when count(*) < 3 then 'true_false' when left(md5(cast(target as varchar)), 1) < '8' then 'choice' else 'matching' end as kind from picked group by 1")
 on("published_facts", "orders", lambda o: writes.published(o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.year("o_orderdate")).alias("year"), F.lit(None).cast("string").alias("era")), o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit(1900).alias("year"), F.lit("late 19th century").alias("era"))), "select o_orderkey as id, coalesce(case when o_orderkey % 2 = 0 then cast(year(o_orderdate) as int) end, case when o_orderkey % 3 = 0 then 1900 end) as year, case when o_orderkey % 3 = 0 then 'late 19th century' end as era from orders")
 on("only_missing", "orders", lambda o: writes.invalidated(o.select("o_custkey").distinct(), o.where("o_orderstatus = 'F'"), "o_custkey"), "select distinct o_custkey from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'F')")

@@ -8,6 +8,7 @@ from .catalog import add
 from .catalog_more import GRAM, T3, common, on, read
 from .operators import edges, ingest, leaks, quiz, writes
 from .operators.distractors import Rule, distractors
+from .operators.sessions import Plan, sessions
 from .plans.star import SQL, load
 
 # --- distractors and questions: every quizzable word whose id is divisible by 20. The vectors of the tables have no structure, so
@@ -53,10 +54,10 @@ def quiz_words(c) -> DataFrame:
     return words.withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
 
 
-def synonyms(part: DataFrame) -> DataFrame:
+def synonyms(part: DataFrame, targets: str = "p_partkey % 20 = 0") -> DataFrame:
     """(target, word) of parts alike in brand, type and size, for every target."""
     keys = ["p_brand", "p_type", "p_size"]
-    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"), *keys)
+    asked = part.where(targets).select(F.col("p_partkey").alias("target"), *keys)
     return asked.join(part.select(F.col("p_partkey").alias("word"), *keys), keys).where("target <> word").select("target", "word")
 
 
@@ -65,6 +66,15 @@ def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distractors(words, words.where("id % 20 = 0"), RULE, [synonyms(read(spark, sf_dir, "part"))])
 
 
+def quiz_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session of ten questions for every user."""
+    asked = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"))
+    return sessions(asked, quiz_words(load(spark, sf_dir)), Plan(), RULE, [synonyms(read(spark, sf_dir, "part"), "true")])
+
+
+add("quiz_sessions", quiz_sessions)
+
+
 def of_picked(name: str, query, oracle: str) -> None:
     add(name, lambda spark, sf_dir: query(picked(spark, sf_dir)), POOL + oracle)
 
@@ -87,10 +97,6 @@ edge = lambda p: p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7
 checked = lambda p: edges.verified(edge(p), p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % 211).alias("b"), F.when(F.col("p_size") % 2 == 0, "verified").otherwise("rejected").alias("verdict")))
 STATUS = "e as (select p_partkey as a, p_partkey * 7 % 211 as b, p_brand as family, case when p_partkey % 3 <> 0 and p_size % 2 = 0 then 'verified' else 'rejected' end as status from part)"
 on("edge_verification", "part", checked, f"with {STATUS} select * from e")
-on("analogies", "part", lambda p: edges.analogies(checked(p).where("status = 'verified'").drop("status"), p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("term"))), f"""with {STATUS}, v as (select a, b, family from e where status = 'verified'
-), n as (select *, row_number() over (partition by family order by md5('1:' || cast(a as varchar) || '-' || cast(b as varchar)), a, b) as n from v
-), p as (select t.a, t.b, t.family, n.a as c, n.b as d, md5('1:' || cast(t.a as varchar) || '-' || cast(t.b as varchar) || '-' || cast(n.a as varchar) || '-' || cast(n.b as varchar)) as h from v t join n on n.family = t.family and n.n <= 40 and t.a <> n.a and t.a <> n.b and t.b <> n.a and t.b <> n.b where t.a % 2 = 0
-), r as (select *, row_number() over (partition by a, b, family order by h, c, d) as rn from p) select a, b, c, d, family from r where rn = 1""")
 on("trap_lemmas", "part", lambda p: edges.traps(p.select((F.col("p_partkey") % 50).alias("term"), F.when(F.col("p_size") % 9 == 0, "thing").otherwise(F.col("p_name")).alias("lemma")), p.where("p_size % 2 = 0").select((F.col("p_partkey") % 50).alias("term"), F.col("p_name").alias("lemma"))), "with f as (select distinct p_partkey % 50 as term, case when p_size % 9 = 0 then 'thing' else p_name end as lemma from part), x as (select distinct p_partkey % 50 as term, p_name as lemma from part where p_size % 2 = 0), k as (select * from f where lemma <> 'thing' and not exists (select 1 from x where x.term = f.term and x.lemma = f.lemma)) select term, count(*) as n, string_agg(lemma, '|' order by lemma) as traps from k group by 1")
 
 # --- leaks: a part's last word in the comment made of its type and name

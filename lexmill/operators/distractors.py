@@ -3,26 +3,21 @@
 Each strategy ranks candidates for each target; the shares are filled in the order of the weights, and what one
 strategy cannot supply goes to the next and at last to chance. Part of speech and band of difficulty hold for all of
 them. No strategy compares every target with every word: lookalikes meet through their rarer trigrams, words of a
-field and chance ones are drawn from a ring, and meanings are compared in blocks of vectors.
-
-The ring: every word has a place on a circle, a hash of its id, and a target takes the words that follow its own
-place. Words are kept in buckets of about ``BUCKET`` along the circle, for each part of speech and cell of
-difficulty; targets look into as many buckets as should hold what they need, and those that stay short look further in
-the next round. So a part of speech that most words have is no hot key, and the draw is exact.
+field and chance ones are drawn from a circle (``ring``), and meanings are compared in blocks of vectors.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import cosine_distance, trigrams
 from ..plans.staging import bounded, settled
-from .listing import hashed
+from .ring import after, first, follow
 from .vectors import compared
 
-CIRCLE, BUCKET, CELL = 32, 16, 10.0  # bits of a place, words of a bucket, width of a cell of difficulty
+CELL = 10.0  # width of a cell of difficulty
 PAIR = "array<struct<word:bigint,s:int>>"
 
 
@@ -61,16 +56,6 @@ class Rule:
         return [*upto, ("random", self.count)]
 
 
-def place(key: Column, seed: int) -> Column:
-    """Where ``key`` lies on the circle."""
-    return F.conv(F.left(hashed(key, seed), F.lit(CIRCLE // 4)), 16, 10).cast("long")
-
-
-def after(word: Column, target: Column, seed: int) -> Column:
-    """How far a word lies behind a target on the circle."""
-    return F.pmod(place(word, seed) - place(target, seed), F.lit(1 << CIRCLE))
-
-
 class Draw:
     """One batch: words and targets (both id, lemma, part_of_speech, difficulty, fields, vector), and forbidden pairs.
 
@@ -83,7 +68,7 @@ class Draw:
         own = words.where("difficulty is not null" + (" and defined" if rule.defined else ""))
         self.pool = own.select(F.col("id").cast("long").alias("word"), "lemma", F.col("part_of_speech").alias("pos"), "difficulty", "fields")
         asked = targets.where("difficulty is not null").select(F.col("id").cast("long").alias("target"), "lemma", F.col("part_of_speech").alias("pos"), F.col("difficulty").alias("td"), "fields")
-        self.asked = settled(asked.select("*", place(F.col("target"), rule.seed).alias("start")).dropDuplicates(["target"]))
+        self.asked = settled(asked.dropDuplicates(["target"]))
         self.vectors = words.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector")
         self.meant = targets.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector").dropDuplicates(["id"])
         self.banned = [settled(b.select(F.col("target").cast("long").alias("target"), F.col("word").cast("long").alias("word")).distinct()) for b in banned or []]
@@ -102,10 +87,6 @@ class Draw:
         close = F.round(cosine_distance(F.col("__w"), F.col("__t")), 6) < self.rule.floor
         return out.where(~F.coalesce(close, F.lit(False))).drop("__w", "__t")
 
-    def first(self, pairs: DataFrame, need: int, *order: Column) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy("target").orderBy(*order, "word"))
-        return pairs.withColumn("nth", nth).where(F.col("nth") <= need).select("target", "word", "nth")
-
     def lookalikes(self, asked: DataFrame, need: int) -> DataFrame:
         """Words whose trigrams' similarity is above the rule's: such two share one of their rarer trigrams.
 
@@ -128,7 +109,7 @@ class Draw:
         pairs = left.join(right, ["pos", "cell", "g"]).where((F.col("word") != F.col("target")) & F.col("difficulty").between(F.col("low"), F.col("high")))
         alike = F.round(F.size(F.array_intersect("grams", "tgrams")) / F.size(F.array_union("grams", "tgrams")), 6)
         pairs = pairs.select("target", "word", alike.alias("alike")).where(F.col("alike") > rule.alike).distinct()
-        return self.first(self.allowed(pairs), need, F.desc("alike"), after(F.col("word"), F.col("target"), rule.seed))
+        return first(self.allowed(pairs), "target", need, F.desc("alike"), after(F.col("word"), F.col("target"), rule.seed), "word").select("target", "word", "nth")
 
     def related(self, asked: DataFrame, need: int) -> DataFrame:
         """Words whose distance in meaning lies in the rule's band, the nearest first."""
@@ -140,41 +121,19 @@ class Draw:
         pairs = near.select(F.col("query_id").alias("target"), F.col("id").alias("word"), "distance")
         for b in self.banned:
             pairs = pairs.join(b, ["target", "word"], "left_anti")
-        return self.first(pairs, need, F.col("distance"))
+        return first(pairs, "target", need, "distance", "word").select("target", "word", "nth")
 
     def ring(self, asked: DataFrame, need: int, by_field: bool = False) -> DataFrame:
         """The first ``need`` words behind each target on the circle; only words of a common field if ``by_field``."""
-        rule, keys = self.rule, ["pos", "field"] if by_field else ["pos"]
+        keys = ["pos", *["field"] * by_field, "cell"]
         spread = (lambda d: d.withColumn("field", F.explode(F.array_distinct("fields")))) if by_field else (lambda d: d)
-        words = spread(self.pool).select("word", *keys, "difficulty", F.floor(F.col("difficulty") / CELL).cast("int").alias("cell"), place(F.col("word"), rule.seed).alias("place"))
-        words = settled(words.where("pos is not null").dropDuplicates(["word", *keys]))
-        sizes = words.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
-        sizes = settled(sizes.withColumn("bits", F.least(F.greatest(F.ceil(F.log2(F.col("n") / BUCKET)), F.lit(0)), F.lit(CIRCLE)).cast("int")))
-        words = settled(words.join(bounded(sizes.drop("n")), [*keys, "cell"]).withColumn("bucket", F.expr(f"shiftright(place, {CIRCLE} - bits)")))
+        words = spread(self.pool).withColumn("cell", F.floor(F.col("difficulty") / CELL).cast("int")).select(F.col("word").alias("item"), *keys, "difficulty")
         cells = F.explode(F.sequence(F.floor(F.col("low") / CELL).cast("int"), F.floor(F.col("high") / CELL).cast("int")))
-        looks = spread(asked).select("target", "low", "high", "start", *keys, cells.alias("cell")).join(bounded(sizes), [*keys, "cell"])
-        whole = float(1 << CIRCLE)
-        spans = looks.groupBy("target").agg(F.least(F.ceil(whole * 4 * need / F.sum("n")), F.lit(1 << CIRCLE)).cast("long").alias("span"))
-        looks = settled(looks.drop("n").join(spans, "target"))
-        done = []
-        while True:
-            k = F.least(F.expr("shiftleft(1L, bits)"), F.expr(f"shiftright(span, {CIRCLE} - bits)") + 2)
-            at = looks.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
-            at = at.withColumn("bucket", F.pmod(F.expr(f"shiftright(start, {CIRCLE} - bits)") + F.col("bucket"), F.expr("shiftleft(1L, bits)")))
-            found = at.join(words.drop("bits"), [*keys, "cell", "bucket"]).where((F.col("word") != F.col("target")) & F.col("difficulty").between(F.col("low"), F.col("high")))
-            found = found.withColumn("d", F.pmod(F.col("place") - F.col("start"), F.lit(1 << CIRCLE))).where("d < span").groupBy("target", "word").agg(F.min("d").alias("d"))
-            found = settled(self.first(self.allowed(found), need, F.col("d")))
-            full = found.groupBy("target").agg(F.max("nth").alias("n")).where(F.col("n") >= need).select("target", F.lit(True).alias("full"))
-            state = looks.select("target", "span").distinct().join(full, "target", "left")
-            short = settled(state.where("full is null").where(F.col("span") < (1 << CIRCLE)).select("target"))
-            done.append(found.join(bounded(short), "target", "left_anti"))
-            if not short.limit(1).count():
-                break
-            looks = settled(looks.join(bounded(short), "target", "left_semi").withColumn("span", F.least(F.col("span") * 16, F.lit(1 << CIRCLE))))
-        out = done[0]
-        for more in done[1:]:
-            out = out.unionByName(more)
-        return out
+        looks = spread(asked).withColumn("cell", cells).select(F.col("target").alias("asker"), *keys, "low", "high")
+        fits = (F.col("item") != F.col("asker")) & F.col("difficulty").between(F.col("low"), F.col("high"))
+        keep = lambda d: self.allowed(d.withColumnsRenamed({"asker": "target", "item": "word"})).withColumnsRenamed({"target": "asker", "word": "item"})
+        found = follow(words.where("pos is not null").dropDuplicates(["item", *keys]), looks, keys, need, self.rule.seed, fits, keep)
+        return found.select(F.col("asker").alias("target"), F.col("item").alias("word"), "nth")
 
     def ranked(self, need: int) -> DataFrame:
         """(target, word, s, nth): the first ``need`` candidates of each of the rule's strategies, s being its place in ``quotas``."""

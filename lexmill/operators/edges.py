@@ -37,21 +37,6 @@ def verified(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
     return out.withColumn("status", F.coalesce("status", F.lit("rejected")))
 
 
-def analogies(edges: DataFrame, targets: DataFrame, anchors: int = 40, seed: int = 1) -> DataFrame:
-    """(a, b, c, d, family): for each verified edge (a, b, family) from a target an anchor edge (c, d) of its family that shares no term.
-
-    A family's anchors are its first ``anchors`` edges in a hashed order, which is part of the rule and bounds
-    what each tested edge is compared with.
-    """
-    nth = F.row_number().over(Window.partitionBy("family").orderBy(hashed(F.concat_ws("-", "a", "b"), seed), "a", "b"))
-    given = edges.withColumn("__n", nth).where(F.col("__n") <= anchors).select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("family").alias("__f"))
-    tested = edges.join(targets.select(F.col("term").alias("a")).distinct(), "a", "left_semi")
-    apart = (F.col("a") != F.col("c")) & (F.col("a") != F.col("d")) & (F.col("b") != F.col("c")) & (F.col("b") != F.col("d"))
-    pairs = tested.join(given, (F.col("family") == F.col("__f")) & apart)
-    luck = F.struct(hashed(F.concat_ws("-", "a", "b", "c", "d"), seed).alias("h"), "c", "d")
-    return pairs.groupBy("a", "b", "family").agg(F.min(luck).alias("m")).select("a", "b", "m.c", "m.d", "family")
-
-
 def traps(fanout: DataFrame, excluded: DataFrame) -> DataFrame:
     """(term, n, traps) of the terms' related lemmas (term, lemma), without those ``excluded`` (term, lemma) and the generic ones."""
     rows = fanout.where(~F.col("lemma").isin(*GENERIC)).join(excluded, ["term", "lemma"], "left_anti").distinct()

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lexmill.operators import distractors as dx
+from lexmill.operators import ring
 from lexmill.operators.distractors import Rule, distractors
 
 WORDS = "id long, lemma string, part_of_speech string, difficulty double, fields array<string>, vector array<double>, defined boolean"
@@ -129,7 +129,7 @@ def plain(rows, rule, banned):
 
 def test_same_as_the_plain_rule_in_small_buckets(spark, monkeypatch):
     """Most words share one part of speech; buckets are small, so targets look further in rounds."""
-    monkeypatch.setattr(dx, "BUCKET", 2)
+    monkeypatch.setattr(ring, "BUCKET", 2)
     r = random.Random(11)
     rows = [(i, "".join(r.choice("abe") for _ in range(r.choice([3, 5, 8]))), "noun" if r.random() < 0.8 else r.choice(["verb", "adj"]), float(r.randrange(0, 1000)) / 10, r.sample("ABCD", r.choice([0, 1, 2])), [r.random() + 0.05 for _ in range(4)] if r.random() < 0.6 else None, True) for i in range(300)]
     banned = {(t, r.randrange(300)) for t in range(0, 300, 10) for _ in range(12)}
