@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .catalog import add
 from .catalog_more import GRAM, T3, common, on, read
-from .operators import edges, ingest, leaks, quiz, writes
+from .operators import edges, ingest, leaks, phrases, quiz, writes
 from .operators.distractors import Rule, distractors
 from .operators.sessions import Plan, sessions
 from .plans.star import SQL, load
@@ -86,11 +86,27 @@ on("graded_matching", "lineitem", lambda t: quiz.graded(t.select(F.col("l_orderk
 on("early_stops", "events", lambda e: quiz.stopping(e, "user_id", "event_id", F.col("event_type") == "error", 5, 0.2), "with r as (select user_id, row_number() over w as n, avg((event_type = 'error')::int) over (partition by user_id order by event_id rows unbounded preceding) as rate from events window w as (partition by user_id order by event_id)) select user_id, min(n) as stop_at, round(arg_min(rate, n), 6) as rate from r where n >= 5 and rate > 0.2 group by 1")
 
 # --- relations
-PHRASES = ("a kind of {}", "part of the {}", "made of {}, a type of {}", "used to {}", "lacking {}", "the opposite of {}", "plain {}")
+PHRASES = ("A kind of {}.", "Part of the old {}", "one who habitually steals a {}", "used for cutting {}", "of or relating to {}", "resembling a big {}", "having the {}, like a {}", "characterized by a {}; a sort of {}", "a plain {}")
+VERBS = (("steals", "steal"), ("cutting", "cut"))
 TEXT = "replace(list_value(" + ", ".join(f"'{p}'" for p in PHRASES) + f")[p_partkey % {len(PHRASES)} + 1], '{{}}', p_name)"
-FOUND = " union ".join(f"select id, '{r}' as relation, unnest(regexp_extract_all(d, '{p}', 1)) as target from x" for r, p in edges.PATTERNS)
 phrase = lambda: F.replace(F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES) + 1).cast("int")), F.lit("{}"), F.col("p_name"))
-on("definition_edges", "part", lambda p: edges.definition_edges(p.select(F.col("p_partkey").alias("id"), phrase().alias("definition"))), f"with x as (select p_partkey as id, lower({TEXT}) as d from part) {FOUND}")
+
+
+def stated_edges(p: DataFrame) -> DataFrame:
+    """What definitions made of the parts' names state; of a name's two words the second is the noun."""
+    names = p.select(F.split("p_name", " ").alias("n")).select(F.explode(F.array(F.struct(F.get("n", F.lit(0)).alias("word"), F.lit("ADJ").alias("pos")), F.struct(F.get("n", F.lit(1)).alias("word"), F.lit("NOUN").alias("pos")))).alias("x"))
+    verbs = p.sparkSession.createDataFrame(list(VERBS), "word string, lemma string").select("word", "lemma", F.lit("VERB").alias("pos"))
+    lexicon = names.select("x.word", F.col("x.word").alias("lemma"), "x.pos").distinct().unionByName(verbs)
+    return phrases.definition_edges(p.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").getItem(1).alias("lemma"), phrase().alias("definition")).withColumn("lemma", F.when(F.col("id") % 4 == 0, F.col("lemma")).otherwise("x")), lexicon)
+
+
+CLOSED_SQL = " ".join(f"when word in ({', '.join(map(repr, ws))}) then '{pos}'" for pos, ws in reversed(phrases.CLOSED.items()))
+FOUND = " union ".join(f"select id, '{r}' as relation, regexp_extract(s, '{phrases.HEAD}', 1) as target from (select id, unnest(regexp_extract_all(tokens, '{phrases.pattern(tuple(places)).replace('*+', '*').replace('++', '+')}')) as s from g)" for r, *places in phrases.PATTERNS)
+on("definition_edges", "part", stated_edges, f"""with lexicon as (select word, min(lemma) as lemma, min(pos) as pos from (select split_part(p_name, ' ', 1) as word, split_part(p_name, ' ', 1) as lemma, 'ADJ' as pos from part union all select split_part(p_name, ' ', 2), split_part(p_name, ' ', 2), 'NOUN' from part union all values {', '.join(f"('{w}', '{m}', 'VERB')" for w, m in VERBS)}) group by 1
+), t as (select id, word, i from (select p_partkey as id, unnest(regexp_extract_all(lower({TEXT}), '[a-z]+|[^\\sa-z]')) as word, generate_subscripts(regexp_extract_all(lower({TEXT}), '[a-z]+|[^\\sa-z]'), 1) as i from part)
+), c as (select t.*, lexicon.lemma, lexicon.pos, case when not regexp_matches(word, '^[a-z]') then 'PUNCT' {CLOSED_SQL} end as closed from t left join lexicon using (word)
+), g as (select id, string_agg('<' || case when closed = 'PUNCT' then '.' else word end || '|' || case when closed is null then coalesce(lemma, word) when closed = 'PUNCT' then '.' else word end || '|' || coalesce(closed, pos, case when word like '%ly' then 'ADV' else 'NOUN' end) || '>', '' order by i) as tokens from c group by 1
+), f as ({FOUND}) select f.* from f join part on p_partkey = id where target <> '' and target <> case when id % 4 = 0 then split_part(p_name, ' ', 2) else 'x' end""")
 tree = lambda p: p.select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"))
 on("sibling_fanout", "part", lambda p: edges.siblings(tree(p), "child", "parent", p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("term"))), "select a.p_partkey as term, b.p_partkey as sibling from part a join part b on a.p_partkey // 3 = b.p_partkey // 3 and a.p_partkey <> b.p_partkey where a.p_partkey % 20 = 0")
 edge = lambda p: p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % 211).alias("b"), F.col("p_brand").alias("family"))

@@ -1,28 +1,13 @@
-"""Relations between terms: edges read from definitions, siblings, verification, analogies and traps."""
+"""Relations between terms: siblings, verification and traps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .listing import hashed
-
-#: Phrases of a definition and the relation they state.
-PATTERNS = (
-    ("is_a", r"\b(?:kind|type|sort|variety) of ([a-z]+)"), ("part_of", r"\bpart of (?:a |an |the )?([a-z]+)"), ("made_of", r"\b(?:made|composed|consisting) of ([a-z]+)"),
-    ("used_for", r"\bused (?:to|for) ([a-z]+)"), ("lacks", r"\b(?:lacking|without|devoid of) ([a-z]+)"), ("opposite", r"\bopposite of ([a-z]+)"), ("cause", r"\bcaused by ([a-z]+)"),
-)
 #: Terms too general to mislead anyone.
 GENERIC = ("entity", "abstraction", "abstract entity", "physical entity", "thing")
 
 
-def definition_edges(definitions: DataFrame) -> DataFrame:
-    """(id, relation, target) of every phrase of ``PATTERNS`` in the definitions (id, definition), once each."""
-    text = F.lower(F.coalesce("definition", F.lit("")))
-    of = lambda relation: lambda t: F.struct(F.lit(relation).alias("relation"), t.alias("target"))
-    found = F.explode(F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), of(r)) for r, p in PATTERNS])))
-    return definitions.select("id", found.alias("e")).select("id", "e.relation", "e.target").distinct()
-
-
 def siblings(edges: DataFrame, child: str, parent: str, terms: DataFrame) -> DataFrame:
     """(term, sibling) of the stated ``terms`` (term): other children of their parents."""
     asked = edges.select(F.col(child).alias("term"), F.col(parent).alias("__up")).join(terms, "term", "left_semi")
