@@ -8,14 +8,14 @@ one, so two sets agree in a coordinate with the probability of their Jaccard sim
 coordinates is concentrated about it as if they were independent.
 
 Bands of ``ROWS`` coordinates are keys. Linked documents share none of the 40 bands with probability at most
-(1 - 0.8^4)^40 = 7e-10 at similarity 0.8, and less above it. Of the pairs that share a key, those go on which agree in
-at least t - 0.25 of the coordinates, t being the threshold (a linked pair fails that with a chance of under 1e-10);
-the rest are decided on their full sets of 64-bit shingle hashes.
+(1 - 0.8^4)^40 = 7e-10 at similarity 0.8, and less above it. Pairs that share a key are decided on their full sets of
+64-bit shingle hashes. Before these are fetched, the parity bits of ``op4_jaccard_join`` leave out pairs that certainly
+differ by too much: their Hamming distance is a lower bound, so no linked pair is lost there.
 
 No group is expanded into rows of pairs. Equal sets collapse to one representative. In the group of a key every
 document is compared with the group's smallest, and those links are joined into components. Groups that hold
 several components are dealt in blocks, as ``op4_jaccard_join.open_pairs`` says, and two blocks meet in a task,
-which compares their sketches and gives out the pairs of different components that may be linked.
+which compares their parity bits and gives out the pairs of different components that may be linked.
 
 Defined cases: a null or blank text has no shingles, n_shingles 0, and is linked with nothing; a text with fewer
 words than the shingle has one shingle; rows with a null doc_id get their n_shingles and a null component_id and
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .op4_jaccard_join import Join, open_pairs, verified
+from .op4_jaccard_join import Join, close, open_pairs, verified
 from .shared import bounded_broadcast, mix64, shingle_hashes, slices, staged
 
 COORDINATES, ROWS = 160, 4
@@ -73,11 +73,19 @@ def band_keys(sketch):
     return keys.view(np.int64)
 
 
+def parity_bits(z) -> bytes:
+    """Parities of the uint64 hashes ``z``, four bits or more for each, as ``op4_jaccard_join.close`` compares them."""
+    import numpy as np
+
+    size = 1 << max(6, (4 * len(z) - 1).bit_length())
+    return np.packbits(np.bincount((z & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def sketches(docs: DataFrame, join: Join) -> DataFrame:
-    """Per document: set size, 128-bit set fingerprint, band keys, and a byte of each coordinate."""
+    """Per document: set size, 128-bit set fingerprint, band keys, and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -86,14 +94,13 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
             for batch in slices(whole, "text"):
                 cols: list[list] = [[] for _ in SKETCH]
                 for doc, h in zip(batch.column("doc_id").to_pylist(), shingle_hashes(batch.column("text"), join.width)):
-                    n, keys, low, f1, f2 = len(h), None, b"", 0, 0
+                    n, keys, bits, f1, f2 = len(h), None, b"", 0, 0
                     if n:
                         z = mix64(h + np.uint64(0x51ED270B))
                         f1, f2 = int(z.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix64(z)).view(np.int64))
                     if n and join.allowed(n):  # else only an equal set can be linked
-                        sketch = fast_sketch(h)
-                        keys, low = band_keys(sketch), sketch.astype(np.uint8).tobytes()
-                    for c, v in zip(cols, (doc, n, f1, f2, keys, low)):
+                        keys, bits = band_keys(fast_sketch(h)), parity_bits(z)
+                    for c, v in zip(cols, (doc, n, f1, f2, keys, bits)):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, SKETCH)], schema=SKETCH)
 
@@ -101,40 +108,6 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
         run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary")
 
 
-def _least(join: Join) -> int:
-    """Agreeing coordinates below which a pair is not compared on its sets."""
-    return max(1, int(COORDINATES * (join.num / join.den - 0.25)))
-
-
-def _agreeing(join: Join):
-    least = _least(join)
-
-    def prepared(bits: list[bytes], n):
-        import numpy as np
-
-        low = np.stack([np.frombuffer(b, np.uint8) for b in bits])
-        return lambda i, rest: (low[rest] == low[i]).sum(axis=1) >= least
-
-    return prepared
-
-
-def close(pairs: DataFrame, sketch: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates."""
-    least = _least(join)
-
-    @F.pandas_udf("boolean")
-    def agree(x, y):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= least for p, q in zip(x, y)], dtype=bool)
-
-    bits = sketch.select(F.col("doc_id").alias("id"), "bits")
-    x = pairs.join(bits.withColumnRenamed("bits", "xa"), F.col("a") == F.col("id")).drop("id")
-    x = x.join(bits.withColumnRenamed("bits", "xb"), F.col("b") == F.col("id")).drop("id")
-    return x.where(agree("xa", "xb")).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``; links at Jaccard >= num / den."""
     join = Join(num, den, width)
@@ -153,7 +126,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, width: int =
     links = verified(staged(close(first, sketch, join), "fast_near"), docs, join, "fast_star", broadcast_bytes)
     roots = staged(components(links), "fast_roots")
 
-    rest = open_pairs(group.select("key", "doc_id").distinct(), roots, sketch, join, _agreeing(join)).join(first, ["a", "b"], "left_anti")
+    rest = open_pairs(group.select("key", "doc_id").distinct(), roots, sketch, join).join(first, ["a", "b"], "left_anti")
     more = verified(staged(rest, "fast_rest"), docs, join, "fast_open", broadcast_bytes)
     roots = staged(components(links.unionByName(more)), "fast_all_roots")
 
