@@ -18,7 +18,7 @@ draws its quota as the next positions of the source's permutation, so shards sha
 Only tables of at most ``blocks`` rows a source pass through windows and arrays (sources are ranked in one
 window, a row each); documents are only hashed, pre-aggregated and joined on (source, block). Every draw is a hash of the seed, so reruns agree.
 
-Defined cases: null or blank texts have size 0 and are taken with their block; a null source is a source
+Defined cases: null or blank texts have size 0 and are taken with their block, twice at most, and once where their source has no words; a null source is a source
 of its own and comes last; repeated rows share a block and are all taken alike; an empty table gives an
 empty result; other columns are carried along by ``mixed`` and never read.
 """
@@ -162,7 +162,8 @@ def block_plan(sizes: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     b = staged(b, "mix_blocks")
     fit = _drawn(b)
     b = b.join(fit, F.col("source").eqNullSafe(F.col("ds")) & (F.col("turn") == F.col("dt")), "left")
-    blank = (F.col("words") == 0) & (F.col("upto") <= F.col("rest"))  # blocks without words go by their turn
+    # blocks without words go by their turn; where no part epoch is left, as at twice the source, none is drawn
+    blank = (F.col("words") == 0) & ((F.col("source_size") == 0) | ((F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))))
     b = b.withColumn("drawn", F.col("dt").isNotNull() | blank)
     b = staged(b.withColumn("copies", F.col("epochs") + F.col("drawn").cast("int")).select("source", "block", "source_size", "target", "rank", "copies"), "mix_drawn")
 

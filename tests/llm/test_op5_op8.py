@@ -143,3 +143,15 @@ def test_mix_is_near_with_one_dominant_document(spark):
         for s, plan in got.items():
             assert {r.copies - min(x.copies for x in plan) for r in plan} <= {0, 1}
             assert abs(sum(r.copies * own[s, r.block] for r in plan) - plan[0].target) <= 100, s
+
+
+def test_blank_documents_of_a_capped_source_come_twice_at_most(spark):
+    from lexmill.llm.op8_mixing import mixed
+
+    small = [(i, None, "a") for i in range(200)] + [(200, "one two three", "a")]
+    large = [(1000 + i, "w " * 50, "b") for i in range(60)]
+    empty = [(2000 + i, " ", "c") for i in range(5)]
+    frame = spark.createDataFrame(small + large + empty, "doc_id long, text string, source string")
+    times = {r.doc_id: r["count"] for r in mixed(frame, blocks=64, shards=4).groupBy("doc_id").count().collect()}
+    assert {times.get(i, 0) for i in range(201)} == {2}
+    assert max(times.values()) <= 2 and all(times.get(2000 + i) == 1 for i in range(5))
