@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from .catalog import BOOKS, star
 from .catalog_more import JUDGED, T3, common, judged, on
 from .catalog_quiz import of_picked, tree
-from .operators import dictionary, edges, facets, ingest, lexicon, relate, writes
+from .operators import dictionary, facets, fuzzy, ingest, lexicon, relate, writes
 
 HEAD = " union all ".join(f"select lemma, substr(lemma, {len(h) + 1}) as root from w where starts_with(lemma, '{h}')" for h in lexicon.HEADS)
 TAIL = " union all ".join(f"select lemma, left(lemma, length(lemma) - {len(t)}) || e as root from w, (values (''), ('e')) as x(e) where ends_with(lemma, '{t}')" for t in lexicon.TAILS)
 on("morphological_roots", "documents", lambda d: lexicon.roots(common(d), common(d)), f"{T3}, w as (select lemma, zipf from z where n >= 5), t as (select distinct * from ({HEAD} union all {TAIL}) where length(root) >= 3), r as (select t.lemma, t.root, w.zipf as root_zipf, row_number() over (partition by t.lemma order by w.zipf desc, length(t.root), t.root) as n from t join w on w.lemma = t.root) select lemma, root, root_zipf from r where n = 1")
-on("dictionary_senses", "lineitem", lambda t: lexicon.senses(t.where("l_partkey % 2 = 0").select(F.col("l_partkey").cast("string").alias("lemma")), t.select(F.col("l_partkey").cast("string").alias("term"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("nth"), F.col("l_returnflag").alias("definition"))), "select cast(l_partkey as varchar) as lemma, string_agg(l_returnflag, ' | ' order by l_orderkey * 10 + l_linenumber, l_returnflag) as senses from lineitem where l_partkey % 2 = 0 group by 1")
+on("dictionary_senses", "lineitem", lambda t: lexicon.senses(t.select(F.col("l_partkey").cast("string").alias("lemma")), t.select(F.col("l_partkey").cast("string").alias("term"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("nth"), F.col("l_returnflag").alias("definition"))), "select cast(l_partkey as varchar) as lemma, string_agg(l_returnflag, ' | ' order by l_orderkey * 10 + l_linenumber, l_returnflag) as senses from lineitem group by 1")
 on("agreed_pronunciations", "part", lambda p: lexicon.pronunciations(p.select("p_name", F.when(F.col("p_size") % 7 == 0, "").when(F.col("p_size") % 2 == 0, F.concat(F.lit("a(b"), F.left("p_brand", F.lit(6)))).otherwise(F.concat(F.lit("a(b"), F.left("p_brand", F.lit(6)), F.lit(")"))).alias("ipa")).withColumnRenamed("p_name", "headword")), "with r as (select lower(p_name) as headword, 'a(b' || left(p_brand, 6) || ')' as ipa from part where p_size % 7 <> 0) select headword, cast(count(distinct ipa) as int) as n, case when count(distinct ipa) = 1 then min(ipa) end as ipa from r group by 1")
 on("normal_ipa", "part", lambda p: p.select("p_partkey", lexicon.normal_ipa(F.concat(F.lit("/ə"), "p_brand", F.lit(".(r)t/"))).alias("ipa")), "select p_partkey, 'ə' || replace(replace(replace(p_brand, '.', ''), ' ', ''), '/', '') || 't' as ipa from part")
 on("definition_texts", "part", lambda p: p.select("p_partkey", lexicon.definition_text(F.when(F.col("p_size") % 3 == 0, F.col("p_name")), F.when(F.col("p_size") % 3 == 1, F.array("p_brand", "p_type")), F.when(F.col("p_size") % 4 != 0, F.lit(" A sentence "))).alias("t")).select("p_partkey", "t.text", "t.source"), "select p_partkey, case p_size % 3 when 0 then p_name when 1 then p_brand || ', ' || p_type else case when p_size % 4 <> 0 then 'A sentence' end end as text, case p_size % 3 when 0 then 'definition' when 1 then 'synonyms' else case when p_size % 4 <> 0 then 'sentence' end end as source from part")
@@ -24,9 +24,19 @@ on("record_subjects", "part", lambda p: p.select("p_partkey", F.array_join(lexic
 on("field_prior", "part", lambda p: lexicon.prior(p.select(F.col("p_name").alias("lemma")), p.select(F.col("p_name").alias("lemma"), F.col("p_brand").alias("domain")), p.select(F.col("p_brand").alias("domain"), F.left("p_type", F.lit(1)).alias("field"))), "with d as (select distinct p_name as lemma, p_brand as domain from part), f as (select distinct p_brand as domain, left(p_type, 1) as field from part) select lemma, field, count(*) as n from d join f using (domain) group by 1, 2")
 on("possessive_repair", "part", lambda p: lexicon.without_possessives(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("'s"))).otherwise(F.col("p_name")).alias("lemma"))), "select p_partkey as id, p_name || '''s' as lemma, lower(p_name) as root from part where p_partkey % 3 = 0 and lower(p_name) in (select lower(p_name) from part where p_partkey % 3 <> 0)")
 on("adverb_roots", "part", lambda p: p.select("p_partkey", lexicon.adjective_of(F.element_at(F.array(*map(F.lit, ("happily", "gently", "basically", "quickly", "family"))), (F.col("p_partkey") % 5 + 1).cast("int")), F.array(*map(F.lit, ("happy", "gentle", "basic", "quick")))).alias("root")), "select p_partkey, list_value('happy', 'gentle', 'basic', 'quick', null)[p_partkey % 5 + 1] as root from part")
-on("text_chunks", "documents", lambda d: d.select("doc_id", F.posexplode(lexicon.paragraphs(F.regexp_replace("text", "\n", "\n\n"), 2000)).alias("nth", "chunk")).select("doc_id", "nth", F.length("chunk").alias("n_chars")))
+on("text_chunks", "documents", lambda d: d.select("doc_id", F.posexplode(lexicon.paragraphs(F.col("text"))).alias("nth", "chunk")).select("doc_id", "nth", F.length("chunk").alias("n_chars")))
 on("definition_search", "conversations", lambda c: c.select("conv_id", "turn", F.round(lexicon.window_similarity(F.lit("another question"), F.col("text")), 6).alias("similarity")).where("similarity > 0.3"))
 
+
+def definition_search_all(c: DataFrame) -> DataFrame:
+    """Every twentieth turn asks with its first three words; all turns are searched by the index."""
+    rows = c.where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring_index("text", " ", 3).alias("asked"))
+    return fuzzy.search(fuzzy.gram_index(rows), asked, 0.5)
+
+
+on("definition_search_all", "conversations", definition_search_all)
+
 # --- composed
 star("books_page_with_total", lambda c: facets.page(facets.books(c), "mean_difficulty", "id", True, 2, 25).select("id", "mean_difficulty").join(F.broadcast(c.active_links.agg(F.countDistinct("book_id").alias("total")))), BOOKS + " select id, mean_difficulty, (select count(*) from books) as total from books order by mean_difficulty desc nulls last, id limit 25 offset 25")
 on("relation_edges", "part", lambda p: relate.closure(tree(p).where("child > 0"), "child", "parent").select("node", "ancestor", F.when(F.col("depth") == 1, "direct").otherwise("fanout").alias("kind")), "with recursive up(node, ancestor, depth) as (select p_partkey, p_partkey // 3, 1 from part where p_partkey > 0 union all select node, ancestor // 3, depth + 1 from up where ancestor > 0) select node, ancestor, case when depth = 1 then 'direct' else 'fanout' end as kind from up")

@@ -129,6 +129,8 @@ def _best_window(asked: pd.Series, text: pd.Series) -> pd.Series:
         for i in spots:
             hit, all_ = set(), set()
             for j in range(i, spots[-1] + 1):
+                if j > i and b[j] == b[i]:  # the stretch from the next such place on holds the same
+                    break
                 all_.add(b[j])
                 if len(a) < best * len(all_):  # longer stretches can do no better
                     break
