@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import facets
 from .operators.facets import WordFilter
-from .plans.star import BUCKETS, LETTERS, SQL, load
+from .plans.star import BUCKETS, LETTERS, PLACEHOLDERS, SQL, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,7 +79,17 @@ star("words_by_author", lambda c: facets.words(c, WordFilter(author=AUTHOR)), WO
 star("words_exclusive_book", lambda c: facets.words(c, WordFilter(shelf=c.books.where("id % 20 <> 7"), exclusive=True)), WORDS + LINKED.format("l.book_id % 20 <> 7") + " and not " + LINKED.format("l.book_id % 20 = 7"))
 SPARSE = SQL.replace("from lineitem\n", "from lineitem where l_quantity >= 49\n")
 add("exclusive_words_all_authors", lambda spark, sf_dir: facets.exclusive_words(load(spark, sf_dir, 49)), f"{SPARSE} select word_id as id, min(b.author) as author from active_link l join book b on b.id = l.book_id group by 1 having count(distinct b.author) = 1 and count(*) = count(b.author)")
-star("words_exclusive_author", lambda c: facets.words(c, WordFilter(author=AUTHOR, exclusive=True)), WORDS + BY + f" and not exists (select 1 from link l join book b on b.id = l.book_id where l.word_id = w.id and b.author is distinct from '{AUTHOR}')")
+
+
+def exclusive_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that only the author with most such words has, where a line makes a link from a quantity of 49 on."""
+    c = load(spark, sf_dir, 49)
+    top = facets.exclusive_words(c).where(~F.col("author").isin(*PLACEHOLDERS)).groupBy("author").count().orderBy("count", "author", ascending=[False, True]).first()
+    return facets.words(c, WordFilter(author=top.author if top else "", exclusive=True))
+
+
+OWN = "select word_id, min(b.author) as author from active_link l join book b on b.id = l.book_id group by 1 having count(distinct b.author) = 1 and count(*) = count(b.author)"
+add("words_exclusive_author", exclusive_author, f"{SPARSE}, own as ({OWN}), top as (select author from own where author not in ('Various', 'Unknown Author', 'Unknown', 'Anonymous') group by 1 order by count(*) desc, author limit 1)" + WORDS + "w.id in (select word_id from own join top using (author))")
 star("words_uncategorised", lambda c: facets.words(c, WordFilter(uncategorised=True)), WORDS + "not exists (select 1 from code c where c.word_id = w.id)")
 star("words_unscored", lambda c: facets.words(c, WordFilter(unscored=True)), WORDS + "w.difficulty is null")
 CODE = "exists (select 1 from code c where c.word_id = w.id and {})"

@@ -127,8 +127,11 @@ def leaky(p: DataFrame) -> DataFrame:
 PRE = "len(list_filter(generate_series(1, least(length(word), length(token))), lambda i: left(word, i) = left(token, i)))"
 GLUED = "list_contains(list_value({}), replace(case when length(word) > length(token) then word else token end, case when length(word) > length(token) then token else word end, '')) and ends_with(case when length(word) > length(token) then word else token end, case when length(word) > length(token) then token else word end) and least(length(word), length(token)) >= 4".format(", ".join(f"'{p}'" for p in leaks.PREFIXES))
 TOKENS = f"{LEAK}, t as (select distinct id, word, definition, unnest(regexp_extract_all(lower(definition), '[a-z]+')) as token from d), l as (select id, token from t where length(token) >= 3 and (word = token or ({PRE} >= 4 and {PRE} >= 0.55 * least(length(word), length(token))) or ({GLUED})))"
-on("leaking_tokens", "part", lambda p: leaks.leaking_tokens(leaky(p), near=None), f"{TOKENS} select * from l")
-on("redacted_definitions", "part", lambda p: leaks.redacted(leaky(p), leaks.leaking_tokens(leaky(p), near=None)), f"{TOKENS}, g as (select id, list(token) as ts from l group by 1) select d.id, case when ts is null then definition else list_aggregate(list_transform(regexp_extract_all(definition, '[A-Za-z]+|[^A-Za-z]+'), lambda x: case when list_contains(ts, lower(x)) then '—' else x end), 'string_agg', '') end as quiz_definition, case when ts is null then 'clean' else 'redacted' end as source from d left join g on g.id = d.id")
+on("leaking_tokens", "part", lambda p: leaks.leaking_tokens(leaky(p), stem=leaks.light_stem))
+on("redacted_definitions", "part", lambda p: leaks.redacted(leaky(p), leaks.leaking_tokens(leaky(p), stem=leaks.light_stem)))
+# without the spelling ratio and the stem, which SQL lacks
+on("leaking_tokens_by_form", "part", lambda p: leaks.leaking_tokens(leaky(p), near=None), f"{TOKENS} select * from l")
+on("redacted_by_form", "part", lambda p: leaks.redacted(leaky(p), leaks.leaking_tokens(leaky(p), near=None)), f"{TOKENS}, g as (select id, list(token) as ts from l group by 1) select d.id, case when ts is null then definition else list_aggregate(list_transform(regexp_extract_all(definition, '[A-Za-z]+|[^A-Za-z]+'), lambda x: case when list_contains(ts, lower(x)) then '—' else x end), 'string_agg', '') end as quiz_definition, case when ts is null then 'clean' else 'redacted' end as source from d left join g on g.id = d.id")
 on("misspelling_two_edits", "documents", lambda d: ingest.neighbours(common(d), gap=1.5, edits=2), f"{T3}, w as (select lemma, zipf from z where n >= 5 and length(lemma) >= 4), p as (select x.lemma, y.lemma as neighbour, round(y.zipf - x.zipf, 4) as gap, row_number() over (partition by x.lemma order by y.zipf desc, y.lemma) as r from w x join w y on y.zipf >= x.zipf + 1.5 and abs(length(x.lemma) - length(y.lemma)) <= 2 and levenshtein(x.lemma, y.lemma) <= 2) select lemma, neighbour, gap from p where r = 1")
 
 # --- changes of tables

@@ -5,8 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Prefixes that make a word of another.
-PREFIXES = ("un", "re", "in", "im", "il", "ir", "dis", "mis", "non", "pre", "anti", "over", "under", "sub", "super", "inter", "co", "de", "out", "fore")
+from .lexicon import HEADS as PREFIXES
 
 
 def _ratio():
@@ -25,6 +24,12 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(at, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)) & (F.length(a) >= i) & (F.length(b) >= i), i).otherwise(n))
 
 
+def light_stem(word: Column) -> Column:
+    """A word of lower-case letters without the ending of a plural, a tense, a degree or an adverb, if three letters or more are left."""
+    bare = F.regexp_replace(word, r"(?<=[a-z]{3})(?:ingly|edly|iness|ness|ing|ies|ied|ily|ed|es|er|est|ly|s|y|e)$", "")
+    return F.regexp_replace(bare, r"([b-df-hj-kmnp-rtvwxz])\1$", "$1")
+
+
 def leaking_tokens(rows: DataFrame, near: float | None = 0.85, stem=None) -> DataFrame:
     """(id, token) of the definition's words of three letters and more that give away the word; ``rows`` has id, word, definition.
 

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Affixes that one step takes off.
-HEADS = ("un", "re", "in", "dis", "mis", "non", "pre", "over", "under", "sub")
-TAILS = ("ness", "less", "ful", "ly", "ing", "ed", "er", "est", "able", "ish", "s")
+HEADS = ("un", "re", "over", "under", "dis", "mis", "out", "be", "en", "im", "in", "pre", "ir", "il", "non", "post", "sub", "super", "inter", "anti", "fore")
+TAILS = ("edly", "ing", "ed", "es", "s", "er", "est", "ness", "less", "ly", "ure", "ment", "ish", "y", "d")
 #: Genres that are one of the two kinds already.
 KINDS = {"Fiction": ("Novel", "Fantasy", "Mystery"), "Nonfiction": ("History", "Biography", "Science")}
 

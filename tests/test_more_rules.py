@@ -35,6 +35,34 @@ def test_leaks_and_redaction(spark):
     assert [r.token for r in stemmed.collect()] == ["city"]
 
 
+def test_light_stems(spark):
+    pairs = [("cities", "city"), ("running", "runs"), ("gladly", "glad"), ("happiness", "happily"), ("stopped", "stop"), ("makes", "making")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(leaks.light_stem(F.col("a")).alias("a"), leaks.light_stem(F.col("b")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows), rows
+    words = spark.createDataFrame([("as",), ("red",), ("ring",), ("",)], "w string").select(leaks.light_stem(F.col("w")).alias("s"))
+    assert [r.s for r in words.collect()] == ["as", "red", "ring", ""]
+
+
+def test_titles_taken_apart(spark):
+    cases = {
+        "The Old Days, In Three Volumes, Vol. 2 (of 3)": ("The Old Days", "vol.", 2, None, 3, False), "Tales. Vols. I-III.": ("Tales", "vols.", 1, 3, None, False), "Life, Volume the Last": ("Life", "volume", None, None, None, True),
+        "Life, Chapters 2 to the last": ("Life", "chapters", 2, None, None, True), "A Book 3": ("A", "book", 3, None, None, False), "Vol. 3": None, "Scrapbook 3": None, "Something Part": None, "": None, "Essays Vol. 1, No. 3": None,
+    }
+    frame = spark.createDataFrame([(t,) for t in cases], "t string").select("t", rules.title_suffix(F.col("t")).alias("s"))
+    for r in frame.collect():
+        want = cases[r.t]
+        assert tuple(r.s) == (want or (None, None, None, None, None, False)), (r.t, r.s)
+
+
+def test_references_and_variants(spark):
+    rows = [("Plural of ox.", "plural", "ox", None), ("plural of ox: the beasts.", "plural", "ox", "the beasts"), ('synonym of cow ("a beast").', "synonym", "cow", "a beast"), ("synonym of cow", "synonym", "cow", None), ("a plural of ox", None, None, None), ("plural of ", None, None, None), (None, None, None, None)]
+    got = spark.createDataFrame(rows, "d string, k string, t string, g string").select("d", "k", "t", "g", rules.cross_reference(F.col("d")).alias("r")).collect()
+    assert all(tuple(r.r) == (r.k, r.t, r.g) for r in got), got
+    said = [("Obsolete form of x", True), ("third-person singular, present", True), ("alternative spelling of y", True), ("a form", False), ("reform of law", False), ("plurals of", False), (None, False)]
+    rows = spark.createDataFrame(said, "d string, v boolean").select("d", "v", rules.variant(F.col("d")).alias("is")).collect()
+    assert all(r.v == r["is"] for r in rows), rows
+
+
 def osa(a, b):
     d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
     for i, x in enumerate(a):
