@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .catalog import BOOKS, WORDS, add, star
-from .catalog_more import ANSWERS, GRAM, JUDGED, T3, answers, judged, on
-from .operators import facets, listing, progress, rules
+from .catalog_more import ANSWERS, GRAM, JUDGED, T3, answers, judged, on, read
+from .operators import facets, ingest, lexicon, listing, progress, rules
 from .operators.listing import EntityFilter
+from .plans.staging import settled
 from .plans.star import SQL, load
 
+#: What is left of a word of w without a known affix.
+ROOT_TRIES = " union all ".join(
+    [f"select lemma, substr(lemma, {len(h) + 1}) as root from w where starts_with(lemma, '{h}')" for h in lexicon.HEADS]
+    + [f"select lemma, left(lemma, length(lemma) - {len(t)}) || e as root from w, (values (''), ('e')) as x(e) where ends_with(lemma, '{t}')" for t in lexicon.TAILS])
+
 # --- listings of entities, filtered after aggregation
 BOOK = BOOKS + " select * from books where "
 star("books_in_bucket", lambda c: EntityFilter(bucket="0", fame=(3, 7)).apply(facets.books(c)), BOOK + "unique_word_count = 0 and fame_score between 3 and 7")
@@ -92,7 +98,75 @@ on("picked_sense", "lineitem", lambda t: rules.picked_sense(t.select(F.col("l_or
 on("settings", "events", lambda e: e.select("event_id", rules.setting(F.col("props"), "$.k", ("1", "2", "3"), "2").alias("mode")), "select event_id, case when json_extract_string(props, '$.k') in ('1', '2', '3') then json_extract_string(props, '$.k') else '2' end as mode from events")
 star("display_summary", lambda c: facets.books(c).select("id", rules.summary(F.col("mean_difficulty"), F.col("stddev_difficulty"), F.col("density")).alias("summary")), BOOKS + " select id, case when mean_difficulty is null then 'not scored' else cast(cast(round(mean_difficulty) as int) as varchar) || coalesce(' ± ' || cast(cast(round(stddev_difficulty) as int) as varchar), '') end || case when density is null then '' else ', ' || cast(cast(round(100 * density) as int) as varchar) || ' %' end as summary from books")
 
-# --- validity of words
+# --- validity of words: every word of the documents, with what the tables say of it. Turns of the system's role are the local
+# dictionary, the benchmark is the word list, the share of a word's documents that are not English its context.
+LANGS = ("de", "es", "fr")
+
+
+def spoken(d: DataFrame, lang: str) -> DataFrame:
+    """(lemma, zipf) in the documents of one language."""
+    return ingest.zipf(ingest.candidates(d.where(F.col("lang") == lang))).select("lemma", F.col("zipf").alias(lang))
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word: n, zipf, local, foreign_context, named, vouched, listed, neighbour, rooted, root and peak (its greatest share of a document; 0 for a word met once)."""
+    d = read(spark, sf_dir, "documents")
+    words = lambda t: t.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("lemma")).distinct()
+    found = ingest.candidates(d).join(d.select("doc_id", "lang"), "doc_id")
+    size = Window.partitionBy("doc_id")
+    found = found.withColumn("share", F.round(F.col("n_tokens") / F.sum("n_tokens").over(size), 6))
+    seen = found.groupBy("lemma").agg(
+        F.sum("n_tokens").alias("n"), (2 * F.count(F.when(F.col("lang") != "en", 1)) > F.count("*")).alias("foreign_context"), (F.min("capitalised") >= 0.85).alias("named"), F.max("share").alias("share"))
+    scale = ingest.zipf(ingest.candidates(d)).select("lemma", "zipf")
+    out = settled(seen.join(scale, "lemma"))
+    known = out.where("n >= 5").select("lemma", "zipf")
+    near = ingest.neighbours(known, gap=1.5).select("lemma", F.lit(True).alias("neighbour"))
+    root = lexicon.roots(known, known).select("lemma", "root", "root_zipf")
+    local = words(read(spark, sf_dir, "conversations").where("role = 'system'")).withColumn("local", F.lit(True))
+    listed = words(read(spark, sf_dir, "benchmark")).withColumn("listed", F.lit(True))
+    for t in (near, root, local, listed):
+        out = out.join(t, "lemma", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return out.select("lemma", "n", "zipf", flag("local"), "foreign_context", "named", flag("listed"), F.coalesce("listed", F.lit(False)).alias("vouched"), flag("neighbour"), "root", "root_zipf", F.col("root").isNotNull().alias("rooted"), F.when(F.col("n") > 1, F.col("share")).otherwise(0.0).alias("peak"))
+
+
+SIGNALS = f"""{T3}, cd as (select cand.*, lang, round(n_tokens / sum(n_tokens) over (partition by cand.doc_id), 6) as share from cand join documents using (doc_id)
+), seen as (select lemma, cast(sum(n_tokens) as bigint) as n, 2 * count(*) filter (where lang <> 'en') > count(*) as foreign_context, min(capitalised) >= 0.85 as named, max(share) as share from cd group by 1
+), w as (select lemma, zipf from z where n >= 5
+), near as (select distinct x.lemma from w x join w y on length(x.lemma) >= 4 and length(y.lemma) >= 4 and y.zipf >= x.zipf + 1.5 and abs(length(x.lemma) - length(y.lemma)) <= 1 and levenshtein(x.lemma, y.lemma) <= 1
+), tries as (select distinct * from ({ROOT_TRIES}) where length(root) >= 3
+), rooted as (select t.lemma, t.root, w.zipf as root_zipf, row_number() over (partition by t.lemma order by w.zipf desc, length(t.root), t.root) as r from tries t join w on w.lemma = t.root
+), local as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) as lemma from conversations where role = 'system'
+), listed as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) as lemma from benchmark
+), f as (
+  select s.lemma, s.n, z.zipf, s.lemma in (from local) as local, foreign_context, named, s.lemma in (from listed) as listed, s.lemma in (from listed) as vouched, s.lemma in (from near) as neighbour, rooted.root, rooted.root_zipf,
+    rooted.root is not null as rooted, case when s.n > 1 then share else 0.0 end as peak
+  from seen s join z on z.lemma = s.lemma left join rooted on rooted.lemma = s.lemma and rooted.r = 1)"""
+add("validity_signals", signals, f"{SIGNALS} select * from f")
+add("validity_gate", lambda spark, d: signals(spark, d).select("lemma", rules.validity_gate().alias("g")).select("lemma", "g.verdict", "g.reason"), f"""{SIGNALS}, g as (select lemma, case when local then 'keep:' when foreign_context then case when n >= 3 then 'unsure:foreign_language' else 'drop:foreign_language' end when named and not vouched then 'drop:proper_noun' when listed then 'keep:'
+  when neighbour then case when n >= 3 then 'unsure:misspelling' else 'drop:misspelling' end when zipf > 0 then 'keep:' when n >= 3 then 'unsure:' else 'drop:not_a_word' end as v from f)
+select lemma, split_part(v, ':', 1) as verdict, nullif(split_part(v, ':', 2), '') as reason from g""")
+add("validity_estimate", lambda spark, d: signals(spark, d).select("lemma", rules.validity_estimate().alias("v")).select("lemma", "v.score", "v.label"), f"""{SIGNALS}, s as (select lemma, foreign_context, least(greatest(0.35::double + case when peak > 0 then 0.10::double when peak = 0 then -0.25::double else 0 end + case when zipf > 0 then 0.05::double else 0 end + case when listed then 0.40::double else 0 end + case when rooted then 0.15::double else 0 end - case when neighbour then 0.45::double else 0 end, 0), 1) as s from f
+), t as (select lemma, round(case when foreign_context then least(s, 0.25) else s end, 2)::double as score from s) select lemma, score, case when score >= 0.6 then 'likely-valid' when score <= 0.35 then 'likely-artifact' else 'uncertain' end as label from t""")
+add("frequency_bands", lambda spark, d: signals(spark, d).select("lemma", rules.frequency_band(F.col("zipf")).alias("band"), rules.effective_zipf(F.col("zipf"), F.col("root_zipf")).alias("effective")), f"{SIGNALS} select lemma, case when zipf >= 3.5 then 'common' when zipf >= 2.0 then 'uncommon' else 'rare' end as band, greatest(zipf, root_zipf)::double as effective from f")
+add("trusted_lemma", lambda spark, d: signals(spark, d).where("rooted").select(F.col("lemma").alias("surface"), rules.trusted_lemma(F.col("lemma"), F.col("root"), F.col("zipf"), F.col("root_zipf"), ~F.col("neighbour")).alias("lemma")), f"{SIGNALS} select lemma as surface, case when not neighbour and zipf - root_zipf <= 0.5 then root else lemma end as lemma from f where rooted")
+
+
+def foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    out = spoken(d, "en")
+    for lang in LANGS:
+        out = out.join(spoken(d, lang), "lemma", "full_outer")
+    hint = rules.foreign_hint({x: F.col(x) for x in LANGS}, F.coalesce("en", F.lit(0.0)))
+    return out.select("lemma", hint.alias("h")).select("lemma", "h.language", "h.zipf")
+
+
+add("foreign_hint", foreign, """with occ as (select lang, lower(s) as lemma from (select lang, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) as s from documents where lang in ('en', 'de', 'es', 'fr')) where length(s) >= 3
+), n as (select lang, lemma, count(*) as n from occ group by 1, 2), z as (select lang, lemma, round(log10(n / sum(n) over (partition by lang) * 1e9), 4) as z from n
+), b as (select x.lemma, arg_max(x.lang, (x.z, x.lang)) as language, max(x.z) as z from z x left join z e on e.lang = 'en' and e.lemma = x.lemma where x.lang <> 'en' and x.z >= 3.0 and x.z >= coalesce(e.z, 0.0) + 1.0 group by 1)
+select l.lemma, b.language, b.z::double as zipf from (select distinct lemma from z) l left join b on b.lemma = l.lemma""")
+
+# --- the last rule by the columns of parts
 FLAGS = """with f as (select p_partkey as id, p_partkey % 97 = 0 as local, p_partkey % 13 = 0 as foreign_context, p_partkey % 11 = 0 as named, p_partkey % 22 = 0 as vouched, p_partkey % 5 = 0 as listed, p_partkey % 7 = 0 as neighbour, case when p_partkey % 3 = 0 then 0.0 else (p_partkey % 40) / 10.0 end as zipf, p_size % 6 as n,
   p_partkey % 4 = 0 as rooted, case when p_partkey % 6 = 0 then null else (p_partkey % 2) * 1e-7 end as peak from part)"""
 
@@ -106,15 +180,6 @@ def flags(p: DataFrame) -> DataFrame:
     )
 
 
-on("validity_gate", "part", lambda p: flags(p).select("id", rules.validity_gate().alias("g")).select("id", "g.verdict", "g.reason"), f"""{FLAGS}, g as (select id, case when local then 'keep:' when foreign_context then case when n >= 3 then 'unsure:foreign_language' else 'drop:foreign_language' end when named and not vouched then 'drop:proper_noun' when listed then 'keep:'
-  when neighbour then case when n >= 3 then 'unsure:misspelling' else 'drop:misspelling' end when zipf > 0 then 'keep:' when n >= 3 then 'unsure:' else 'drop:not_a_word' end as v from f)
-select id, split_part(v, ':', 1) as verdict, nullif(split_part(v, ':', 2), '') as reason from g""")
-on("validity_estimate", "part", lambda p: flags(p).select("id", rules.validity_estimate().alias("v")).select("id", "v.score", "v.label"), f"""{FLAGS}, s as (select id, foreign_context, least(greatest(0.35 + case when peak > 0 then 0.10 when peak = 0 then -0.25 else 0 end + case when zipf > 0 then 0.05 else 0 end + case when listed then 0.40 else 0 end + case when rooted then 0.15 else 0 end - case when neighbour then 0.45 else 0 end, 0), 1) as s from f
-), t as (select id, round(case when foreign_context then least(s, 0.25) else s end, 2)::double as score from s) select id, score, case when score >= 0.6 then 'likely-valid' when score <= 0.35 then 'likely-artifact' else 'uncertain' end as label from t""")
-on("frequency_bands", "part", lambda p: flags(p).select("id", rules.frequency_band(F.col("zipf")).alias("band"), rules.effective_zipf(F.col("zipf"), F.when(F.col("rooted"), F.lit(3.0))).alias("effective")), f"{FLAGS} select id, case when zipf >= 3.5 then 'common' when zipf >= 2.0 then 'uncommon' else 'rare' end as band, greatest(zipf, case when rooted then 3.0 end)::double as effective from f")
-on("trusted_lemma", "part", lambda p: flags(p).select("id", rules.trusted_lemma(F.lit("runs"), F.lit("run"), F.col("zipf"), F.lit(2.0), F.col("listed")).alias("lemma")), f"{FLAGS} select id, case when listed and zipf - 2.0 <= 0.5 then 'run' else 'runs' end as lemma from f")
-LANGS = ("fr", "it", "es")
-on("foreign_hint", "part", lambda p: flags(p).select("id", rules.foreign_hint({x: (F.col("id") * (i + 3) % 60) / 10.0 for i, x in enumerate(LANGS)}, F.col("zipf")).alias("h")).select("id", "h.language", "h.zipf"), f"{FLAGS}, l as (select id, zipf as english, unnest(['fr', 'it', 'es']) as language, unnest([(id * 3 % 60) / 10.0, (id * 4 % 60) / 10.0, (id * 5 % 60) / 10.0]) as z from f), b as (select id, arg_max(language, (z, language)) as language, max(z) as z from l where z >= 3.0 and z >= english + 1.0 group by 1) select f.id, b.language, b.z::double as zipf from f left join b on b.id = f.id")
 on("quizzable_reason", "part", lambda p: flags(p).select("id", rules.quizzable(pick(("plural of x", "a plain thing", "third-person singular"), F.col("id")), F.when(F.col("rooted"), F.lit("root")), F.col("zipf"), pick(("a — in —", "one who sells old books in — shops", "of —"), F.col("n")), F.when(F.col("listed"), "redacted").otherwise("clean"), F.col("neighbour")).alias("q")).select("id", "q.quizzable", "q.reason"), f"""{FLAGS}, r as (select id, case when id % 3 <> 1 then 'variant form' when rooted and zipf >= 3.0 then 'transparent derivative' when listed and n % 3 <> 1 then 'redacted too far' when neighbour then 'leaks' end as reason from f) select id, reason is null as quizzable, reason from r""")
 
 add("word_details", lambda spark, d: rules.word_details(load(spark, d)), f"{SQL}, c as (select word_id, array_to_string(list_sort(list(code)), ' ') as codes from code group by 1), b as (select word_id, count(*) as books, min(book_id) as first_book from link group by 1) select w.id, lemma, difficulty, c.codes, coalesce(b.books, 0) as books, b.first_book from word w left join c on c.word_id = w.id left join b on b.word_id = w.id")
