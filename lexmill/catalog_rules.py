@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .catalog import BOOKS, WORDS, add, star
 from .catalog_more import ANSWERS, GRAM, JUDGED, T3, answers, judged, on, read
 from .operators import facets, ingest, lexicon, listing, progress, rules
+from .operators.derived import ENDINGS, derived_roots
 from .operators.listing import EntityFilter
 from .plans.staging import settled
 from .plans.star import SQL, load
@@ -166,6 +167,26 @@ add("foreign_hint", foreign, """with occ as (select lang, lower(s) as lemma from
 ), b as (select x.lemma, arg_max(x.lang, (x.z, x.lang)) as language, max(x.z) as z from z x left join z e on e.lang = 'en' and e.lemma = x.lemma where x.lang <> 'en' and x.z >= 3.0 and x.z >= coalesce(e.z, 0.0) + 1.0 group by 1)
 select l.lemma, b.language, b.z::double as zipf from (select distinct lemma from z) l left join b on b.lemma = l.lemma""")
 
+
+
+def roots_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of all words of the documents, as they are and with un-; those in -ly are adverbs, every second known word an adjective."""
+    s = settled(signals(spark, sf_dir).select("lemma", "n", "zipf"))
+    pos = F.when(F.col("lemma").endswith("ly"), "ADV").otherwise("NOUN")
+    words = s.select("lemma", pos.alias("pos")).unionByName(s.where("n >= 5").select(F.concat(F.lit("un"), "lemma").alias("lemma"), pos.alias("pos")))
+    return derived_roots(words, s.select(F.col("lemma").alias("word"), (F.col("n") % 2 == 0).alias("adjective"), (F.col("n") >= 3).alias("listed")))
+
+
+TRIED = " union all ".join(f"select s, {i} as nth, left(s, length(s) - {len(end)}) || '{put}' as a from s where s like '%{end}' and length(s) - {len(end)} >= 2" for i, (end, put) in enumerate(ENDINGS))
+BARE = "case when {0} like 'un%' and length({0}) >= 6 then substr({0}, 3) end"
+add("derived_roots", roots_of, f"""{T3}, w as (select distinct lemma, pos, {BARE.format('lemma')} as bare from (select lemma, case when lemma like '%ly' then 'ADV' else 'NOUN' end as pos from z union all select 'un' || lemma, case when lemma like '%ly' then 'ADV' else 'NOUN' end from z where n >= 5)
+), s as (select lemma as s from w union select bare from w where bare is not null
+), t as ({TRIED}), adj as (select s, arg_min(a, nth) as a from t where a in (select lemma from z where n % 2 = 0) group by 1
+), listed as (select lemma as l from z where n >= 3
+), v as (select lemma, pos, coalesce(d.l, x.a, y.a) as root, 'ADJ' as root_pos from w left join adj x on x.s = lemma left join adj y on y.s = bare left join listed d on d.l = {BARE.format('x.a')} where pos = 'ADV'
+  union all select lemma, pos, coalesce(a.a, p.l), case when a.a is not null then 'ADJ' else pos end from w left join listed p on p.l = bare left join adj a on a.s = p.l where pos <> 'ADV')
+select * from v where root is not null""")
+
 # --- the last rule by the columns of parts
 FLAGS = """with f as (select p_partkey as id, p_partkey % 97 = 0 as local, p_partkey % 13 = 0 as foreign_context, p_partkey % 11 = 0 as named, p_partkey % 22 = 0 as vouched, p_partkey % 5 = 0 as listed, p_partkey % 7 = 0 as neighbour, case when p_partkey % 3 = 0 then 0.0 else (p_partkey % 40) / 10.0 end as zipf, p_size % 6 as n,
   p_partkey % 4 = 0 as rooted, case when p_partkey % 6 = 0 then null else (p_partkey % 2) * 1e-7 end as peak from part)"""
