@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .catalog import BOOKS, star
 from .catalog_more import JUDGED, T3, common, judged, on
 from .catalog_quiz import of_picked, tree
-from .operators import dictionary, facets, fuzzy, ingest, lexicon, relate, writes
+from .operators import dictionary, embed, facets, fuzzy, ingest, lexicon, relate, writes
 
 HEAD = " union all ".join(f"select lemma, substr(lemma, {len(h) + 1}) as root from w where starts_with(lemma, '{h}')" for h in lexicon.HEADS)
 TAIL = " union all ".join(f"select lemma, left(lemma, length(lemma) - {len(t)}) || e as root from w, (values (''), ('e')) as x(e) where ends_with(lemma, '{t}')" for t in lexicon.TAILS)
@@ -37,6 +37,19 @@ def definition_search_all(c: DataFrame) -> DataFrame:
 
 on("definition_search_all", "conversations", definition_search_all)
 
+# --- vectors trained on the documents
+COUNTED = """with w as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: length(x) >= 3) as w from documents
+), t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from w
+), common as (select word from t group by 1 having count(*) >= 5
+), p as (select least(a.word, b.word) as a, greatest(a.word, b.word) as b, k, count(*) as n from t a, (values (1), (2), (3), (4)) as ks(k), t b where b.doc_id = a.doc_id and b.i = a.i + k and a.word in (from common) and b.word in (from common) group by 1, 2, 3
+), q as (select a, b, round(sum(n / k), 6) as n from p group by 1, 2
+), pairs as (select a as word, b as other, n from q union all select b, a, n from q where a <> b)"""
+INFORMED = COUNTED + """, own as (select word, sum(n) as own from pairs group by 1), total as (select sum(pow(own, 0.75)) as context from own
+), i as (select p.word, p.other, (greatest(ln(p.n / x.own / (pow(y.own, 0.75) / context)), 0.0) + greatest(ln(p.n / y.own / (pow(x.own, 0.75) / context)), 0.0)) / 2 as value from pairs p join own x on x.word = p.word join own y on y.word = p.other, total)"""
+on("word_cooccurrences", "documents", embed.cooccurrences, f"{COUNTED} select * from pairs")
+on("word_information", "documents", lambda d: embed.ppmi(embed.cooccurrences(d)).withColumn("value", F.round("value", 6)), f"{INFORMED} select word, other, round(value, 6) as value from i where value > 0")
+on("trained_vectors", "documents", lambda d: embed.trained(embed.ppmi(embed.cooccurrences(d))))
+
 # --- composed
 star("books_page_with_total", lambda c: facets.page(facets.books(c), "mean_difficulty", "id", True, 2, 25).select("id", "mean_difficulty").join(F.broadcast(c.active_links.agg(F.countDistinct("book_id").alias("total")))), BOOKS + " select id, mean_difficulty, (select count(*) from books) as total from books order by mean_difficulty desc nulls last, id limit 25 offset 25")
 on("relation_edges", "part", lambda p: relate.closure(tree(p).where("child > 0"), "child", "parent").select("node", "ancestor", F.when(F.col("depth") == 1, "direct").otherwise("fanout").alias("kind")), "with recursive up(node, ancestor, depth) as (select p_partkey, p_partkey // 3, 1 from part where p_partkey > 0 union all select node, ancestor // 3, depth + 1 from up where ancestor > 0) select node, ancestor, case when depth = 1 then 'direct' else 'fanout' end as kind from up")
