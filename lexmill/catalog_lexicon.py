@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .catalog import BOOKS, star
-from .catalog_more import JUDGED, T3, common, judged, on
+from .catalog import BOOKS, add, star
+from .catalog_more import JUDGED, T3, common, judged, on, read
 from .catalog_quiz import of_picked, tree
-from .operators import dictionary, embed, facets, fuzzy, ingest, lexicon, relate, writes
+from .operators import dictionary, embed, entries, facets, fuzzy, ingest, lexicon, relate, writes
 
 HEAD = " union all ".join(f"select lemma, substr(lemma, {len(h) + 1}) as root from w where starts_with(lemma, '{h}')" for h in lexicon.HEADS)
 TAIL = " union all ".join(f"select lemma, left(lemma, length(lemma) - {len(t)}) || e as root from w, (values (''), ('e')) as x(e) where ends_with(lemma, '{t}')" for t in lexicon.TAILS)
@@ -77,6 +77,21 @@ def cluster_tree(c) -> DataFrame:
 star("cluster_tree", cluster_tree)
 
 # --- dictionary volumes: entries made of a part's columns
+def entry_listing(spark, sf_dir: str) -> DataFrame:
+    """The second page of the unchecked entries of a volume whose headword holds ``ring`` or the like; definitions are the lines of a part."""
+    p, t, key = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem"), F.col("p_partkey")
+    rows = p.select(
+        key.alias("id"), F.concat_ws(" ", "p_name", key.cast("string")).alias("headword"), (F.col("p_size") % 3).cast("int").alias("volume_id"), (key * 7 % 100).alias("page_number"), key.alias("created_at"),
+        (F.col("p_size") % 2 == 0).alias("needs_review"), F.when(key % 5 == 0, "accepted").when(key % 5 == 1, "unique").alias("match"), (key % 7 != 0).alias("lemma"))
+    senses = t.select(F.col("l_partkey").alias("entry_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("nth"), F.concat_ws(" ", "l_returnflag", F.col("l_suppkey").cast("string")).alias("text"))
+    return entries.entry_page(rows, senses, entries.EntryFilter("r_", 1, match=entries.UNCHECKED), "page_number", True, 2, 20)
+
+
+add("dictionary_entry_page", entry_listing, """with e as (select p_partkey as id, p_name || ' ' || cast(p_partkey as varchar) as headword, cast(p_size % 3 as int) as volume_id, p_partkey * 7 % 100 as page_number, p_partkey as created_at, p_size % 2 = 0 as needs_review,
+  case p_partkey % 5 when 0 then 'accepted' when 1 then 'unique' end as match, p_partkey % 7 <> 0 as lemma from part
+), f as (select * from e where lower(headword) like '%r_%' and volume_id = 1 and lemma and match is null
+), d as (select l_partkey as id, arg_min(l_returnflag || ' ' || cast(l_suppkey as varchar), (l_orderkey * 10 + l_linenumber, l_returnflag || ' ' || cast(l_suppkey as varchar))) as first_definition from lineitem group by 1)
+select f.*, d.first_definition, (select count(*) from f) as total from f left join d on d.id = f.id order by page_number desc, f.id limit 20 offset 20""")
 RAW_ENTRY = lambda: F.concat("p_name", F.lit(" (x'y), n. and adj. [from "), "p_brand", F.lit("] Lead of it. 1. A thing of "), "p_type", F.lit(". 1601 Smith Jr. of old. c1702 a line "), F.lit("2. Another one."))
 volume = lambda p: dictionary.relations(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), RAW_ENTRY().alias("raw")))
 on("dictionary_entries", "part", lambda p: volume(p)[0], "select p_partkey as id, 'n adj' as pos, 'from ' || p_brand as etymology from part")
