@@ -12,8 +12,9 @@ parts of their spelling, without training again.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import trigrams
@@ -68,20 +69,45 @@ def times(matrix: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
     return rows.groupBy("word").agg(_each(dimension, lambda k: F.sum(F.col("value") * F.get("vector", F.lit(k)))).alias("vector"))
 
 
+def _rows(column: pa.Array):
+    """The vectors of a batch as a matrix."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, float).reshape(len(column), -1)
+
+
 def _turned(vectors: DataFrame, by) -> DataFrame:
     """Each vector times the small matrix ``by``."""
-    columns = [[float(x) for x in column] for column in by.T]
-    dot = lambda column: reduce(lambda a, b: a + b, [F.get("vector", F.lit(i)) * x for i, x in enumerate(column)])
-    return vectors.select("word", F.array(*map(dot, columns)).alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(_rows(batch.column("vector")) @ by), pa.list_(pa.float64()))], names=["word", "vector"])
+
+    return vectors.select("word", "vector").mapInArrow(run, "word string, vector array<double>")
 
 
 def _products(left: DataFrame, right: DataFrame, dimension: int):
-    """The ``dimension`` by ``dimension`` matrix of all products of coordinates, summed over the words of both tables."""
+    """The ``dimension`` by ``dimension`` matrix of all products of coordinates, summed over the words of both tables.
+
+    Each task sums its words; what reaches the driver is a number for each cell.
+    """
     import numpy as np
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dimension, dimension))
+        for batch in batches:
+            if batch.num_rows:
+                total += _rows(batch.column("x")).T @ _rows(batch.column("y"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", "value"])
+
     rows = left.select("word", F.col("vector").alias("x")).join(right.select("word", F.col("vector").alias("y")), "word")
-    sums = rows.agg(*[F.sum(F.get("x", F.lit(i)) * F.get("y", F.lit(j))).alias(f"p{i}_{j}") for i in range(dimension) for j in range(dimension)]).first()
-    return np.array([x or 0.0 for x in sums]).reshape(dimension, dimension)
+    sums = rows.select("x", "y").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(dimension * dimension)
+    for cell, value in sums:
+        out[cell] = value
+    return out.reshape(dimension, dimension)
 
 
 def trained(matrix: DataFrame, dimension: int = 16, rounds: int = 6, seed: int = 1) -> DataFrame:
