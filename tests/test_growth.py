@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lexmill.functions.columns import percent_ranks
 from lexmill.operators import relate
 
 
@@ -11,6 +12,16 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_of_a_hot_value_and_nulls_sort_no_rows(spark):
+    """No window holds the rows of a value or the nulls; results are those of the plain rank."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 != 0, F.when(F.col("id") % 5 != 0, F.lit(7.0)).otherwise(F.col("id") * 1.0)).alias("x"))
+    out = percent_ranks(rows, {"x": "r"})
+    assert "Window" not in plan(out)
+    values = sorted(r.x for r in rows.collect() if r.x is not None)
+    first = {x: values.index(x) / (len(values) - 1) for x in set(values)}
+    assert {r.id: (r.x, r.r) for r in out.collect()} == {r.id: (r.x, None if r.x is None else first[r.x]) for r in rows.collect()}
+
+
 def test_pairs_of_entities_are_not_shuffled(spark, monkeypatch):
     """Pairs are summed in the task of their first entity: the only exchange by entity has no pair in it, and each pair is made once."""
     pairs = spark.range(4000).select(F.concat(F.lit("n"), (F.col("id") % 97).cast("string")).alias("e"), (F.col("id") * 7919 % 211).alias("m"))
