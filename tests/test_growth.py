@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
-from lexmill.operators import relate
+from lexmill.operators import dictionary, relate
 
 
 def plan(df) -> str:
@@ -31,3 +31,11 @@ def test_pairs_of_entities_are_not_shuffled(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in relate.similar(pairs, "e", "m", 0.5, 3, 200).collect()}
     assert got.where("a = b").count() == 0 and got.count() == got.select("a", "b").distinct().count() > 0
     assert not re.search(r"hashpartitioning\(a#\d+L?, b#", "".join([*plans, plan(got)]))
+
+
+def test_small_file_of_entries_is_parsed_by_all_tasks(spark):
+    n = 50
+    rows = spark.range(n).coalesce(1).select("id", F.lit("word").alias("headword"), F.lit("word, n. 1. A thing. 1601 Smith of old.").alias("raw"))
+    quotations = dictionary.relations(rows)[2]
+    assert len(quotations.inputFiles()) > 1
+    assert {(r.year, r.author, r.text) for r in quotations.collect()} == {(1601, "Smith", "of old.")} and quotations.count() == n
