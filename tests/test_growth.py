@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
-from lexmill.operators import dictionary, relate
+from lexmill.operators import dictionary, embed, relate
 
 
 def plan(df) -> str:
@@ -39,3 +39,15 @@ def test_small_file_of_entries_is_parsed_by_all_tasks(spark):
     quotations = dictionary.relations(rows)[2]
     assert len(quotations.inputFiles()) > 1
     assert {(r.year, r.author, r.text) for r in quotations.collect()} == {(1601, "Smith", "of old.")} and quotations.count() == n
+
+
+def test_pairs_of_words_are_shuffled_once(spark, monkeypatch):
+    """One exchange of pairs whatever the window, and the matrix is laid out by its rows before it is multiplied."""
+    plans, written = [], embed.settled
+    monkeypatch.setattr(embed, "settled", lambda df: (plans.append(plan(df)), written(df))[1])
+    docs = spark.createDataFrame([(i, "one two three four five six") for i in range(6)] + [(9, None), (10, "")], "doc_id long, text string")
+    pairs = embed.cooccurrences(docs)
+    assert {(r.word, r.other): r.n for r in pairs.collect()}["one", "four"] == 2.0
+    assert len(re.findall(r"hashpartitioning\(a#\d+, b#", "".join(plans))) == 1
+    embed.trained(embed.ppmi(pairs), 2, 1)
+    assert re.search(r"hashpartitioning\(word#\d+, \d+\), REPARTITION", "".join(plans))
