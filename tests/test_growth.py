@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
-from lexmill.operators import dictionary, embed, relate
+from lexmill.operators import dictionary, embed, lexicon, relate
 
 
 def plan(df) -> str:
@@ -51,3 +51,10 @@ def test_pairs_of_words_are_shuffled_once(spark, monkeypatch):
     assert len(re.findall(r"hashpartitioning\(a#\d+, b#", "".join(plans))) == 1
     embed.trained(embed.ppmi(pairs), 2, 1)
     assert re.search(r"hashpartitioning\(word#\d+, \d+\), REPARTITION", "".join(plans))
+
+
+def test_stretches_below_the_floor_are_not_followed(spark):
+    """Above the floor as without it, below it 0; pairs are dealt to a stated number of tasks."""
+    rows = spark.createDataFrame([("small ring", "a smell rang small rings"), ("small ring", "nothing like"), ("abc", None), ("", "abc")], "asked string, text string")
+    low, high = (rows.select(lexicon.window_similarity(F.col("asked"), F.col("text"), x).alias("s")).collect() for x in (0.0, 0.5))
+    assert [r.s for r in high] == [r.s if r.s > 0.5 else 0.0 for r in low] and high[0].s > 0.5
