@@ -5,7 +5,10 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
-from lexmill.operators import dictionary, embed, lexicon, relate
+from lexmill.operators import dictionary, distractors, embed, lexicon, relate
+from lexmill.operators.distractors import Draw, Rule
+
+from .test_distractors import WORDS
 
 
 def plan(df) -> str:
@@ -58,3 +61,17 @@ def test_stretches_below_the_floor_are_not_followed(spark):
     rows = spark.createDataFrame([("small ring", "a smell rang small rings"), ("small ring", "nothing like"), ("abc", None), ("", "abc")], "asked string, text string")
     low, high = (rows.select(lexicon.window_similarity(F.col("asked"), F.col("text"), x).alias("s")).collect() for x in (0.0, 0.5))
     assert [r.s for r in high] == [r.s if r.s > 0.5 else 0.0 for r in low] and high[0].s > 0.5
+
+
+def test_targets_with_enough_lookalikes_stop_at_a_high_floor(spark, monkeypatch):
+    """A target whose first words lie above a high floor is not sought above the rule's; the others are."""
+    rows = [(i, f"wordy thing {i % 3}", "noun", 50.0, [], None, True) for i in range(12)] + [(90, "wordy thin", "noun", 50.0, [], None, True), (91, "zq", "noun", 50.0, [], None, True)]
+    words = spark.createDataFrame(rows, WORDS)
+    draw = Draw(words, words, Rule())
+    asked, whole = draw.banded(), draw.alike
+    seen = []
+    monkeypatch.setattr(draw, "alike", lambda left, w, t, need, floor: (seen.append((floor, {r.target for r in left.collect()})), whole(left, w, t, need, floor))[1])
+    got = {tuple(r) for r in draw.lookalikes(asked, 2).select("target", "word", "nth").collect()}
+    assert [f for f, _ in seen] == [0.75, 0.5, 0.3] and 0 not in seen[1][1] and {91} == seen[-1][1]
+    monkeypatch.setattr(distractors, "FLOORS", ())
+    assert got == {tuple(r) for r in draw.lookalikes(asked, 2).select("target", "word", "nth").collect()} and got
