@@ -5,10 +5,11 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
-from lexmill.operators import dictionary, distractors, embed, lexicon, relate
+from lexmill.operators import dictionary, distractors, embed, lexicon, relate, ring, sessions
 from lexmill.operators.distractors import Draw, Rule
 
 from .test_distractors import WORDS
+from .test_sessions import RULE, corpus
 
 
 def plan(df) -> str:
@@ -75,3 +76,15 @@ def test_targets_with_enough_lookalikes_stop_at_a_high_floor(spark, monkeypatch)
     assert [f for f, _ in seen] == [0.75, 0.5, 0.3] and 0 not in seen[1][1] and {91} == seen[-1][1]
     monkeypatch.setattr(distractors, "FLOORS", ())
     assert got == {tuple(r) for r in draw.lookalikes(asked, 2).select("target", "word", "nth").collect()} and got
+
+
+def test_sessions_send_no_rows_of_words_or_askers_to_all(spark, monkeypatch):
+    """However small the files are, only tables of keys and vectors are broadcast."""
+    plans, written = [], ring.settled
+    for module in (ring, distractors, sessions):
+        monkeypatch.setattr(module, "settled", lambda df: (plans.append(plan(df)), written(df))[1])
+    words, asked = spark.createDataFrame(corpus(), WORDS), spark.range(2).select(F.col("id").alias("session"))
+    banned = spark.createDataFrame([(0, 10), (20, 30)], "target long, word long")
+    plans.append(plan(sessions.sessions(asked, words, sessions.Plan(length=4), RULE, [banned])))
+    sent = re.findall(r"BroadcastHashJoin \[(.*?)\], \[.*?\], (\w+)", "".join(plans))
+    assert sent and not [(keys, kind) for keys, kind in sent if re.search(r"(asker|item|target|word|id|bucket)#", keys) and not (kind == "LeftOuter" and "," not in keys)]
