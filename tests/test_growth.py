@@ -5,7 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
-from lexmill.operators import dictionary, distractors, embed, lexicon, relate, ring, sessions
+from lexmill.registry import QUERIES
+from lexmill.operators import dictionary, distractors, embed, ingest, lexicon, relate, ring, sessions
 from lexmill.operators.distractors import Draw, Rule
 
 from .test_distractors import WORDS
@@ -88,3 +89,28 @@ def test_sessions_send_no_rows_of_words_or_askers_to_all(spark, monkeypatch):
     plans.append(plan(sessions.sessions(asked, words, sessions.Plan(length=4), RULE, [banned])))
     sent = re.findall(r"BroadcastHashJoin \[(.*?)\], \[.*?\], (\w+)", "".join(plans))
     assert sent and not [(keys, kind) for keys, kind in sent if re.search(r"(asker|item|target|word|id|bucket)#", keys) and not (kind == "LeftOuter" and "," not in keys)]
+
+
+def test_words_of_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Texts go to their documents' tasks, words to their lemma's; the links are those of a plain loop."""
+    texts = {1: "the Old rose, the old ROSE", 2: "the Rose the rose garden the the", 3: "The OLD the Garden Xenon it", 4: None, 5: "", 6: "the the Xenon xenon ox garden"}
+    docs = spark.createDataFrame([*texts.items(), (2, "Old the"), (None, "the rose")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plans, written = [], getattr(ingest, "settled", lambda df: df)
+    monkeypatch.setattr(ingest, "settled", lambda df: (plans.append(plan(df)), written(df))[1], raising=False)
+    plans.append(plan(QUERIES["mention_links"](spark, str(tmp_path))))
+    exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", "".join(plans))
+    assert exchanges and not [keys for keys in exchanges if "doc_id" in keys and "lemma" in keys] and sum("doc_id" in keys for keys in exchanges) == 1
+
+    shown, kept = {}, {}
+    for i, text in [*texts.items(), (2, "Old the"), (None, "the rose")]:
+        for w in re.findall("[A-Za-z]{3,}", text or ""):
+            shown.setdefault((i, w.lower()), []).append(w)
+    for (i, w), forms in shown.items():
+        judged = [f for f in forms if not f.isupper()]
+        if w != "the" and i is not None and sum(f[0].isupper() for f in judged) < 0.85 * max(len(judged), 1):
+            kept[w] = min(i, kept.get(w, i))
+    want = {(i, kept[w], forms[0]) for (i, w), forms in shown.items() if w in kept and i not in (None, kept[w])}
+    monkeypatch.undo()
+    got = [tuple(r) for r in ingest.first_mentions(docs, 8.4).collect()]
+    assert len(got) == len(want) and set(got) == want and want
