@@ -235,7 +235,7 @@ class Model:
         top, low = max(s for _, s, _ in plain), min(s for _, s, _ in plain)
         run = [(p, len(p.decode()) * top - 0.1, i) for p, _, i in run]
         self.viterbi = Viterbi(plain + run, self.byte_ids, low - 10)
-        self.segments = WordCache(self._encode, np.uint16 if n < 1 << 16 else np.uint32)
+        self.segments = WordCache(self._encode, np.uint16 if n < 1 << 16 else np.uint32, most=400_000)
 
     def _encode(self, segments: pa.Array):
         import numpy as np
@@ -307,7 +307,7 @@ def encoder(path: str):
 
         one = pa.RecordBatch.from_arrays([text], names=["text"])
         done, upto, total = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], 0
-        for b in slices(one, "text"):
+        for b in slices(one, "text", 1 << 20):
             ids, offsets = model(path).encode(b.column("text"))
             done.append(ids.astype(np.int32))
             upto.append(offsets[1:] + total)

@@ -127,7 +127,7 @@ def sketches(docs: DataFrame, join: Join) -> DataFrame:
 
         parts: dict[int, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 cols: list[list] = [[] for _ in SKETCH]
                 for doc, h in zip(batch.column("doc_id").to_pylist(), shingle_hashes(batch.column("text"), join.width)):
                     n = len(h)
@@ -189,7 +189,7 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 found = [h.tobytes() for h in shingle_hashes(batch.column("text"), join.width)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
 

@@ -166,7 +166,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_rows: int = 30_000) -> Tree
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 x = statistics(batch.column("text"))
                 kept = [batch.column("id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(kept, names=["id", "y", "x"])
@@ -185,7 +185,7 @@ def scorer(trees: Trees):
         import numpy as np
 
         one = pa.RecordBatch.from_arrays([text], names=["text"])
-        found = [trees.score(statistics(part.column("text"))) for part in slices(one, "text")]
+        found = [trees.score(statistics(part.column("text"))) for part in slices(one, "text", 1 << 20)]
         return pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())
 
     return score

@@ -54,9 +54,9 @@ class WordCache:
             starts = len(self.values) + np.cumsum(sizes) - sizes
             start[new], size[new] = starts, sizes
             rows = len(self.words) + np.arange(len(new))
-            merged, order = np.concatenate((self.hashes, h[new])), np.concatenate((self.order, rows))
-            by = np.argsort(merged, kind="stable")
-            self.hashes, self.order = merged[by], order[by]
+            by = np.argsort(h[new], kind="stable")
+            into = np.searchsorted(self.hashes, h[new][by], side="right")
+            self.hashes, self.order = np.insert(self.hashes, into, h[new][by]), np.insert(self.order, into, rows[by])
             self.words = pa.concat_arrays([self.words, fresh])
             self.start, self.size = np.concatenate((self.start, starts)), np.concatenate((self.size, sizes.astype(np.int32)))
             self.values = np.concatenate((self.values, values.astype(self.dtype)))
