@@ -29,6 +29,7 @@ from .wordcache import WordCache, gather
 
 MARK = "▁"
 LONG = 512
+RUN = 1 << 18
 _MODELS: dict = {}
 
 
@@ -232,6 +233,9 @@ class Model:
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 (run if p == MARK * len(p) and len(p) > 1 else plain).append((p.encode(), sp.get_score(i), i))
                 self.data[i] = p.replace(MARK, " ").encode()
+        # for decoding: every piece, one without bytes, and the same again less a leading space
+        self.pieces = pa.array([*self.data, b"", *[p.removeprefix(b" ") for p in self.data], b""], pa.large_binary())
+        self.held = np.array([*map(len, self.data), 0])
         top, low = max(s for _, s, _ in plain), min(s for _, s, _ in plain)
         run = [(p, len(p.decode()) * top - 0.1, i) for p, _, i in run]
         self.viterbi = Viterbi(plain + run, self.byte_ids, low - 10)
@@ -282,13 +286,22 @@ class Model:
         upto = np.concatenate(([0], np.cumsum(size[codes].astype(np.int64))))
         return gather(values, start[codes], size[codes]), upto[kept]
 
-    def decode(self, ids, offsets) -> list[str]:
+    def decode(self, ids, offsets) -> pa.Array:
         """Texts of runs of ids: pieces and bytes joined, without the leading space that encoding adds."""
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            raw = b"".join([self.data[i] if 0 <= i < len(self.data) else b"" for i in ids[a:b].tolist()])
-            out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-        return out
+        import numpy as np
+
+        n = len(self.data)
+        rows = np.where((ids >= 0) & (ids < n), ids, n).astype(np.int32)  # row n has no bytes
+        upto = np.concatenate(([0], np.cumsum(self.held[rows], dtype=np.int64)))
+        full = offsets[:-1][upto[offsets[1:]] > upto[offsets[:-1]]]
+        rows[np.searchsorted(upto, upto[full], side="right") - 1] += n + 1  # the first id with bytes, less a leading space
+        joined = self.pieces.take(pa.array(rows))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][offsets]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), joined.buffers()[2]])
+        try:
+            return texts.cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no characters
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
 
 
 def model(path: str) -> Model:
@@ -327,12 +340,33 @@ def decoder(path: str):
 
         flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False) if len(ids) else np.empty(0, np.int32)
         sizes = pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        texts = model(path).decode(flat, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
-        return pa.array([t if v else None for t, v in zip(texts, ids.is_valid().to_pylist())], pa.string())
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        cuts = np.flatnonzero(np.diff(upto[:-1] // RUN)) + 1  # runs of texts with about RUN ids
+        done = [pa.array([], pa.string())]
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            done.append(model(path).decode(flat[upto[a] : upto[b]], upto[a : b + 1] - upto[a]).cast(pa.string()))
+        texts = pa.concat_arrays(done)
+        return pa.compute.if_else(ids.is_valid(), texts, pa.scalar(None, texts.type)) if ids.null_count else texts
 
     return decode
 
 
+def round_trip(path: str):
+    """A column function: text to a struct of its ``ids`` and the ``text`` they decode to.
+
+    Where a query keeps both, ``decoder`` over a column of ``encoder`` would encode twice: Spark hands a worker each column's
+    functions as a chain from the text on.
+    """
+    encode, decode = encoder(path).func, decoder(path).func
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
+    def both(text: pa.Array) -> pa.Array:
+        ids = encode(text)
+        return pa.StructArray.from_arrays([ids, decode(ids)], names=["ids", "text"])
+
+    return both
+
+
 def free_name(rows: DataFrame, name: str) -> str:
     """``name``, or the first of name_2, name_3, ... that no column of ``rows`` has."""
     taken, k, out = {c.lower() for c in rows.columns}, 2, name

@@ -71,12 +71,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
 
-    from .op10_sentencepiece import decoder, encoder
+    from .op10_sentencepiece import round_trip
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    out = docs.select("doc_id", "text", encoder(path)(F.col("text")).alias("ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", decoder(path)(F.col("ids")).eqNullSafe(F.col("text")).alias("restored"))
+    out = docs.select("doc_id", "text", round_trip(path)(F.col("text")).alias("done"))
+    return out.select("doc_id", F.size("done.ids").cast("long").alias("n_ids"), "done.ids", F.col("done.text").eqNullSafe(F.col("text")).alias("restored"))
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

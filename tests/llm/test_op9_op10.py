@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from lexmill.llm.op10_sentencepiece import MARK, Model, Viterbi, decoded, encoded
+from lexmill.llm import op10_sentencepiece, queries
+from lexmill.llm.op10_sentencepiece import MARK, Model, Viterbi, decoded, decoder, encoded, encoder, round_trip
 from lexmill.llm.op9_token_counts import LongestMatch, read_ranks, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -119,3 +121,40 @@ def test_a_column_named_ids_stays(spark):
     df = spark.createDataFrame([(1, "a b", "mine")], "doc_id long, text string, IDS string")
     row = encoded(df, PIECES).first().asDict()
     assert row["IDS"] == "mine" and len(row["ids_2"]) == 2
+
+
+def test_query_encodes_each_text_once(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, " two  spaces "), (4, "tab\tnul\x00 𝄞 日本"), (5, "a ▁ mark"), (6, "same"), (6, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op10_sentencepiece"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(text#") == 1, plan
+    assert out.dtypes == [("doc_id", "bigint"), ("n_ids", "bigint"), ("ids", "array<int>"), ("restored", "boolean")]
+    want = {r.doc_id: r.ids for r in encoded(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    got = sorted((r.doc_id, r.n_ids, r.ids, r.restored) for r in out.collect())
+    assert got == [(i, None if t is None else len(want[i]), want[i], i != 5) for i, t in rows]
+
+
+def test_round_trip_is_encoder_and_decoder():
+    text = pa.array(["the one", None, "", "  é\x00 "])
+    both, ids = round_trip(PIECES).func(text), encoder(PIECES).func(text)
+    assert both.field("ids").equals(ids) and both.field("text").equals(text) and both.null_count == 0
+    assert round_trip(PIECES).func(text.slice(0, 0)).to_pylist() == []
+
+
+def test_decoding_equals_joined_pieces(monkeypatch):
+    m, r = Model(PIECES), random.Random(4)
+
+    def plain(ids):
+        raw = b"".join(m.data[i] if i is not None and 0 <= i < len(m.data) else b"" for i in ids)
+        return raw.removeprefix(b" ").decode("utf-8", "replace")
+
+    space = m.byte_ids[32]
+    mixed = [[r.choice([None, -5, 0, 1, 2, space, 10**6, r.choice(m.byte_ids), r.randrange(len(m.data))]) for _ in range(r.randint(0, 9))] for _ in range(3000)]
+    good = [[0, space, space, 400], [], None, [2, -1], [None, int(m.viterbi.id[5])], [space], m.viterbi.id[:70].tolist()]
+    split = [m.byte_ids[x] for x in "é".encode()]
+    for lists in (good, mixed, good + mixed, [split[:1], split[1:]], [], [None], [[]]):
+        for run in (1, 7, 1 << 18):
+            monkeypatch.setattr(op10_sentencepiece, "RUN", run)
+            got = decoder(PIECES).func(pa.array(lists, pa.list_(pa.int32())))
+            assert got.type == pa.string() and got.to_pylist() == [None if x is None else plain(x) for x in lists]
