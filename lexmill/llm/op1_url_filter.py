@@ -205,7 +205,8 @@ def scored(rows: DataFrame, order: int) -> DataFrame:
             own = own.append_column(name, value)
         return own.drop_columns(["url", "chunk"])
 
-    found = sought(rows, order).join(counted(rows, order), ["slot", "gram"]).groupBy("chunk")
+    # both sides shuffled: by the few bytes of a compressed side Spark sends it whole through the driver, where its rows take many times that
+    found = sought(rows, order).join(counted(rows, order).hint("merge"), ["slot", "gram"]).groupBy("chunk")
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c not in ("url", "chunk"))
     return rows.groupBy("chunk").cogroup(found).applyInArrow(run, f"{schema}, score double, held double")
 

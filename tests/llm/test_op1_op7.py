@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from lexmill.llm import op1_url_filter
 from lexmill.llm.op1_url_filter import RULES, url_filter
 from lexmill.llm.op7_nearest import _search, nearest
 
@@ -93,6 +94,15 @@ def test_rare_ngrams_and_the_fold_count(spark):
             assert all(got[u].verdict == ("allow" if got[u].score >= got[u].cut else "block") for u in open_)
 
 
+def test_ngrams_are_not_sent_through_the_driver(spark, monkeypatch):
+    """However few bytes the n-grams of the urls and their counts take, both sides of their join are shuffled."""
+    plans, written = [], op1_url_filter.staged
+    monkeypatch.setattr(op1_url_filter, "staged", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    rows = [(1, "https://a.com/fr/x"), (2, "https://b.com/de/y"), (3, "https://c.net/z"), (4, None)]
+    assert url_filter(spark.createDataFrame(rows, "page_id long, url string")).count() == 4
+    assert sum("SortMergeJoin" in p for p in plans) == 1 and not any("Broadcast" in p for p in plans)
+
+
 def brute(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = []
