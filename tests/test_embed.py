@@ -91,3 +91,17 @@ def test_no_words(spark):
     none = spark.createDataFrame([(1, None)], DOCS)
     matrix = embed.ppmi(embed.cooccurrences(none))
     assert embed.trained(matrix, 4).count() == 0
+
+
+@pytest.mark.parametrize("sent", [embed.SENT, 0])
+def test_blocks_of_ranges(spark, monkeypatch, sent):
+    """Many small blocks, whose ranges are sent to all tasks or shuffled: values as those of the table of pairs, vectors as those of the table of values."""
+    monkeypatch.setattr(embed, "SENT", sent)
+    docs = spark.createDataFrame(corpus() + [(903, "kaax kaax kaax once"), (904, "kaax " * 9)], DOCS).repartition(3)
+    rows = embed.settled(embed.cooccurrences(docs))
+    assert embed.counted(docs, block=2000).pairs.count() > 3
+    want = {(r.word, r.other): r.value for r in embed.ppmi(rows).collect()}
+    got = {(r.word, r.other): r.value for r in embed.information(docs, block=2000).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want) and ("kaax", "kaax") in rows.select("word", "other").collect()
+    one, two = ({r.word: r.vector for r in df.collect()} for df in (embed.trained_on(docs, 6, 12, block=2000), embed.trained(embed.ppmi(rows), 6, 12)))
+    assert one.keys() == two.keys() and all(np.allclose(one[w][:3], two[w][:3], atol=1e-4) for w in one)

@@ -58,6 +58,16 @@ def test_pairs_of_words_are_shuffled_once(spark, monkeypatch):
     assert re.search(r"hashpartitioning\(word#\d+, \d+\), REPARTITION", "".join(plans))
 
 
+def test_no_row_of_a_pair_is_joined_or_shuffled(spark, tmp_path, monkeypatch):
+    """Pairs of words travel in blocks: what is shuffled or joined by word is a vocabulary's row, never a pair's."""
+    spark.createDataFrame([(i, "one two three four five six") for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, written = [], embed.settled
+    monkeypatch.setattr(embed, "settled", lambda df: (plans.append(plan(df)), written(df))[1])
+    for name in ("word_information", "trained_vectors"):
+        plans.append(plan(QUERIES[name](spark, str(tmp_path))))
+    assert plans and not re.search(r"(hashpartitioning|HashJoin|MergeJoin).*\bother#", "\n".join(plans))
+
+
 def test_stretches_below_the_floor_are_not_followed(spark):
     """Above the floor as without it, below it 0; pairs are dealt to a stated number of tasks."""
     rows = spark.createDataFrame([("small ring", "a smell rang small rings"), ("small ring", "nothing like"), ("abc", None), ("", "abc")], "asked string, text string")
