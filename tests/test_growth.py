@@ -1,12 +1,15 @@
 """Steps whose largest task, or whose shuffle, must not grow faster than the input."""
 
+import math
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
 from lexmill.registry import QUERIES
-from lexmill.operators import dictionary, distractors, embed, ingest, lexicon, relate, ring, sessions
+from lexmill.operators import dictionary, distractors, embed, ingest, lexicon, relate, ring, sessions, vectors
 from lexmill.operators.distractors import Draw, Rule
 
 from .test_distractors import WORDS
@@ -124,3 +127,20 @@ def test_words_of_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     got = [tuple(r) for r in ingest.first_mentions(docs, 8.4).collect()]
     assert len(got) == len(want) and set(got) == want and want
+
+
+def test_first_ring_is_compared_once_and_few_distances_are_measured(spark):
+    """Blocks meet once for each ring; ties, zero vectors and unknown components as in a plain loop over all pairs."""
+    r = random.Random(3)
+    rows = [(i, i % 3, [r.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(400)] + [(900, 0, [0.0] * 4), (901, 1, None), (920, 0, [1.0, None, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    asked = df.where("id % 20 = 0")
+    assert plan(vectors.all_two_rings(df, asked)).count("FlatMapCoGroupsInArrow") == 1
+    whole = [(i, c, np.array(v)) for i, c, v in rows if v is not None and None not in v and any(v)]
+    for low, high, same, k in ((-1.0, 3.0, False, 5), (0.3, 0.8, True, 7), (0.3, 0.8, False, None)):
+        want = set()
+        for i, c, v in whole:
+            found = sorted((round(1 - min(max(float(v @ w) / math.sqrt(v @ v * (w @ w)), -1), 1), 6), j) for j, d, w in whole if i % 20 == 0 and j != i and (c == d or not same))
+            want |= {(i, j, x) for x, j in [f for f in found if low <= f[0] <= high][:k]}
+        got = [(x.query_id, x.id, x.distance) for x in vectors.compared(df, asked, k, same, low, high, block=90).collect()]
+        assert len(got) == len(want) and set(got) == want and want
