@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lexmill.functions.columns import percent_ranks
@@ -144,3 +145,18 @@ def test_first_ring_is_compared_once_and_few_distances_are_measured(spark):
             want |= {(i, j, x) for x, j in [f for f in found if low <= f[0] <= high][:k]}
         got = [(x.query_id, x.id, x.distance) for x in vectors.compared(df, asked, k, same, low, high, block=90).collect()]
         assert len(got) == len(want) and set(got) == want and want
+
+
+def test_stretches_of_many_queries_are_bounded_first(monkeypatch):
+    """With bounds over all queries of a text as without them: long and empty texts, repeated words, unknown trigrams."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.choice([1, 2, 4, 7])))
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 5, 60, 300)] + ["", None, "ab " * 500]
+    asked = [" ".join(word() for _ in range(r.choice([1, 3, 5]))) for _ in range(60)] + ["", None, "zzz", "ab ab"]
+    rows = [(a, t) for t in texts for a in asked]
+    for least in (0.3, 0.5, 0.8):
+        found = []
+        for many in (1, 1 << 30):
+            monkeypatch.setattr(lexicon, "MANY", many)
+            found.append(lexicon._best_window.func(*[pd.Series(x) for x in zip(*[(a, t, least) for a, t in rows])]).tolist())
+        assert found[0] == found[1] and any(found[0])
